@@ -16,6 +16,7 @@ from reelwise.operators.ranked import (
     rank_lists,
     unseen_gaps,
 )
+from reelwise.session import cut_lineage
 
 POSITION_DECAY = 0.9  # fixed value: weight of each older history position
 
@@ -61,10 +62,13 @@ def recommend_ranked(
 
 
 def cf_history(log: DataFrame, history_length: int = 50, feedback: str = "complete") -> DataFrame:
-    """History tail with the user-item weight: 1, or max(1 + strong - short / 2) over all positives."""
+    """History tail with the user-item weight: 1, or max(1 + strong - short / 2) over all positives.
+
+    Written once, since similarity, counts and recommendation all read it.
+    """
     history = positive_tail(log, history_length).select("user_id", "item_id", "pos")
     if feedback == "complete":
-        return history.withColumn("weight", F.lit(1.0))
+        return cut_lineage(history.withColumn("weight", F.lit(1.0)))
     if feedback != "multi_feedback":
         raise ValueError(f"unknown feedback: {feedback}")
     weights = (
@@ -72,7 +76,7 @@ def cf_history(log: DataFrame, history_length: int = 50, feedback: str = "comple
         .groupBy("user_id", "item_id")
         .agg(F.max(1.0 + F.col("label_strong") - F.lit(0.5) * F.col("label_short")).alias("weight"))
     )
-    return history.join(weights, ["user_id", "item_id"])
+    return cut_lineage(history.join(weights, ["user_id", "item_id"]))
 
 
 def cf_counts(history: DataFrame) -> DataFrame:
@@ -140,6 +144,8 @@ def itemcf_recommend(
     )
     unseen = only_allowed(scored, allowed).join(seen, ["user_id", "item_id"], "left_anti")
     best = top_n(unseen, ["user_id"], [F.desc(steady("score")), F.asc("item_id")], k)
+    # The list, its length and its items are needed apart; score once.
+    best = cut_lineage(best)
 
     counts = only_allowed(cf_counts(history), allowed)
     lists = rank_lists(

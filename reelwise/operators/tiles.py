@@ -106,12 +106,13 @@ def dense_topk(
     """Dot products of `vector` columns. Users with a NULL vector get no rows."""
 
     def score(block_users: pd.DataFrame, block_items: pd.DataFrame) -> np.ndarray:
-        left = np.stack(block_users["vector"].to_numpy()).astype(np.float64)
+        left = np.stack(block_users["user_vector"].to_numpy()).astype(np.float64)
         right = np.stack(block_items["vector"].to_numpy()).astype(np.float64)
         return left @ right.T
 
     return _tiled(
-        users.select("user_id", "vector").filter(F.col("vector").isNotNull()),
+        # alias: users and items may be the same table
+        users.select("user_id", F.col("vector").alias("user_vector")).filter(F.col("user_vector").isNotNull()),
         items.select("item_id", "vector"),
         seen,
         k,

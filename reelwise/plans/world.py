@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from reelwise.operators.evaluate import ground_truth
 from reelwise.operators.ranked import seen_pairs
+from reelwise.session import cut_lineage
 from reelwise.sources import driver_tables as D
 
 
@@ -22,6 +23,9 @@ class World:
             self.log, opened = D.orders_log(spark, folder), None
         else:
             self.log, opened = D.orders_log(spark, folder, D.EARLY_TRAIN_END, D.EARLY_VALID_END), None
+        if kind != "events":
+            # The joined log is prepared once, like any log that goes through the preparation stage.
+            self.log = cut_lineage(self.log)
         self.items = D.part_items(spark, folder, self.log, opened)
         self.train = self.log.filter(F.col("split") == "train")
         self.seen = seen_pairs(self.log)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,13 +26,12 @@ def build_session(app: str = "reelwise", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared checkpoint folder so later branches read it instead of redoing it.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder every executor can reach.
 
-    The folder comes from `spark.checkpoint.dir`. Only a local master may fall back to a temporary
-    folder: executors on other machines could not read it.
+    It comes from `spark.checkpoint.dir`. Only a local master may fall back to a temporary folder:
+    executors on other machines could not read it.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -40,4 +40,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
             folder = tempfile.mkdtemp(prefix="reelwise-")
         context.setCheckpointDir(folder)
-    return df.checkpoint()
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write `df` once to the shared folder and read it back, for frames that several branches need.
+
+    A written table survives lost executors, is computed once, and later reads prune its columns and
+    know its size.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
