@@ -66,10 +66,10 @@ def fit_boosted(
             maxDepth=5,
             subsamplingRate=0.8,
             seed=seed,
-            probabilityCol="_prob",
-            rawPredictionCol="_margin",
             predictionCol="_class",
-        ),
+        )
+        .setProbabilityCol("_prob")
+        .setRawPredictionCol("_margin"),
     ]
     return Pipeline(stages=stages).fit(data)
 

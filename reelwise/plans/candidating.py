@@ -11,8 +11,7 @@ from reelwise.operators.recall import category_recall
 from reelwise.plans.recalling import K, LENGTH, embedding_lists, itemcf
 from reelwise.plans.registry import register
 from reelwise.plans.sql import fragment, query, r6, rx
-from reelwise.plans.world import World
-from reelwise.session import cut_lineage
+from reelwise.plans.world import World, stored
 from reelwise.sources import driver_tables as D
 
 CHANNEL_LISTS = {"itemcf": "cf_list", "content": "cat_list", "tower": "emb_list"}
@@ -23,17 +22,22 @@ DENSE = ["itemcf_rank_score", "channel_count", "user_complete_rate", "item_inter
 
 def channel_lists(w: World):
     """The three channels, each written once: merging, overlap and evaluation read them again."""
-    lists = {
-        "itemcf": itemcf(w, K),
-        "content": category_recall(w.train, w.items, w.users, w.seen, K, LENGTH),
-        "tower": embedding_lists(w),
+    builders = {
+        "itemcf": lambda: itemcf(w, K),
+        "content": lambda: category_recall(w.train, w.items, w.users, w.seen, K, LENGTH),
+        "tower": lambda: embedding_lists(w),
+    }
+    columns = ["user_id", "item_id", "rank"]
+    return {
+        name: stored(w, f"channel_{name}", lambda: build().select(*columns)) for name, build in builders.items()
     }
-    return {name: cut_lineage(df.select("user_id", "item_id", "rank")) for name, df in lists.items()}
 
 
 def candidate_frame(w: World, **options):
-    frame, truth = C.build_candidates(w.log, w.items, "test", channel_lists(w), LIMITS, **options)
-    return cut_lineage(frame), truth
+    """(candidates, truth) of the test days."""
+    name = "candidates" + "".join(f"_{key}_{value}" for key, value in sorted(options.items()))
+    build = lambda: C.build_candidates(w.log, w.items, "test", channel_lists(w), LIMITS, **options)[0]
+    return stored(w, name, build), w.truth
 
 
 fragment(

@@ -315,13 +315,14 @@ def rank_consistency(spark, folder):
 
 # --- scored rows --------------------------------------------------------------------------------
 
-fragment("scored", ["log"], "SELECT l.*, least(round(watch_ratio / 12 + (l.event_id % 10) / 20, 2), 1) AS score FROM log l")
+fragment("scored", ["log"], "SELECT l.*, least(floor((watch_ratio / 12 + (l.event_id % 10) / 20) * 100 + 1e-6) / 100, 1) AS score FROM log l")
 
 
 def scored_log(w: World):
     """Every log row with a coarse score, so that ties occur."""
     noise = (F.col("event_id") % 10) / 20
-    return w.log.withColumn("score", F.least(F.round(F.col("watch_ratio") / 12 + noise, 2), F.lit(1.0)))
+    coarse = F.floor((F.col("watch_ratio") / 12 + noise) * 100 + 1e-6) / 100
+    return w.log.withColumn("score", F.least(coarse, F.lit(1.0)))
 
 
 def auc_sql(source: str, score: str, label: str, where: str = "true") -> str:

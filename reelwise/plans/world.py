@@ -12,6 +12,21 @@ from reelwise.session import cut_lineage
 from reelwise.sources import driver_tables as D
 
 
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stored(w: World, name: str, build) -> DataFrame:
+    """A written stage result (channel lists, candidate frame) shared by the queries of one session.
+
+    Stages of the offline run hand over by tables; rebuilding a channel for every query that reads it
+    would only repeat the same jobs.
+    """
+    key = (w.spark.sparkContext.applicationId, w.folder, name)
+    if key not in _STORED:
+        _STORED[key] = cut_lineage(build())
+    return _STORED[key]
+
+
 class World:
     """The log, items, history and truth one query works on, built from one folder of tables."""
 
