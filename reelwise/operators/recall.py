@@ -137,10 +137,14 @@ def itemcf_recommend(
     fade = F.pow(F.lit(POSITION_DECAY), F.col("pos")) if decay else F.lit(1.0)
     # Collapse repeats first: one weight per (user, history item) before meeting the neighbours.
     pull = tail.groupBy("user_id", "item_id").agg(F.sum(fade * F.col("weight")).alias("_pull"))
+    # A user has at most tail x neighbours contributions, so hashing by user alone cannot pile up one
+    # partition, and sums, anti join and top K then need no further shuffle of these rows.
     scored = (
         pull.join(similarity.select("item_id", "other_id", "sim"), "item_id")
-        .groupBy("user_id", F.col("other_id").alias("item_id"))
-        .agg(F.sum(F.col("_pull") * F.col("sim")).alias("score"))
+        .select("user_id", F.col("other_id").alias("item_id"), (F.col("_pull") * F.col("sim")).alias("_part"))
+        .repartition("user_id")
+        .groupBy("user_id", "item_id")
+        .agg(F.sum("_part").alias("score"))
     )
     unseen = only_allowed(scored, allowed).join(seen, ["user_id", "item_id"], "left_anti")
     best = top_n(unseen, ["user_id"], [F.desc(steady("score")), F.asc("item_id")], k)
