@@ -74,15 +74,26 @@ def mmr_rerank(
     total = sum(used.values())
     keys = list(keys)
 
-    bounds = df.groupBy(*keys).agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
+    bounds = df.groupBy(*keys).agg(
+        F.min(score).alias("_lo"),
+        F.max(score).alias("_hi"),
+        F.min(F.struct((-F.col(score)).alias("s"), F.col("item_id").alias("i"))).alias("_top"),
+    )
     span = F.col("_hi") - F.col("_lo")
     rows = df.join(bounds, keys).withColumn(
         "_rel", F.when(span > 0, (F.col(score) - F.col("_lo")) / span).otherwise(1.0)
     )
-    first = F.struct((-F.col("_rel")).alias("r"), F.col("item_id").alias("i"))
+    # The group's most relevant row opens its cell; elsewhere the first row is the one with the best
+    # weighted relevance, the lowest item on ties (all of them when lam is 0).
+    first = F.struct(
+        (F.col("item_id") != F.col("_top.i")).alias("t"),
+        (-steady(F.lit(lam) * F.col("_rel"), 12)).alias("w"),
+        F.col("item_id").alias("i"),
+        F.col("_rel").alias("r"),
+    )
     cells = rows.groupBy(*keys, *used).agg(F.min(first).alias("_head"))
     heads = F.array_sort(
-        F.collect_list(F.struct(F.col("_head.r").alias("r"), F.col("_head.i").alias("i"), *used))
+        F.collect_list(F.struct(F.col("_head.i").alias("i"), F.col("_head.r").alias("r"), *used))
     )
 
     @F.pandas_udf("array<double>")
@@ -111,14 +122,14 @@ def mmr_rerank(
 
 def _greedy(heads, used: dict[str, float], total: float, lam: float) -> list[float]:
     """Score at which each cell's first row is picked; the very first pick gets infinity."""
-    relevance = np.array([-head["r"] for head in heads], dtype=float)
+    relevance = np.array([head["r"] for head in heads], dtype=float)
     attributes = {name: np.array([head[name] for head in heads], dtype=object) for name in used}
     nearest = np.zeros(len(relevance))
     picks = np.full(len(relevance), np.nan)
     open_heads = np.ones(len(relevance), dtype=bool)
     for turn in range(len(relevance)):
         value = relevance if turn == 0 else lam * relevance - (1 - lam) * nearest
-        # rounding keeps equal scores equal; heads are sorted, so argmax takes the earlier row
+        # rounding keeps equal scores equal; heads are sorted by item, so argmax takes the earlier row
         best = int(np.argmax(np.where(open_heads, np.round(value, 12), -np.inf)))
         picks[best] = np.inf if turn == 0 else value[best]
         open_heads[best] = False
