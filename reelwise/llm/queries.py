@@ -49,3 +49,75 @@ def op1_sentencepiece(spark: SparkSession, folder: str, model: str | None = None
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+WORDS = r"[^\x20\x09-\x0D]+"
+
+OP2_SQL = rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS w FROM documents),
+p AS (SELECT r, w, unnest(range(len(w) - 34)) AS s FROM d WHERE len(w) >= 35),
+g AS (SELECT r, s, md5(array_to_string(w[s + 1 : s + 35], ' ')) AS h FROM p),
+rep AS (SELECT h FROM g GROUP BY h HAVING count(*) > 1),
+hit AS (SELECT DISTINCT r, s + unnest(range(35)) AS k FROM g JOIN rep USING (h)),
+cov AS (SELECT r, list(k) AS ks FROM hit GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(ks), 0)::BIGINT AS n_removed,
+  sha256(CASE WHEN ks IS NULL THEN array_to_string(w, ' ')
+    ELSE array_to_string(list_filter(w, lambda x, i: NOT list_contains(ks, i - 1)), ' ') END) AS kept_sha256
+FROM d LEFT JOIN cov USING (r)
+"""
+
+
+@query("op2_substrings", OP2_SQL)
+def op2_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    from reelwise.llm.substrings import remove_repeats
+
+    done = remove_repeats(table(spark, folder, "documents").select("doc_id", "text"), window=35)
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS s FROM documents),
+l AS (SELECT doc_id, r, unnest(s) AS line, unnest(range(len(s))) AS p FROM d),
+k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+many AS (SELECT key, max(doc_id) AS top FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+m AS (SELECT k.*, top IS NOT NULL AND doc_id <> top AS gone FROM k LEFT JOIN many USING (key))
+SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY r
+"""
+
+
+@query("op7_lines", OP7_SQL)
+def op7_lines(spark: SparkSession, folder: str) -> DataFrame:
+    from reelwise.llm.lines import dedup_lines
+
+    done = dedup_lines(table(spark, folder, "documents").select("doc_id", "text"), min_chars=40, min_docs=5)
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP9_SQL = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS}') AS w
+  FROM documents),
+s AS (SELECT DISTINCT doc_id, hash(array_to_string(w[i + 1 : i + 3], ' ')) AS g FROM (
+  SELECT doc_id, w, unnest(range(greatest(len(w) - 2, least(len(w), 1)))) AS i FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+rare AS (SELECT * FROM (SELECT s.*, n.n, row_number() OVER (PARTITION BY doc_id ORDER BY c, g) AS k
+  FROM s JOIN n USING (doc_id) JOIN (SELECT g, count(*) AS c FROM s GROUP BY g) USING (g)) WHERE k <= n - ceil(0.85 * n) + 1),
+cand AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb FROM rare a JOIN rare b USING (g) WHERE a.doc_id < b.doc_id),
+links AS (SELECT a, b FROM (SELECT a, b, na, nb, count(*) AS m FROM cand JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b AND x.g = y.g
+  GROUP BY a, b, na, nb) WHERE 100 * m >= 85 * (na + nb - m)),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.least AS component_id, d.doc_id = c.least AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS least FROM reach GROUP BY a) c USING (doc_id)
+"""
+
+
+@query("op9_near_duplicates", OP9_SQL)
+def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    from reelwise.llm.neardups import near_duplicates
+
+    done = near_duplicates(table(spark, folder, "documents").select("doc_id", "text"), shingle=3, percent=85)
+    return done.select("doc_id", "n_shingles", "component_id", "kept")

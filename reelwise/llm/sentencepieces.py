@@ -10,6 +10,7 @@ continues.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,11 +25,8 @@ from reelwise.llm.batches import slices
 SPACE = "▁"
 # Chunk patterns from fine to coarse. A pattern is used only if it leaves every piece whole: then no
 # merge crosses a chunk border, because every merged symbol is a piece.
-CHUNKS = (
-    SPACE + r"*(?:[^\W\d_]+|(?:(?!" + SPACE + r")[\W\d_])+)|" + SPACE + "+",
-    SPACE + "*[^" + SPACE + "]+|" + SPACE + "+",
-)
-CACHE = 150_000  # chunks per cache generation in one Python worker
+CHUNKS = (r" *(?:[^\W\d_]+|(?:(?! )[\W\d_])+)| +", " *[^ ]+| +")
+CACHE = 500_000  # chunks per cache generation in one Python worker
 
 
 @dataclass(frozen=True)
@@ -84,7 +82,14 @@ class Codec:
         t = self.table
         self.ids = {t.pieces[i]: i for i in t.normal}
         self.matcher = ahocorasick.Automaton()
-        self.shorter: dict[int, int | None] = {}
+        self.score = {piece: t.scores[i] for piece, i in self.ids.items()}
+        self.lengths = {i: len(piece) for piece, i in self.ids.items()}
+        self.plain = {i: piece.replace(SPACE, " ") for piece, i in self.ids.items()}
+        # The longest shorter piece that a piece starts with.
+        self.shorter = {
+            i: next((self.ids[piece[:k]] for k in range(len(piece) - 1, 0, -1) if piece[:k] in self.ids), None)
+            for piece, i in self.ids.items()
+        }
         self.together: dict[tuple, bool] = {}
         self.fresh: dict[str, tuple[bytes, str]] = {}
         self.stale: dict[str, tuple[bytes, str]] = {}
@@ -92,21 +97,23 @@ class Codec:
             self.matcher.add_word(piece, (len(piece), i))
         self.matcher.make_automaton()
         self.chunks = next(
-            (p for p in map(re.compile, CHUNKS) if all(p.match(x).end() == len(x) for x in self.ids)),
+            (p for p in map(re.compile, CHUNKS) if all(p.match(x).end() == len(x) for x in self.plain.values())),
             re.compile("(?s).+"),
         ).findall
 
     def remerge(self, symbols: list[str]) -> list[str]:
         """Plain BPE: merge the best-scored neighbours, leftmost first, until no piece arises."""
-        while True:
-            best, at = None, -1
-            for k in range(len(symbols) - 1):
-                i = self.ids.get(symbols[k] + symbols[k + 1])
-                if i is not None and (best is None or self.table.scores[i] > best):
-                    best, at = self.table.scores[i], k
-            if best is None:
-                return symbols
-            symbols = [*symbols[:at], symbols[at] + symbols[at + 1], *symbols[at + 2 :]]
+        score, none = self.score.get, -float("inf")
+        scores = [score(a + b, none) for a, b in zip(symbols, symbols[1:])]
+        while scores and (best := max(scores)) > none:
+            k = scores.index(best)
+            symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
+            del scores[k]
+            if k:
+                scores[k - 1] = score(symbols[k - 1] + symbols[k], none)
+            if k < len(scores):
+                scores[k] = score(symbols[k] + symbols[k + 1], none)
+        return symbols
 
     def compatible(self, left, right) -> bool:
         """Whether the two tokens, split into characters and merged again, come back as they are."""
@@ -121,15 +128,6 @@ class Codec:
     def text(self, token) -> str:
         return token if isinstance(token, str) else "" if token is None else self.table.pieces[token]
 
-    def prefix(self, token: int) -> int | None:
-        """The longest shorter piece that the token starts with."""
-        if token not in self.shorter:
-            piece = self.table.pieces[token]
-            self.shorter[token] = next(
-                (self.ids[piece[:n]] for n in range(len(piece) - 1, 0, -1) if piece[:n] in self.ids), None
-            )
-        return self.shorter[token]
-
     def encode_chunk(self, chunk: str) -> list:
         """Token ids; a character without a piece stands for itself."""
         whole = self.ids.get(chunk)
@@ -139,39 +137,42 @@ class Codec:
         longest: list = list(chunk)
         for end, (length, i) in self.matcher.iter(chunk):
             longest[end - length + 1] = i
+        lengths, together, shorter = self.lengths, self.together, self.shorter
         open_at = (1 << (n + 1)) - 1  # bit p: an encoding may still continue from position p
         out: list = []
         at = 0
+        last = None
         token = longest[0]
-        while True:
-            last = out[-1] if out else None
-            while True:
-                end = at + len(self.text(token))
-                if open_at >> end & 1 and self.compatible(last, token):
+        while at < n:
+            end = at + lengths.get(token, 1)
+            if open_at >> end & 1:
+                fits = together.get((last, token))
+                if fits is None:
+                    fits = self.compatible(last, token)
+                if fits:
                     out.append(token)
-                    at = end
-                    if at == n:
-                        return out
-                    token = longest[at]
-                    break
-                token = None if isinstance(token, str) else self.prefix(token)
-                if token is None:
-                    open_at &= ~(1 << at)
-                    token = out.pop()
-                    at -= len(self.text(token))
-                    break
+                    last, at = token, end
+                    if end < n:
+                        token = longest[end]
+                    continue
+            token = shorter.get(token)
+            if token is None:
+                open_at &= ~(1 << at)
+                token = out.pop()
+                at -= lengths.get(token, 1)
+                last = out[-1] if out else None
+        return out
 
     def encoded(self, chunk: str) -> tuple[bytes, str]:
         """Ids as int32 bytes and the decoded text of a chunk, remembered in two bounded generations."""
         found = self.stale.get(chunk)
         if found is None:
-            out: list[int] = []
-            for token in self.encode_chunk(chunk):
-                if isinstance(token, str):
-                    out.extend(self.table.byte_ids[b] for b in token.encode())
-                else:
-                    out.append(token)
-            found = (np.array(out, np.int32).tobytes(), self.surface(out))
+            out = self.encode_chunk(chunk.replace(" ", SPACE))
+            try:
+                found = (array("i", out).tobytes(), "".join(map(self.plain.__getitem__, out)))
+            except (TypeError, KeyError):  # a character became bytes
+                out = [i for token in out for i in ([token] if isinstance(token, int) else map(self.table.byte_ids.__getitem__, token.encode()))]
+                found = (array("i", out).tobytes(), self.surface(out))
         if len(self.fresh) >= CACHE:
             self.stale, self.fresh = self.fresh, {}
         self.fresh[chunk] = found
@@ -199,16 +200,14 @@ class Codec:
         """Ids (int32 bytes) of a text, and what they decode to."""
         if not text:
             return b"", ""
-        text = text.replace(" ", SPACE)
-        if self.table.dummy_prefix:
-            text = SPACE + text
-        known, made, parts = self.fresh, self.encoded, []
-        for chunk in self.chunks(text):
-            found = known.get(chunk)
-            if found is None:
-                found = made(chunk)
-                known = self.fresh
-            parts.append(found)
+        # Blanks stand for the space mark, which the normalised text cannot tell from them.
+        text = text.replace(SPACE, " ")
+        chunks = self.chunks(" " + text if self.table.dummy_prefix else text)
+        parts = list(map(self.fresh.get, chunks))
+        k = -1
+        for _ in range(parts.count(None)):
+            k = parts.index(None, k + 1)
+            parts[k] = self.fresh.get(chunks[k]) or self.encoded(chunks[k])
         ids, texts = zip(*parts)
         decoded = "".join(texts)
         return b"".join(ids), decoded[1:] if self.table.dummy_prefix and decoded[:1] == " " else decoded
