@@ -7,6 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+
+from reelwise.session import cut_lineage
 
 SLICE_BYTES = 1 << 20
 
@@ -65,3 +68,13 @@ def binary_rows(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(
         pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))]
     ).cast(pa.binary())
+
+
+def settle(df: DataFrame, share: int = 8) -> DataFrame:
+    """Write a table that is smaller than its input to the shared folder, in fewer files, and read it back.
+
+    The number of files follows the session's shuffle partitions, and so the size of the data.
+    """
+    spark = df.sparkSession
+    files = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // share)
+    return cut_lineage(df.coalesce(files))

@@ -121,3 +121,71 @@ def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 
     done = near_duplicates(table(spark, folder, "documents").select("doc_id", "text"), shingle=3, percent=85)
     return done.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+q AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[s + 1 : s + 10], ' ') AS g FROM (
+  SELECT item_id, w, unnest(range(greatest(len(w) - 9, 1))) AS s FROM b WHERE len(w) > 0)),
+p AS (SELECT r, n, s, array_to_string(w[s + 1 : s + n], ' ') AS g FROM (
+  SELECT r, w, n, unnest(range(greatest(len(w) - n + 1, 0))) AS s FROM d, (SELECT DISTINCT n FROM q))),
+m AS (SELECT r, s, p.n, item_id FROM p JOIN q ON p.g = q.g AND p.n = q.n),
+hit AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, s + unnest(range(n)) AS k FROM m) GROUP BY r),
+own AS (SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS i FROM m) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN own USING (r)
+"""
+
+
+@query("op4_decontamination", OP4_SQL)
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    from reelwise.llm.contamination import contamination
+
+    done = contamination(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"), window=10)
+    return done.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@query("op5_quality_rules")
+def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    from reelwise.llm.quality import quality_rules
+
+    done = quality_rules(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels").select("doc_id", "quality"))
+    return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score", "held_out")
+
+
+@query("op3_quality_classifier")
+def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    from reelwise.llm.nbsvm import quality_scores
+
+    done = quality_scores(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels").select("doc_id", "quality"))
+    return done.select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op6_language")
+def op6_language(spark: SparkSession, folder: str) -> DataFrame:
+    from reelwise.llm.language import languages
+
+    done = languages(table(spark, folder, "documents").select("doc_id", "text", "lang"))
+    return done.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op8_secrets")
+def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    from reelwise.llm.secret_scan import secrets
+
+    done = secrets(table(spark, folder, "documents").select("doc_id", "text"))
+    joined = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    counts = [F.expr(f"size(filter(base, x -> x.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return done.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from reelwise.llm.toxicity import toxicity
+
+    done = toxicity(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels").select("doc_id", "toxic"))
+    return done.select("doc_id", "held_out", "score", "predicted", "evidence")
