@@ -12,14 +12,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelwise.session import cut_lineage
+from reelwise.llm.batches import settle
 
 WHITE = b" \t\n\v\f\r"
 LINE_FIELDS = "high long, low long, doc long, row long, n_lines int, places array<int>"
@@ -97,14 +96,14 @@ def _streamed(min_docs: int):
     return run
 
 
-@F.pandas_udf(T.BinaryType())
-def _bitmap(n_lines: pd.Series, dropped: pd.Series) -> pd.Series:
-    out = []
-    for n, places in zip(n_lines, dropped):
-        keep = np.ones(int(n), bool)
-        keep[np.asarray(places, np.int64)] = False
-        out.append(zlib.compress(np.packbits(keep).tobytes(), 1))
-    return pd.Series(out)
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for n, dropped in zip(batch.column("n_lines").to_pylist(), batch.column("places").to_pylist()):
+            keep = np.ones(n, bool)
+            keep[dropped] = False
+            out.append(zlib.compress(np.packbits(keep).tobytes(), 1))
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("row"), pa.array(out, pa.binary())], names=["doc", "row", "keep"])
 
 
 def keep_bitmaps(df: DataFrame, min_chars: int = 40, min_docs: int = 5, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -120,7 +119,7 @@ def keep_bitmaps(df: DataFrame, min_chars: int = 40, min_docs: int = 5, doc: str
     )
     listed = base.mapInArrow(_listed(min_chars), LINE_FIELDS)
     ordered = listed.repartitionByRange("high", "low", F.desc("doc")).sortWithinPartitions("high", "low", F.desc("doc"))
-    seen = cut_lineage(ordered.mapInArrow(_streamed(min_docs), LINE_FIELDS + ", kind byte, docs long"))
+    seen = settle(ordered.mapInArrow(_streamed(min_docs), LINE_FIELDS + ", kind byte, docs long"))
     settled = (
         seen.filter("kind = 2").groupBy("high", "low").agg(F.sum("docs").alias("n"), F.max("doc").alias("first")).filter(F.col("n") >= min_docs)
     )
@@ -130,7 +129,7 @@ def keep_bitmaps(df: DataFrame, min_chars: int = 40, min_docs: int = 5, doc: str
         seen.filter("kind = 0").select(*wanted).unionByName(late.select(*wanted))
         .groupBy("doc", "row").agg(F.max("n_lines").alias("n_lines"), F.flatten(F.collect_set("places")).alias("places"))
     )
-    return dropped.select("doc", "row", _bitmap("n_lines", "places").alias("keep"))
+    return settle(dropped.mapInArrow(_bitmaps, "doc long, row long, keep binary"))
 
 
 def _applied(names: list[str]):
