@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelwise.session import cut_lineage
+from reelwise.llm.batches import settle
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -17,21 +17,18 @@ def components(pairs: DataFrame) -> DataFrame:
     step and is written to the shared folder; no component is ever gathered in a task. Self pairs,
     repeated pairs and empty tables are fine.
     """
-    edges = cut_lineage(pairs.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = settle(pairs.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
-            edges.join(least, "a").filter("b = m AND a > m").select("a", "b")
-        )
-        large = large.filter("a <> b").distinct()
+        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         small_least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(small_least, "a")
         small = joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             small_least.select("a", F.col("m").alias("b"))
         )
-        edges = cut_lineage(small.filter("a <> b").distinct())
+        edges = settle(small.filter("a <> b").distinct())
         # A fixed point is a set of stars; its edge count and sums then stay the same.
         state = edges.agg(F.count("*"), F.sum(F.col("a").cast("decimal(38,0)")), F.sum(F.col("b").cast("decimal(38,0)"))).first()
         if state == before or state[0] == 0:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelwise.llm.batches import binary_rows, slices, stream_groups
+from reelwise.llm.batches import binary_rows, settle, slices, stream_groups
 from reelwise.llm.components import components
 from reelwise.llm.wordhash import Tokens, fits, mix, tokens, windows
 from reelwise.session import cut_lineage
@@ -133,9 +133,9 @@ def regions(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
         members = left.mapInArrow(_keys(depth), "region long, order int, id long")
         if pending is not None:
             members = members.join(pending, ["order", "id"], "left_semi")
-        members = cut_lineage(members)
+        members = settle(members, 4)
         counted = members.groupBy("region").agg(F.count("*").alias("c"), F.min("id").alias("least")).filter("c > 1")
-        joined = cut_lineage(members.join(counted, "region"))
+        joined = settle(members.join(counted, "region"))
         parts.append(joined.filter(F.col("c") <= REGION).select("region", "id"))
         large = joined.filter(F.col("c") > REGION)
         if large.isEmpty():
@@ -155,7 +155,18 @@ def regions(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _likely(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A spanning forest of the likely pairs in each region, most alike pairs first."""
+        """A spanning forest of the likely pairs in each region, most alike pairs first.
+
+        What a task has joined goes out as (set, smallest set it hangs together with), which saves rounds later.
+        """
+        joined: dict[int, int] = {}
+
+        def out() -> pa.RecordBatch:
+            nodes = list(joined)
+            heads = [root(joined, node) for node in nodes]
+            joined.clear()
+            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(heads, pa.int64())], names=["a", "b"])
+
         for group in stream_groups(batches, "region"):
             group = group.combine_chunks()
             region = group.column("region").to_numpy()
@@ -186,12 +197,17 @@ def _likely(least: float):
                             break
                 out_a.append(own[a[edges]])
                 out_b.append(own[b[edges]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
+            for a, b in zip(np.concatenate(out_a).tolist(), np.concatenate(out_b).tolist()):
+                x, y = root(joined, joined.setdefault(a, a)), root(joined, joined.setdefault(b, b))
+                joined[max(x, y)] = min(x, y)
+            if len(joined) > 500_000:
+                yield out()
+        yield out()
 
     return run
 
 
-def root(parent: list[int], node: int) -> int:
+def root(parent: list[int] | dict[int, int], node: int) -> int:
     while parent[node] != node:
         parent[node] = parent[parent[node]]
         node = parent[node]
@@ -267,7 +283,7 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, doc: str
     rows = df.select(*[c.alias(f"c{i}") for i, c in enumerate(quoted)], id_of.alias("doc"), F.xxhash64(F.col(text)).alias("row"))
     texts = df.select(id_of.alias("doc"), F.xxhash64(F.col(text)).alias("row"), F.col(text).alias("text"))
     sets = cut_lineage(texts.mapInArrow(_sets(shingle), "doc long, row long, n long, mark_a long, mark_b long, signs binary"))
-    classes = cut_lineage(
+    classes = settle(
         sets.filter("n > 0").groupBy("mark_a", "mark_b").agg(F.min(F.struct("doc", "signs")).alias("least"))
         .select(F.col("least.doc").alias("id"), F.col("least.signs").alias("signs"))
     )
@@ -286,9 +302,9 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, doc: str
         small.join(classes.mapInArrow(sketches, "id long, sketch binary"), "id")
         .repartition("region").sortWithinPartitions("region").select("region", "id", "sketch").mapInArrow(_likely(least), "a long, b long")
     )
-    families = cut_lineage(components(likely.unionByName(stars)).withColumnRenamed("component", "family"))
+    families = settle(components(likely.unionByName(stars)).withColumnRenamed("component", "family"))
     sizes = families.groupBy("family").agg(F.count("*").alias("c"))
-    too_large = cut_lineage(sizes.filter(F.col("c") > FAMILY).select("family"))
+    too_large = settle(sizes.filter(F.col("c") > FAMILY).select("family"))
     grouped = families.join(too_large, "family", "left_anti").select("family", F.col("node").alias("id"))
     split = not too_large.isEmpty()
     if split:
