@@ -16,9 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelwise.llm.batches import slices, stream_groups
+from reelwise.llm.batches import settle, slices, stream_groups
 from reelwise.llm.wordhash import Tokens, fits, moved, tokens, windows
-from reelwise.session import cut_lineage
 
 PLACE = np.uint64((1 << 26) - 1)  # low bits of an anchor's sort key: its place, so that the leftmost wins
 HOT = 4000  # occurrences of one anchor in a task from which its windows are counted one by one
@@ -86,10 +85,14 @@ def repeated_windows(texts: DataFrame, window: int) -> DataFrame:
     ordered = listed.repartitionByRange("anchor", "key", "number").sortWithinPartitions("anchor", "key", "number")
 
     def find_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows whose anchor has equal neighbours; the task's first and last anchor stay undecided."""
+        """Rows whose anchor has equal neighbours.
+
+        State 1: repeated; 2: repeated, perhaps very often; 3: alone here, but at the task's border, where the next
+        task may hold its equal; 4: no row, tells that the anchor at a border is repeated.
+        """
         held: pa.RecordBatch | None = None
-        run = 0  # length of the run that the held row belongs to, the held row included
-        begun = False  # whether an earlier anchor came before the held run in this task
+        run = 0  # length of the run that the held row ends
+        begun = False  # whether an earlier anchor came before that run in this task
 
         def put(rows, state):
             return pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), pa.array(state.astype(np.int8))], names=["anchor", "key", "number", "state"])
@@ -104,27 +107,26 @@ def repeated_windows(texts: DataFrame, window: int) -> DataFrame:
             sizes = np.diff(np.concatenate([heads, [len(values)]]))
             whole = sizes.copy()
             whole[0] += before
-            state = np.where(whole > 1, np.where(whole > HOT, 2, 1), 0)
-            if not begun:
-                state[0] = 3
-            state[-1] = 3
-            # A run that crosses a batch border is handled as undecided: its size is not yet known.
-            if before or (held is not None and sizes[0] > 1):
-                state[0] = 3
+            border = np.zeros(len(heads), bool)
+            border[-1] = True
+            border[0] |= not begun or before > 0
+            state = np.where(whole == 1, np.where(border, 3, 0), np.where(border | (whole > HOT), 2, 1))
             each = np.repeat(state, sizes)
             run, begun = int(whole[-1]), begun or len(heads) > 1
             held = rows.slice(len(values) - 1)
             chosen = np.flatnonzero(each[:-1] > 0)
-            if len(chosen):
-                yield put(rows.take(pa.array(chosen)), each[chosen])
+            yield put(rows.take(pa.array(chosen)), each[chosen])
+            told = heads[border & (whole > 1)]
+            yield put(rows.take(pa.array(told)), np.full(len(told), 4))
         if held is not None:
-            yield put(held, np.array([3]))
+            yield put(held, np.array([3 if run == 1 else 2]))
 
-    decided = cut_lineage(ordered.mapInArrow(find_repeats, T.StructType([*listed.schema.fields, T.StructField("state", T.ByteType())])))
-    undecided = decided.filter("state = 3")
-    several = undecided.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor")
+    decided = settle(ordered.mapInArrow(find_repeats, T.StructType([*listed.schema.fields, T.StructField("state", T.ByteType())])), 3)
+    several = (
+        decided.filter("state >= 3").groupBy("anchor").agg(F.sum(F.when(F.col("state") == 4, 2).otherwise(1)).alias("c")).filter("c > 1").select("anchor")
+    )
     repeats = decided.filter("state < 3").select("key", "number", (F.col("state") == 2).alias("hot")).unionByName(
-        undecided.join(several, "anchor").select("key", "number", F.lit(True).alias("hot"))
+        decided.filter("state = 3").join(several, "anchor").select("key", "number", F.lit(True).alias("hot"))
     )
     per_text = repeats.groupBy("key").agg(
         F.collect_set(F.when(~F.col("hot"), F.col("number"))).alias("cold"), F.collect_set(F.when(F.col("hot"), F.col("number"))).alias("hot")
@@ -169,7 +171,7 @@ def repeated_windows(texts: DataFrame, window: int) -> DataFrame:
         T.StructField("hashes", T.ArrayType(T.LongType())),
         T.StructField("hot", T.BooleanType()),
     ]
-    candidates = cut_lineage(extended.mapInArrow(extend, T.StructType(fields)))
+    candidates = settle(extended.mapInArrow(extend, T.StructType(fields)), 3)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in stream_groups(batches, "anchor"):
@@ -200,9 +202,14 @@ def repeated_windows(texts: DataFrame, window: int) -> DataFrame:
         .sortWithinPartitions("anchor")
         .mapInArrow(compare, T.StructType(marked))
     )
-    single = candidates.filter("hot").select("key", "first", F.posexplode("hashes").alias("place", "hash"))
-    twice = single.groupBy("hash").agg(F.count("*").alias("c")).filter("c > 1").select("hash")
-    hot = single.join(twice, "hash").select("key", "first", F.expr("shiftleft(1L, place)").alias("marks"))
+    # Frequent anchors: occurrences with all windows alike are counted together before anything is spread out.
+    frequent = candidates.filter("hot").select("key", "first", "hashes")
+    alike = frequent.groupBy("hashes").agg(F.count("*").alias("c"), F.min(F.struct("key", "first")).alias("one"))
+    copied = frequent.join(alike.filter("c > 1").select("hashes"), "hashes").select("key", "first", F.expr("shiftleft(1L, size(hashes)) - 1L").alias("marks"))
+    spread = alike.select("c", "one.key", "one.first", F.posexplode("hashes").alias("place", "hash"))
+    twice = spread.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
+    partly = spread.filter("c = 1").join(twice, "hash").select("key", "first", F.expr("shiftleft(1L, place)").alias("marks"))
+    hot = copied.unionByName(partly)
     return cold.unionByName(hot).groupBy("key").agg(F.collect_set(F.struct("first", "marks")).alias("spans"))
 
 
