@@ -24,7 +24,8 @@ from reelwise.llm.wordhash import POWERS, WORD_PUNCT, mix, tokens
 
 PREFIXES = (4, 5, 6)  # a word's first bytes are terms too, so that inflected forms meet
 MIN_DOCS = 5
-MIN_CHI2 = 40.0  # association with the label that makes a term part of the vocabulary
+MIN_CHI2 = 40.0  # association with the label that makes a term part of the vocabulary,
+MIN_PHI2 = 1 / 80  # and its strength (chi-squared over the sample size)
 BLOCK = 64  # examples per block
 NEIGHBOURS = 15
 PRIOR = 0.5  # similarity mass of the vote of an unmarked text
@@ -137,7 +138,7 @@ def build(ids: np.ndarray, labels: np.ndarray, rows: np.ndarray, hashes: np.ndar
     other = df - with_toxic
     top = n * (with_toxic * (n - toxic - other) - other * (toxic - with_toxic)) ** 2
     chi2 = top / np.maximum(df * (n - df) * toxic * (n - toxic), 1e-9) if n else df
-    use = (df >= MIN_DOCS) & (chi2 >= MIN_CHI2)
+    use = (df >= MIN_DOCS) & (chi2 >= max(MIN_CHI2, MIN_PHI2 * n))
     number = np.cumsum(use) - 1
     idf = np.log(1 + n / np.maximum(df[use], 1))
     keep = use[term]

@@ -75,18 +75,15 @@ def test_edges(spark, docs, labels):
     assert [r.spans for r in secrets(frame).collect()] == [[]] * len(EDGE)
 
 
-def test_nearest_is_exact():
+def test_nearest_is_exact(monkeypatch):
     draw = np.random.default_rng(2)
     n, terms = 900, 60
     rows = np.repeat(np.arange(n), 6)
     hashes = (draw.zipf(1.4, len(rows)) % terms + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     labels = (draw.random(n) < 0.3).astype(np.int64)
-    old = tox.MIN_CHI2
-    tox.MIN_CHI2 = 0.0
-    try:
-        index = tox.build(np.arange(n), labels, rows, hashes)
-    finally:
-        tox.MIN_CHI2 = old
+    monkeypatch.setattr(tox, "MIN_CHI2", 0.0)
+    monkeypatch.setattr(tox, "MIN_PHI2", 0.0)
+    index = tox.build(np.arange(n), labels, rows, hashes)
     dense = np.zeros((n, len(index.terms)))
     term = np.repeat(np.arange(len(index.terms)), np.diff(index.starts))
     dense[index.examples, term] = index.weights
