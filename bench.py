@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from reelwise.plans.catalog import QUERIES
@@ -39,7 +40,7 @@ def main() -> None:
     spark = build_session(
         "bench",
         f"local[{cpus}]",
-        **{"spark.sql.shuffle.partitions": str(2 * int(cpus)), "spark.driver.memory": "16g"},
+        **{"spark.checkpoint.dir": tempfile.mkdtemp(prefix="bench-"), "spark.sql.shuffle.partitions": str(2 * int(cpus)), "spark.driver.memory": "16g"},
     )
     spark.sparkContext.setLogLevel("ERROR")
     only = os.environ.get("BENCH_ONLY")

@@ -12,7 +12,8 @@ from reelwise.session import cut_lineage
 # default windowGroupLimitThreshold. Larger n get an explicit first round on salted sub-groups.
 GROUP_LIMIT = 1000
 SALTS = 32
-BUCKETS = 64
+# Rows a bucket of a running total should hold; inputs up to this size need no buckets.
+BUCKET_ROWS = 250_000
 
 
 def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
@@ -30,21 +31,6 @@ def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str
     return df.withColumn(rank, position).filter(F.col(rank) <= n)
 
 
-def _bucket_sql(low: int, high: int) -> str:
-    """How many of _bounds[low:high] lie at or below _point, by binary search; missing bounds are high.
-
-    One SQL text: building the same tree from Column objects costs a call into the JVM per node.
-    """
-    if low == high:
-        return str(low)
-    middle = (low + high) // 2
-    above, below = _bucket_sql(middle + 1, high), _bucket_sql(low, middle)
-    return f"CASE WHEN get(_bounds, {middle}) <= _point THEN {above} ELSE {below} END"
-
-
-FIND_BUCKET = _bucket_sql(0, BUCKETS)
-
-
 def running_totals(
     df: DataFrame,
     keys: list[str],
@@ -55,31 +41,29 @@ def running_totals(
 ) -> DataFrame:
     """Inclusive running sums within `keys` in ascending `order` without one task per group.
 
-    Rows are cut into ordered buckets. A running sum inside each (keys, bucket) plus the total of the
-    earlier buckets, at most one row per bucket, gives the exact result, so a group with a third of
-    all rows is spread over many tasks. Bucket bounds are an ordered, hash-chosen sample of the rows:
-    the same data always yields the same bounds. A caller that orders by dense integers can pass its
-    own monotone `bucket`. (keys, order) should be unique.
+    Rows are range-partitioned by (keys, order) into as many buckets as the row count asks for. A running sum inside
+    each (keys, bucket) plus the total of the group's earlier buckets gives the exact result, so a group with a third
+    of all rows is spread over many tasks, and their number grows with the data. Up to BUCKET_ROWS rows a plain window
+    gives the same. A caller that orders by dense integers can pass its own monotone `bucket`. (keys, order) should be
+    unique.
 
-    The input is read three times (bounds, bucket totals, rows), so it is checkpointed first unless
-    `settle` is off, which suits a frame that comes straight from a table.
+    The input is read more than once, so it is written first unless `settle` is off, which suits a frame that comes
+    straight from a table.
     """
     if settle:
         df = cut_lineage(df)
     if bucket is None:
-        point = F.col(order[0]) if len(order) == 1 else F.struct(*order)
-        sample = (
-            df.select(point.alias("o"), F.xxhash64(*keys, *order).alias("h"))
-            .orderBy("h", "o")
-            .limit(BUCKETS)
-            .agg(F.sort_array(F.collect_list("o")).alias("bounds"))
-        )
-        bucket = F.expr(FIND_BUCKET)
-        marked = df.withColumns({"_bounds": sample.scalar(), "_point": point})
+        rows = df.count()
+        if rows <= BUCKET_ROWS:
+            upto = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+            return df.withColumns({name: F.sum(expr).over(upto) for name, expr in sums.items()})
+        cut = df.repartitionByRange(-(-rows // BUCKET_ROWS), *keys, *order)
+        marked = cut_lineage(cut.withColumn("_bucket", F.spark_partition_id()))
+        bucket = F.col("_bucket")
     else:
         marked = df
     values = {f"_v_{name}": expr for name, expr in sums.items()}
-    marked = marked.withColumns({"_bucket": bucket, **values}).drop("_bounds", "_point")
+    marked = marked.withColumns({"_bucket": bucket, **values})
     inside = W.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = (

@@ -453,13 +453,12 @@ def rank_consistency(summary: DataFrame, k: int) -> DataFrame:
 
 
 def paired_bootstrap(
-    a: DataFrame, b: DataFrame, metric: str, samples: int = 1000, seed: int = 2026, poisson: bool = False
+    a: DataFrame, b: DataFrame, metric: str, samples: int = 1000, seed: int = 2026, poisson: bool = True
 ) -> DataFrame:
     """Mean of b - a over shared users and the 95 % interval of `samples` resampled means.
 
-    A user row carries one draw per replicate, so the draws are made where the rows are. Exact
-    resampling looks the drawn user up by position. For very many users, `poisson` gives each user a
-    Poisson(1) weight per replicate instead and needs no lookup.
+    Each user gets a Poisson(1) weight per replicate, drawn where the row is and summed before the shuffle. Without
+    `poisson` users are drawn by position with replacement; that shuffles one row per user and replicate.
     """
     mean = lambda df, name: df.groupBy("user_id").agg(F.avg(metric).alias(name))
     paired = mean(a, "_a").join(mean(b, "_b"), "user_id").select(
@@ -496,15 +495,23 @@ def paired_bootstrap(
     )
 
 
-def _poisson_one(draw: Column) -> Column:
-    """Poisson(1) count from a 32-bit draw by inverting its distribution function."""
+def _poisson_steps(most: int = 12) -> list[tuple[int, int]]:
+    """(count, edge): a 32-bit draw below the edge, and not below an earlier one, means that count."""
     steps, mass, below = [], math.exp(-1), 0.0
-    for count in range(12):
+    for count in range(most):
         below += mass
         steps.append((count, int(below * 2**32)))
         mass /= count + 1
-    column = F.lit(len(steps))
-    for count, edge in reversed(steps):
+    return steps
+
+
+POISSON_STEPS = _poisson_steps()
+
+
+def _poisson_one(draw: Column) -> Column:
+    """Poisson(1) count from a 32-bit draw by inverting its distribution function."""
+    column = F.lit(len(POISSON_STEPS))
+    for count, edge in reversed(POISSON_STEPS):
         column = F.when(draw < edge, count).otherwise(column)
     return column
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -95,14 +94,19 @@ def first_unseen(
     )
 
 
+def list_quotas(k: int) -> tuple[int, int]:
+    """(known, cold) slots of an interleaved list."""
+    cold = max(1, k // COLD_EVERY)
+    return k - cold, cold
+
+
 def interleave_cold(df: DataFrame, k: int, order: list[Column]) -> DataFrame:
     """Merge a user's known and cold items into at most `k` ranks.
 
     `df` has user_id, item_id, is_known. Quotas: max(1, k // 5) cold, the rest known. Every fifth slot
     goes to a cold item while both kinds last; the closed form below gives the slot directly.
     """
-    cold_quota = max(1, k // COLD_EVERY)
-    known_quota = k - cold_quota
+    known_quota, cold_quota = list_quotas(k)
     kept = top_n(df, ["user_id", "is_known"], order, k, "_i").filter(
         F.col("_i") <= F.when(F.col("is_known"), F.lit(known_quota)).otherwise(F.lit(cold_quota))
     )
@@ -156,36 +160,29 @@ def quota_fuse(ranked: DataFrame, weights: dict[str, float], k: int) -> DataFram
             for i, name in enumerate(channels)
         ]
     )
-
-    @F.pandas_udf("array<bigint>")
-    def fuse(*columns: pd.Series) -> pd.Series:
-        return pd.Series([_fold(row, shares, k) for row in zip(*columns)], dtype=object)
-
-    fused = fuse(*[F.col(f"_l{i}") for i in range(len(channels))])
+    fused = F.expr(_slots_sql(shares, k))
     return lists.select("user_id", F.posexplode(fused).alias("rank", "item_id")).select(
         "user_id", "item_id", (F.col("rank") + 1).alias("rank")
     )
 
 
-def _fold(rankings: Sequence, shares: list[float], k: int) -> list[int]:
-    heads = [iter(items) for items in rankings]
-    left = [len(items) for items in rankings]
-    taken = [0] * len(heads)
-    out: dict[int, None] = {}
-    while len(out) < k:
-        open_channels = [c for c, n in enumerate(left) if n]
-        if not open_channels:
-            break
-        # max keeps the earliest channel among equal claims
-        best = max(open_channels, key=lambda c: shares[c] * (len(out) + 1) - taken[c])
-        while left[best]:
-            item = int(next(heads[best]))
-            left[best] -= 1
-            if item not in out:
-                out[item] = None
-                taken[best] += 1
-                break
-    return list(out)
+def _slots_sql(shares: list[float], k: int) -> str:
+    """One expression that fills `k` slots from the arrays _l0, _l1, ...
+
+    The state holds the items so far and each channel's slots. A step looks at what every channel has left beyond those
+    items; the claims of empty channels are NULL.
+    """
+    rest = ", ".join(f"array_except(_l{i}, s.items)" for i in range(len(shares)))
+    claims = ", ".join(f"IF(size(rest[{i}]) > 0, {share!r}D * (size(s.items) + 1) - s.slots[{i}], NULL)" for i, share in enumerate(shares))
+    start = f"named_struct('items', CAST(array() AS ARRAY<BIGINT>), 'slots', array({', '.join('0' for _ in shares)}))"
+    turn = f"transform(array(array({rest})), rest -> named_struct('rest', rest, 'claims', array({claims})))"
+    best = "CAST(array_position(v.claims, array_max(v.claims)) AS INT)"
+    take = (
+        f"named_struct('items', array_append(s.items, v.rest[{best} - 1][0]), "
+        f"'slots', transform(s.slots, (n, i) -> n + IF(i = {best} - 1, 1, 0)))"
+    )
+    step = f"transform({turn}, v -> IF(array_max(v.claims) IS NULL, s, {take}))[0]"
+    return f"aggregate(sequence(1, {k}), {start}, (s, t) -> {step}).items"
 
 
 def to_lists(ranked: DataFrame) -> DataFrame:

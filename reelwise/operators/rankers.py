@@ -6,13 +6,15 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import FMClassifier, GBTClassifier, LogisticRegression
-from pyspark.ml.feature import Imputer, MinMaxScaler, StandardScaler, VectorAssembler
+from pyspark.ml.feature import Imputer, MinMaxScaler, SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelwise.operators.sampling import pairwise_samples
 
+MISSING = -1000.0
+
 
 def _doubles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({name: F.col(name).cast("double") for name in columns})
@@ -53,11 +55,17 @@ def fit_logistic(train: DataFrame, columns: Sequence[str], label: str = "label_c
 def fit_boosted(
     train: DataFrame, columns: Sequence[str], label: str = "label_complete", trees: int = 20, seed: int = 2026
 ) -> PipelineModel:
-    """Gradient-boosted trees, learning rate 0.05."""
+    """Gradient-boosted trees, learning rate 0.05.
+
+    Vectors cannot hold gaps, so a missing value becomes `MISSING`, below every feature's range: a tree can split it off.
+    """
     columns = list(columns)
     data = _doubles(train, columns).withColumn("_label", F.col(label).cast("double"))
+    filled = [f"_f_{name}" for name in columns]
+    fills = ", ".join(f"coalesce(`{name}`, {MISSING}D) AS `{out}`" for name, out in zip(columns, filled))
     stages = [
-        VectorAssembler(inputCols=columns, outputCol="_features", handleInvalid="keep"),
+        SQLTransformer(statement=f"SELECT *, {fills} FROM __THIS__"),
+        VectorAssembler(inputCols=filled, outputCol="_features"),
         GBTClassifier(
             featuresCol="_features",
             labelCol="_label",

@@ -11,6 +11,7 @@ from reelwise.functions.ordering import top_n
 from reelwise.operators.ranked import (
     first_unseen,
     interleave_cold,
+    list_quotas,
     only_allowed,
     positive_tail,
     rank_lists,
@@ -137,12 +138,15 @@ def itemcf_recommend(
     fade = F.pow(F.lit(POSITION_DECAY), F.col("pos")) if decay else F.lit(1.0)
     # Collapse repeats first: one weight per (user, history item) before meeting the neighbours.
     pull = tail.groupBy("user_id", "item_id").agg(F.sum(fade * F.col("weight")).alias("_pull"))
-    # A user has at most tail x neighbours contributions, so hashing by user alone cannot pile up one
-    # partition, and sums, anti join and top K then need no further shuffle of these rows.
+    # An item's neighbours travel as one array (at most `neighbors` entries), so a user's tail is shuffled as
+    # short rows and only blows up where it is summed.
+    near = similarity.groupBy("item_id").agg(F.collect_list(F.struct("other_id", "sim")).alias("_near"))
     scored = (
-        pull.join(similarity.select("item_id", "other_id", "sim"), "item_id")
-        .select("user_id", F.col("other_id").alias("item_id"), (F.col("_pull") * F.col("sim")).alias("_part"))
+        pull.join(near, "item_id")
+        .select("user_id", "_pull", "_near")
         .repartition("user_id")
+        .select("user_id", "_pull", F.explode("_near").alias("_n"))
+        .select("user_id", F.col("_n.other_id").alias("item_id"), (F.col("_pull") * F.col("_n.sim")).alias("_part"))
         .groupBy("user_id", "item_id")
         .agg(F.sum("_part").alias("score"))
     )
@@ -195,48 +199,53 @@ def category_recall(
 ) -> DataFrame:
     """Items of the user's categories, most watched first; unseen-by-anyone items included.
 
-    Walks (category by user count, item by popularity) to the first 4k eligible items, then
-    interleaves cold ones. Category sizes tell how many items each list must supply, so at most 4k
-    rows per user exist at any point.
+    Known and cold items are walked apart (category by user count, item by popularity), each to its own quota of the
+    interleaved list, so a cold item is found however many known ones come before it. The sizes of the lists tell how
+    many items each must supply: at most k rows per user exist at any point. An item with several rows counts in its
+    smallest category.
     """
-    eligible = only_allowed(items.select("item_id", "first_category"), allowed).dropDuplicates(["item_id"])
+    catalog = items.groupBy("item_id").agg(F.min("first_category").alias("first_category"))
+    eligible = only_allowed(catalog, allowed)
     tail = positive_tail(log, history_length).join(users.select("user_id"), "user_id", "left_semi")
     tastes = (
-        tail.join(items.select("item_id", "first_category").dropDuplicates(["item_id"]), "item_id", "left")
+        tail.join(catalog, "item_id", "left")
         .groupBy("user_id", F.coalesce("first_category", F.lit(-1)).alias("first_category"))
         .agg(F.count("*").alias("n"))
     )
     by_taste = W.partitionBy("user_id").orderBy(F.desc("n"), F.asc("first_category"))
     tastes = tastes.withColumn("cat_rank", F.row_number().over(by_taste))
 
-    popular = popularity(log)
+    is_known = F.col("cnt").isNotNull()
     lists = rank_lists(
-        eligible.join(popular, "item_id", "left").select(
+        eligible.join(popularity(log), "item_id", "left").select(
             F.coalesce("first_category", F.lit(-1)).alias("first_category"),
             "item_id",
             (-F.coalesce("cnt", F.lit(0))).alias("_order"),
-            F.col("cnt").isNotNull().alias("is_known"),
+            is_known.alias("is_known"),
+            # one list per category and kind
+            (2 * F.coalesce("first_category", F.lit(-1)).cast("long") + is_known.cast("long")).alias("list_id"),
         ),
-        ["first_category"],
+        ["list_id"],
         ["_order", "item_id"],
     )
-    sizes = lists.groupBy("first_category").agg(F.count("*").alias("_size"))
+    sizes = lists.groupBy("list_id", "first_category", "is_known").agg(F.count("*").alias("_size"))
     asked = seen.join(users.select("user_id"), "user_id", "left_semi")
-    gaps = unseen_gaps(lists, asked, "first_category")
-    keys = ["user_id", "first_category"]
+    gaps = unseen_gaps(lists, asked, "list_id")
+    keys = ["user_id", "list_id"]
     taken = gaps.groupBy(*keys).agg(F.count("*").alias("_seen"))
-    earlier = W.partitionBy("user_id").orderBy("cat_rank").rowsBetween(W.unboundedPreceding, -1)
-    free = F.col("_size") - F.coalesce("_seen", F.lit(0))
+    earlier = W.partitionBy("user_id", "is_known").orderBy("cat_rank").rowsBetween(W.unboundedPreceding, -1)
+    known_quota, cold_quota = list_quotas(k)
+    quota = F.when(F.col("is_known"), known_quota).otherwise(cold_quota)
     demand = (
         tastes.join(sizes, "first_category")
         .join(taken, keys, "left")
-        .withColumn("_free", free)
+        .withColumn("_free", F.col("_size") - F.coalesce("_seen", F.lit(0)))
         .withColumn("_before", F.coalesce(F.sum("_free").over(earlier), F.lit(0)))
-        .withColumn("want", F.least(F.col("_free"), F.lit(4 * k) - F.col("_before")))
+        .withColumn("want", F.least(F.col("_free"), quota - F.col("_before")))
         .filter(F.col("want") > 0)
         .select(*keys, "want", "cat_rank")
     )
-    found = first_unseen(lists, demand, gaps, "first_category", extra=["cat_rank", "is_known"])
+    found = first_unseen(lists, demand, gaps, "list_id", extra=["cat_rank", "is_known"])
     return interleave_cold(found, k, [F.asc("cat_rank"), F.asc("p")]).select(
         "user_id", "item_id", "rank", "is_known"
     )

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Sequence
+from itertools import combinations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -98,7 +100,7 @@ def mmr_rerank(
 
     @F.pandas_udf("array<double>")
     def pick_scores(groups: pd.Series) -> pd.Series:
-        return pd.Series([_greedy(group, used, total, lam) for group in groups], dtype=object)
+        return pd.Series([_first_picks(group, used, total, lam) for group in groups], dtype=object)
 
     gathered = cells.groupBy(*keys).agg(heads.alias("_heads"))
     picked = (
@@ -120,23 +122,40 @@ def mmr_rerank(
     )
 
 
-def _greedy(heads, used: dict[str, float], total: float, lam: float) -> list[float]:
-    """Score at which each cell's first row is picked; the very first pick gets infinity."""
-    relevance = np.array([head["r"] for head in heads], dtype=float)
-    attributes = {name: np.array([head[name] for head in heads], dtype=object) for name in used}
-    nearest = np.zeros(len(relevance))
-    picks = np.full(len(relevance), np.nan)
-    open_heads = np.ones(len(relevance), dtype=bool)
-    for turn in range(len(relevance)):
-        value = relevance if turn == 0 else lam * relevance - (1 - lam) * nearest
-        # rounding keeps equal scores equal; heads are sorted by item, so argmax takes the earlier row
-        best = int(np.argmax(np.where(open_heads, np.round(value, 12), -np.inf)))
-        picks[best] = np.inf if turn == 0 else value[best]
-        open_heads[best] = False
-        if total:
-            same = sum(w * (attributes[name] == attributes[name][best]) for name, w in used.items())
-            nearest = np.maximum(nearest, same / total)
-    return picks.tolist()
+def _first_picks(heads, used: dict[str, float], total: float, lam: float) -> list[float]:
+    """Score at which each cell's first row is picked; the very first pick gets infinity.
+
+    Two cells agree on some set of attributes, so similarity to the picked rows takes few values. It never falls, hence
+    a queue ordered by possibly outdated values is enough: the front is looked at again and either picked or moved back.
+    """
+    names = [tuple(s) for size in range(len(used), 0, -1) for s in combinations(used, size)]
+    levels = sorted(((sum(used[n] for n in s) / total, s) for s in names), reverse=True) if total else []
+    met: list[set] = [set() for _ in levels]
+    cells = [[tuple(head[n] for n in s) for _, s in levels] for head in heads]
+
+    def value(j: int) -> float:
+        near = next((level for (level, _), seen, own in zip(levels, met, cells[j]) if own in seen), 0.0)
+        return lam * heads[j]["r"] - (1 - lam) * near
+
+    def pick(j: int, score: float) -> None:
+        picks[j] = score
+        for seen, own in zip(met, cells[j]):
+            seen.add(own)
+
+    picks = [math.nan] * len(heads)
+    front = min(range(len(heads)), key=lambda j: (-round(heads[j]["r"], 12), j))
+    pick(front, math.inf)
+    queue = [(-round(value(j), 12), j) for j in range(len(heads)) if j != front]
+    heapq.heapify(queue)
+    while queue:
+        shown, j = queue[0]
+        now = value(j)
+        if -round(now, 12) > shown:
+            heapq.heapreplace(queue, (-round(now, 12), j))
+        else:
+            heapq.heappop(queue)
+            pick(j, now)
+    return picks
 
 
 def sweep(

@@ -213,8 +213,8 @@ def pairwise_samples(
 
     Per positive: max(1, n_neg // 2) distinct negatives from the group's strongest
     `hard * positives` by best channel score, the rest uniform (distinct while enough negatives
-    exist). Groups lacking either class yield nothing. Draws are walked from a hashed start, so only
-    n_neg rows per positive are ever produced.
+    exist). Groups lacking either class yield nothing. Both kinds walk the pool in the order of a hash from a hashed
+    start: draws of one positive are no neighbours in score order, and only n_neg rows per positive are produced.
     """
     keys = keys or ["user_id", "date"]
     hard = max(1, n_neg // 2)
@@ -225,14 +225,18 @@ def pairwise_samples(
     )
     counts = counts.filter((F.col("_p") > 0) & (F.col("_n") > 0))
     pool = F.least(F.col("_n"), F.lit(hard) * F.col("_p"))
-    negatives = ordinal(
+    scored = ordinal(
         labelled.filter(F.col("label_complete") == 0).select(
-            *keys, "item_id", (-F.col("_best")).alias("_weak")
+            *keys, "item_id", (-F.col("_best")).alias("_weak"), hash32(seed, F.lit("mix"), *keys, "item_id").alias("_mix")
         ),
         ["_weak", "item_id"],
         "_ord",
         keys,
-    ).select(*keys, F.col("item_id").alias("negative_id"), (F.col("_ord") - 1).alias("_at"))
+    ).join(counts.select(*keys, pool.alias("_pool")), keys)
+    kinds = scored.withColumn("_kind", F.explode(F.when(F.col("_ord") <= F.col("_pool"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))))
+    negatives = ordinal(kinds.select(*keys, "_kind", "_mix", "item_id"), ["_mix", "item_id"], "_ord", [*keys, "_kind"]).select(
+        *keys, "_kind", F.col("item_id").alias("negative_id"), (F.col("_ord") - 1).alias("_at")
+    )
     picked = F.least(pool, F.lit(hard))
     step = F.when(
         F.col("draw") < picked,
@@ -243,9 +247,9 @@ def pairwise_samples(
         .select(*keys, "item_id")
         .join(counts, keys)
         .withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_neg - 1))))
-        .withColumn("_at", step)
+        .withColumns({"_at": step, "_kind": F.when(F.col("draw") < picked, 0).otherwise(1)})
     )
-    return draws.join(negatives, [*keys, "_at"]).select(
+    return draws.join(negatives, [*keys, "_kind", "_at"]).select(
         *keys, F.col("item_id").alias("positive_id"), "negative_id", "draw"
     )
 

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.recommendation import ALS
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelwise.functions.ordering import ordinal
 from reelwise.operators.ranked import only_allowed, positive_tail
 from reelwise.operators.text import content_vectors, tfidf_weights, unit_vector, with_content
 from reelwise.operators.tiles import dense_topk
+from reelwise.session import cut_lineage
 
 # Numeric profile columns and hash width of the feature recall.
 PROFILE_NUMBERS = [
@@ -34,16 +37,9 @@ def embedding_topk(
 
 def mean_vectors(pairs: DataFrame, items: DataFrame, dim: int) -> DataFrame:
     """Mean item vector per user over `pairs` (user_id, item_id), repeats counted."""
-    times = pairs.groupBy("user_id", "item_id").agg(F.count("*").alias("_n"))
-    return (
-        times.join(items.select("item_id", "vector"), "item_id")
-        .groupBy("user_id")
-        .agg(
-            F.sum("_n").alias("_all"),
-            F.array(*[F.sum(F.col("_n") * F.col("vector")[i].cast("double")) for i in range(dim)]).alias("_s"),
-        )
-        .select("user_id", F.transform("_s", lambda x: x / F.col("_all")).alias("vector"))
-    )
+    times = pairs.groupBy("user_id", "item_id").agg(F.count("*").cast("double").alias("_n"))
+    placed = times.join(items.select("item_id", array_to_vector("vector").alias("_v")), "item_id")
+    return placed.groupBy("user_id").agg(vector_to_array(Summarizer.mean(F.col("_v"), F.col("_n"))).alias("vector"))
 
 
 def als_recall(
@@ -62,23 +58,26 @@ def als_recall(
         .groupBy("user_id", "item_id")
         .agg(F.sum(F.lit(1.0)).cast("float").alias("plays"))
     )
+    # The solver takes 32-bit ids: number users and items densely and map the factors back.
+    user_codes = cut_lineage(ordinal(positives.select("user_id").distinct(), ["user_id"], "_u").withColumn("_u", F.col("_u").cast("int")))
+    item_codes = cut_lineage(ordinal(positives.select("item_id").distinct(), ["item_id"], "_i").withColumn("_i", F.col("_i").cast("int")))
     als = ALS(
         rank=rank,
         maxIter=iterations,
         implicitPrefs=True,
-        userCol="user_id",
-        itemCol="item_id",
+        userCol="_u",
+        itemCol="_i",
         ratingCol="plays",
         seed=seed,
     )
-    model = als.fit(positives)
-    factors = F.col("features").alias("vector")
-    known = model.userFactors.select(F.col("id").cast("long").alias("user_id"), factors)
-    catalog = model.itemFactors.select(F.col("id").cast("long").alias("item_id"), factors)
+    model = als.fit(positives.join(user_codes, "user_id").join(item_codes, "item_id").select("_u", "_i", "plays"))
+    factors = lambda df, code: df.select(F.col("id").alias(code), F.col("features").alias("vector"))
+    known = factors(model.userFactors, "_u").join(user_codes, "_u").select("user_id", "vector")
+    catalog = factors(model.itemFactors, "_i").join(item_codes, "_i").select("item_id", "vector")
     return embedding_topk(known.join(users.select("user_id"), "user_id", "left_semi"), catalog, seen, k, allowed)
 
 
-def item_feature_vectors(items: DataFrame, text_dim: int = 32, max_terms: int = 20_000) -> DataFrame:
+def item_feature_vectors(items: DataFrame, text_dim: int = 32, max_terms: int | None = None) -> DataFrame:
     """Text components, category one-hot, hashed author one-hot and scaled log duration, per item."""
     text = with_content(items, content_vectors(tfidf_weights(items, max_terms=max_terms), text_dim), text_dim)
     facts = text.select(

@@ -15,7 +15,8 @@ from reelwise.plans.world import World, stored
 from reelwise.sources import driver_tables as D
 
 CHANNEL_LISTS = {"itemcf": "cf_list", "content": "cat_list", "tower": "emb_list"}
-LIMITS = C.channel_limits(15, {"content": 0.5, "tower": 1.0}, S.CHANNELS)
+TOP, WEIGHTS = 15, {"content": 0.5, "tower": 1.0}
+LIMITS = {"itemcf": 15, "content": 8, "tower": 15}  # what TOP and WEIGHTS come to
 SPARSE = ["user_id", "item_id", "first_category", "author_id_hash"]
 DENSE = ["itemcf_rank_score", "channel_count", "user_complete_rate", "item_interactions", "category_affinity"]
 
@@ -36,7 +37,7 @@ def channel_lists(w: World):
 def candidate_frame(w: World, **options):
     """(candidates, truth) of the test days."""
     name = "candidates" + "".join(f"_{key}_{value}" for key, value in sorted(options.items()))
-    build = lambda: C.build_candidates(w.log, w.items, "test", channel_lists(w), LIMITS, **options)[0]
+    build = lambda: C.build_candidates(w.log, w.items, "test", channel_lists(w), TOP, WEIGHTS, **options)[0]
     return stored(w, name, build), w.truth
 
 
@@ -136,7 +137,7 @@ def rounded4(df, names):
 )
 def candidate_merge(spark, folder):
     w = World(spark, folder)
-    return C.merge_channels(w.truth, channel_lists(w), w.items, LIMITS)
+    return C.merge_channels(w.truth, channel_lists(w), w.items, TOP, WEIGHTS)
 
 
 @register(
@@ -218,7 +219,7 @@ def encode_candidates(spark, folder):
 def source_mask(spark, folder):
     """Channel bit masks of the candidates left by the no-tower ablation."""
     w = World(spark, folder)
-    kept = C.without_tower_only(C.merge_channels(w.truth, channel_lists(w), w.items, LIMITS))
+    kept = C.without_tower_only(C.merge_channels(w.truth, channel_lists(w), w.items, TOP, WEIGHTS))
     return kept.groupBy(C.source_mask().alias("mask")).agg(F.count("*").alias("rows"))
 
 

@@ -10,6 +10,7 @@ from reelwise.plans import (  # noqa: F401  (importing a module registers its qu
     profiling,
     recalling,
     sampling,
+    storing,
 )
 from reelwise.plans.registry import ORACLES, QUERIES
 

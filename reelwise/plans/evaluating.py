@@ -8,6 +8,7 @@ from reelwise.operators import evaluate as E
 from reelwise.operators import rerank as RR
 from reelwise.operators import scoring_metrics as SC
 from reelwise.operators.candidates import catalog_size
+from reelwise.operators.ranked import retrieval_depth
 from reelwise.operators.recall import category_recall, popular_scores, popularity, recommend_ranked
 from reelwise.plans.candidating import K, LENGTH, candidate_frame, channel_lists
 from reelwise.plans.preparing import dense_panel
@@ -20,6 +21,7 @@ from reelwise.session import cut_lineage
 from reelwise.sources import driver_tables as D
 
 GAIN = "1 / log2(rank + 1)"
+DEPTH = retrieval_depth(20, dense_panel=True)  # deep enough that the availability filter leaves full lists
 
 
 def ideal_sql(pos: str, k: int) -> str:
@@ -55,7 +57,7 @@ def group_fragment(name: str, ranked: str, truth: str, ks: list[int], keys: str
     )
 
 
-fragment("pop_list", ["pop_all", "users", "seen"], first_unseen_sql("pop_all", "users", "seen", 50))
+fragment("pop_list", ["pop_all", "users", "seen"], first_unseen_sql("pop_all", "users", "seen", DEPTH))
 fragment("pop_count", ["train"], "SELECT item_id, count(*) AS cnt FROM train GROUP BY 1")
 daily_fragment("pop_daily", "pop_list", "", 20)
 group_fragment("pop_groups", "pop_daily", "truth", [5, 10, 20])
@@ -73,7 +75,7 @@ FROM pop_groups""",
 
 
 def popular_daily(w: World, k: int = 20):
-    ranked = recommend_ranked(popular_scores(w.train), w.users, w.seen, 50)
+    ranked = recommend_ranked(popular_scores(w.train), w.users, w.seen, DEPTH)
     return E.available_on_date(ranked, w.truth, w.items, k)
 
 
@@ -667,59 +669,135 @@ FROM paired""",
 def paired_bootstrap(spark, folder):
     """Item CF against popularity on Recall@10, 200 resamples."""
     a, b = compared(World(spark, folder))
-    return E.paired_bootstrap(a, b, "recall_at_10", 200)
+    return E.paired_bootstrap(a, b, "recall_at_10", 200, poisson=False)
 
 
-@register("paired_bootstrap_poisson")
+def poisson_boot_sql(diffs: str, samples: int = 200) -> str:
+    """Resampled means with Poisson(1) weights read off the same hash as the engine's."""
+    cases = " ".join(f"WHEN h < {edge} THEN {count}" for count, edge in E.POISSON_STEPS)
+    return f"""
+SELECT b, sum(w * diff) / nullif(sum(w), 0) AS m FROM (
+  SELECT b, diff, CASE {cases} ELSE {len(E.POISSON_STEPS)} END AS w FROM (
+    SELECT b, diff, {hash32(2026, 'b', 'user_id')} AS h FROM {diffs}, (SELECT unnest(generate_series(0, {samples - 1})) AS b)
+  )
+) GROUP BY 1"""
+
+
+@register(
+    "paired_bootstrap_poisson",
+    query(
+        ["pop_groups", "cf_groups"],
+        f"""
+SELECT count(*) AS paired_users, {rx('avg(diff)', 'mean_difference')},
+  {rx('(SELECT quantile_cont(m, 0.025) FROM boot)', 'ci_95_low')}, {rx('(SELECT quantile_cont(m, 0.975) FROM boot)', 'ci_95_high')}
+FROM paired""",
+        extra={"paired": PAIRED["paired"], "boot": poisson_boot_sql("paired")},
+    ),
+)
 def paired_bootstrap_poisson(spark, folder):
     a, b = compared(World(spark, folder))
     return E.paired_bootstrap(a, b, "recall_at_10", 200, poisson=True)
 
 
+daily_fragment("emb_daily", "emb_list", "", 10)
+group_fragment("emb_groups", "emb_daily", "truth", [10])
+CHALLENGERS = {"itemcf": "cf_groups", "embedding": "emb_groups"}
+for _name, _groups in CHALLENGERS.items():
+    for _metric in ("recall", "ndcg"):
+        fragment(
+            f"{_name}_{_metric}_diff",
+            ["pop_groups", _groups],
+            f"""
+SELECT user_id, b.m - a.m AS diff FROM (SELECT user_id, avg({_metric}_at_10) AS m FROM pop_groups GROUP BY 1) a
+JOIN (SELECT user_id, avg({_metric}_at_10) AS m FROM {_groups} GROUP BY 1) b USING (user_id)""",
+        )
+        fragment(f"{_name}_{_metric}_boot", [f"{_name}_{_metric}_diff"], poisson_boot_sql(f"{_name}_{_metric}_diff"))
+
+
 @register(
     "challenger_gate",
     query(
-        ["summary"],
+        [*CHALLENGERS.values(), *[f"{name}_{metric}_boot" for name in CHALLENGERS for metric in ("recall", "ndcg")]],
         f"""
 SELECT experiment_id, {rx('recall', 'recall')}, eligible,
-  coalesce((SELECT arg_max(experiment_id, recall) FROM c WHERE eligible), 'content') AS winner FROM c""",
+  coalesce((SELECT arg_max(experiment_id, recall) FROM c WHERE eligible), 'popular') AS winner FROM c""",
         extra={
-            "c": """
-SELECT experiment_id, recall_at_10 AS recall, recall_at_10 - 0.05::DOUBLE > 0 AND ndcg_at_10 - 0.04::DOUBLE >= 0 AS eligible
-FROM summary WHERE evaluation = 'full_exposure'"""
+            "c": " UNION ALL ".join(
+                f"""
+SELECT '{name}' AS experiment_id, (SELECT avg(recall_at_10) FROM {groups}) AS recall,
+  (SELECT quantile_cont(m, 0.025) FROM {name}_recall_boot) > 0 AND (SELECT quantile_cont(m, 0.975) FROM {name}_ndcg_boot) >= 0 AS eligible"""
+                for name, groups in CHALLENGERS.items()
+            )
         },
     ),
 )
 def challenger_gate(spark, folder):
-    summary = exposure_summary(World(spark, folder)).filter("evaluation = 'full_exposure'")
-    rows = summary.select(
-        "experiment_id",
-        F.col("recall_at_10").alias("recall"),
-        (F.col("recall_at_10") - 0.05).alias("recall_ci_low"),
-        (F.col("ndcg_at_10") - 0.04).alias("ndcg_ci_high"),
+    """Item CF and embeddings against popularity, on the intervals of their paired bootstraps."""
+    w = World(spark, folder)
+    base = cut_lineage(E.recall_by_group(popular_daily(w), w.truth, 10))
+    rows = None
+    for name, lists in (("itemcf", itemcf(w, K)), ("embedding", embedding_lists(w))):
+        daily = E.available_on_date(lists.select("user_id", "item_id", "rank"), w.truth, w.items, 10)
+        groups = cut_lineage(E.recall_by_group(daily, w.truth, 10))
+        low = E.paired_bootstrap(base, groups, "recall_at_10", 200).select("ci_95_low").scalar()
+        high = E.paired_bootstrap(base, groups, "ndcg_at_10", 200).select("ci_95_high").scalar()
+        row = groups.agg(F.avg("recall_at_10").alias("recall")).select(
+            F.lit(name).alias("experiment_id"), "recall", low.alias("recall_ci_low"), high.alias("ndcg_ci_high")
+        )
+        rows = row if rows is None else rows.unionByName(row)
+    return E.challenger_gate(cut_lineage(rows), "popular").select("experiment_id", "recall", "eligible", "winner")
+
+
+for _name in MODELS:
+    group_fragment(f"{_name}_gate_groups", f"{_name}_daily", "truth", [10])
+    fragment(
+        f"{_name}_gate",
+        [f"{_name}_gate_groups", f"{_name}_daily", "itemcf_daily", "truth", "items", "log"],
+        f"""
+SELECT (SELECT avg(recall_at_10) FROM {_name}_gate_groups) AS recall,
+  (SELECT count(DISTINCT item_id) FROM {_name}_daily) / (SELECT count(*) FROM items
+    WHERE first_seen_date <= (SELECT max(date) FROM log WHERE split = 'test')) AS coverage,
+  (SELECT avg(uh / pos) - avg(bh / pos) FROM (
+    SELECT user_id, date, count(*) AS pos, count(b.item_id) AS bh, count(coalesce(b.item_id, c.item_id)) AS uh
+    FROM truth LEFT JOIN itemcf_daily b USING (user_id, date, item_id) LEFT JOIN {_name}_daily c USING (user_id, date, item_id)
+    GROUP BY ALL)) AS gain""",
     )
-    return E.challenger_gate(cut_lineage(rows), "content").select("experiment_id", "recall", "eligible", "winner")
 
 
 @register(
     "quota_gate",
     query(
-        ["summary"],
-        f"""
-SELECT experiment_id, recall_at_10 >= 0.98::DOUBLE * (SELECT recall_at_10 FROM f WHERE experiment_id = 'itemcf')
-  AND ndcg_at_10 >= 1.05::DOUBLE * (SELECT ndcg_at_10 FROM f WHERE experiment_id = 'itemcf') AND recall_at_10 > 0 AS passed FROM f""",
-        extra={"f": "SELECT * FROM summary WHERE evaluation = 'full_exposure'"},
+        [f"{name}_gate" for name in MODELS],
+        " UNION ALL ".join(
+            f"""
+SELECT '{name}' AS experiment_id, c.recall >= 0.98::DOUBLE * b.recall AND c.coverage >= 1.05::DOUBLE * b.coverage AND c.gain > 0 AS passed
+FROM {name}_gate c, itemcf_gate b"""
+            for name in MODELS
+            if name != "itemcf"
+        ),
     ),
 )
 def quota_gate(spark, folder):
-    f = cut_lineage(exposure_summary(World(spark, folder)).filter("evaluation = 'full_exposure'"))
-    base = f.filter("experiment_id = 'itemcf'")
-    rows = f.select(
-        "experiment_id",
-        F.col("recall_at_10").alias("recall"),
-        F.col("ndcg_at_10").alias("coverage"),
-        F.col("recall_at_10").alias("oracle_gain"),
-    ).withColumns(
-        {"base_recall": base.select("recall_at_10").scalar(), "base_coverage": base.select("ndcg_at_10").scalar()}
-    )
+    """The other channels against item CF: recall, catalog coverage and what they add to its oracle recall."""
+    w = World(spark, folder)
+    lists = channel_lists(w)
+    size = catalog_size(w.items, w.log, "test").scalar()
+    facts = {}
+    for name in MODELS:
+        daily = cut_lineage(E.available_on_date(lists[name], w.truth, w.items, 10))
+        facts[name] = cut_lineage(E.recall_metrics(daily, w.truth, None, size, [10]).select("recall_at_10", "coverage_at_10"))
+    rows = None
+    for name in MODELS:
+        if name == "itemcf":
+            continue
+        gain = E.channel_overlap([lists["itemcf"]], lists[name], w.truth, w.items, 10).select("incremental_oracle_recall_at_10").scalar()
+        row = facts[name].select(
+            F.lit(name).alias("experiment_id"),
+            F.col("recall_at_10").alias("recall"),
+            F.col("coverage_at_10").alias("coverage"),
+            gain.alias("oracle_gain"),
+            facts["itemcf"].select("recall_at_10").scalar().alias("base_recall"),
+            facts["itemcf"].select("coverage_at_10").scalar().alias("base_coverage"),
+        )
+        rows = row if rows is None else rows.unionByName(row)
     return E.quota_gate(rows).select("experiment_id", "passed")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reelwise import schema as S
+from reelwise.operators import candidates as C
 from reelwise.operators import rankers as R
 from reelwise.operators import scoring_metrics as SC
 from reelwise.operators.rerank import blend_scores
 from reelwise.operators.stats import pointwise_frame, strict_past_stats
+from reelwise.plans.candidating import TOP, WEIGHTS, candidate_frame, channel_lists
 from reelwise.plans.registry import register
 from reelwise.plans.world import World, stored
 
@@ -20,7 +22,8 @@ def pointwise(w: World):
 
     def build():
         frame = pointwise_frame(strict_past_stats(w.log), w.items)
-        return frame.withColumns({"hour": F.hour("timestamp"), "weekday": F.weekday("timestamp")}).na.fill(0.0)
+        # No history stays NULL here: the linear ranker imputes medians, trees set the gap apart.
+        return frame.withColumns({"hour": F.hour("timestamp"), "weekday": F.weekday("timestamp")})
 
     frame = stored(w, "pointwise_rows", build)
     columns = S.pointwise_columns(["F0", "F1", "F2", "F3", "F5"])
@@ -46,7 +49,11 @@ def gbt_scores(spark, folder):
 
 @register("fm_scores")
 def fm_scores(spark, folder):
-    return _scored(spark, folder, R.fit_factorization)
+    train, test, columns = pointwise(World(spark, folder))
+    # Factorisation has no notion of a gap.
+    model = R.fit_factorization(train.na.fill(0.0, columns), columns)
+    out = R.predict(model, test.na.fill(0.0, columns), columns)
+    return out.select("event_id", "user_id", "date", "item_id", "label_complete", "score")
 
 
 @register("feature_importance")
@@ -66,18 +73,32 @@ def label_blend(spark, folder):
     return test.select("event_id", *[expr.alias(name) for name, expr in blends.items()])
 
 
+def candidate_frames(w: World):
+    """Candidates of the validation days to learn from and of the test days to score, and the features."""
+    channels = channel_lists(w)
+    valid = stored(w, "candidates_valid", lambda: C.build_candidates(w.log, w.items, "valid", channels, TOP, WEIGHTS)[0])
+    return valid, candidate_frame(w)[0], S.FEATURES
+
+
 @register("pairwise_ranker")
 def pairwise_ranker(spark, folder):
-    """Linear pairwise ranker over each user's days, from sampled pairs."""
-    train, test, columns = pointwise(World(spark, folder))
-    channels = {
-        "itemcf_rank_score": F.col("item_complete_rate"),
-        "content_rank_score": F.col("item_strong_rate"),
-        "tower_rank_score": F.lit(0.0),
-    }
-    rows = train.dropDuplicates(["user_id", "date", "item_id"]).withColumns(channels)
-    coefficients = R.fit_pairwise(rows, columns, n_neg=2)
-    return R.score_linear(test, coefficients).select("event_id", "user_id", "date", "item_id", "score")
+    """Linear pairwise ranker over the candidates of each user and day."""
+    valid, test, columns = candidate_frames(World(spark, folder))
+    coefficients = R.fit_pairwise(valid, columns, n_neg=2)
+    return R.score_linear(test, coefficients).select("user_id", "date", "item_id", "score")
+
+
+@register("ablation_sources")
+def ablation_sources(spark, folder):
+    """The candidate ranker with all channels, and without the candidates that only the tower found."""
+    valid, test, columns = candidate_frames(World(spark, folder))
+    without = S.FEATURE_SETS["without_tower"]
+    rows = None
+    for name, source, used in (("all", lambda df: df, columns), ("no_tower", C.without_tower_only, without)):
+        scored = R.predict(R.fit_logistic(source(valid), used), source(test), used)
+        row = SC.auc(scored).select("auc", "rows").withColumn("source", F.lit(name))
+        rows = row if rows is None else rows.unionByName(row)
+    return rows
 
 
 @register("ablation_sweep")

@@ -251,7 +251,7 @@ SELECT user_id, item_id, is_known, r FROM (
     FROM {p}items i LEFT JOIN (SELECT item_id, count(*) AS cnt FROM {p}train GROUP BY 1) q ON q.item_id = i.item_id
   ) l ON l.c = t.c
   WHERE NOT EXISTS (SELECT 1 FROM {p}seen x WHERE x.user_id = t.user_id AND x.item_id = l.item_id)
-) WHERE r <= {4 * k}""",
+)""",
     )
     fragment(f"{name}_list", [f"{name}_walk"], interleaved_sql(f"{name}_walk", k, "r"))
 
@@ -276,7 +276,7 @@ def category_recall_early(spark, folder):
 # --- text ---------------------------------------------------------------------------------------
 
 
-def tfidf_fragment(name: str, source: str, needs: list[str], terms: int) -> None:
+def tfidf_fragment(name: str, source: str, needs: list[str]) -> None:
     fragment(
         f"{name}_tf",
         needs,
@@ -296,15 +296,14 @@ SELECT item_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS weight
   SELECT f.item_id, f.term, (1 + ln(f.tf)) * (ln((1.0::DOUBLE + n) / (1 + v.df)) + 1) AS w
   FROM {name}_tf f JOIN (
     SELECT term, count(*) AS df, sum(tf) AS freq FROM {name}_tf GROUP BY 1 HAVING count(*) >= 2
-    ORDER BY freq DESC, term LIMIT {terms}
   ) v ON v.term = f.term, (SELECT count(*) AS n FROM {source}) c
 )""",
     )
 
 
 fragment("docs", [], "SELECT doc_id AS item_id, text AS content_text FROM documents")
-tfidf_fragment("doc", "docs", ["docs"], 30000)
-tfidf_fragment("part", "items", ["items"], 30000)
+tfidf_fragment("doc", "docs", ["docs"])
+tfidf_fragment("part", "items", ["items"])
 
 
 @register("tfidf_weights", query(["doc_w"], f"SELECT item_id, term, {r6('weight')} FROM doc_w"))
@@ -338,7 +337,7 @@ SELECT user_id, item_id, score, item_id IN (SELECT item_id FROM train) AS is_kno
     ) c ON c.user_id = u.user_id AND c.first_category = i.first_category
     WHERE NOT EXISTS (SELECT 1 FROM seen x WHERE x.user_id = u.user_id AND x.item_id = i.item_id)
   )
-) WHERE r <= {2 * k}""",
+)""",
     )
     fragment(
         f"{name}_list",

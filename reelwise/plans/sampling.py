@@ -235,16 +235,22 @@ FROM panel p LEFT JOIN (SELECT item_id, count(*) AS n, avg(label_complete) AS c,
         ["scored_panel"],
         f"""
 SELECT p.user_id, p.date, p.item_id AS positive_id, n.item_id AS negative_id, p.draw
-FROM draws p JOIN neg n ON n.user_id = p.user_id AND n.spot = p.spot""",
+FROM draws p JOIN mixed n ON n.user_id = p.user_id AND n.date = p.date AND n.hard = p.hard AND n.spot = p.spot""",
         extra={
             "neg": """
-SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id, date ORDER BY greatest(a, b, t) DESC, item_id) - 1 AS spot
+SELECT user_id, date, item_id, row_number() OVER (PARTITION BY user_id, date ORDER BY greatest(a, b, t) DESC, item_id) - 1 AS spot
 FROM scored_panel WHERE label_complete = 0""",
             "sizes": """
 SELECT user_id, date, sum(label_complete) AS p, sum(1 - label_complete) AS n FROM scored_panel GROUP BY ALL
 HAVING sum(label_complete) > 0 AND sum(1 - label_complete) > 0""",
+            # A shuffle of the whole group and one of its strongest negatives.
+            "mixed": f"""
+SELECT user_id, date, item_id, hard, row_number() OVER (PARTITION BY user_id, date, hard
+  ORDER BY {hash32(SEED, "'mix'", 'user_id', 'date', 'item_id')}, item_id) - 1 AS spot
+FROM (SELECT user_id, date, item_id, false AS hard FROM neg
+  UNION ALL SELECT user_id, date, item_id, true FROM neg JOIN sizes USING (user_id, date) WHERE spot < least(n, 2 * p))""",
             "draws": f"""
-SELECT x.*, CASE WHEN draw < least(pool, 2)
+SELECT x.*, draw < least(pool, 2) AS hard, CASE WHEN draw < least(pool, 2)
   THEN ({hash32(SEED, "'hard'", 'x.user_id', 'x.date', 'x.item_id')} + draw) % pool
   ELSE ({hash32(SEED, "'any'", 'x.user_id', 'x.date', 'x.item_id')} + draw) % n END AS spot
 FROM (

@@ -12,19 +12,11 @@ from reelwise.session import cut_lineage
 from reelwise.sources import driver_tables as D
 
 
-_STORED: dict[tuple[str, str, str], DataFrame] = {}
-
-
 def stored(w: World, name: str, build) -> DataFrame:
-    """A written stage result (channel lists, candidate frame) shared by the queries of one session.
-
-    Stages of the offline run hand over by tables; rebuilding a channel for every query that reads it
-    would only repeat the same jobs.
-    """
-    key = (w.spark.sparkContext.applicationId, w.folder, name)
-    if key not in _STORED:
-        _STORED[key] = cut_lineage(build())
-    return _STORED[key]
+    """A written stage result (channel lists, candidate frame) of one run; several stages read it again."""
+    if name not in w.stages:
+        w.stages[name] = cut_lineage(build())
+    return w.stages[name]
 
 
 class World:
@@ -32,6 +24,7 @@ class World:
 
     def __init__(self, spark: SparkSession, folder: str, kind: str = "events"):
         self.spark, self.folder, self.kind = spark, folder, kind
+        self.stages: dict[str, DataFrame] = {}
         if kind == "events":
             self.log, opened = D.events_log(spark, folder), D.CATALOG_OPENED
         elif kind == "orders":

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,22 +25,31 @@ def build_session(app: str = "reelwise", master: str | None = None, **conf: str)
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, so that functions find it whatever folder a run starts in."""
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="reelwise-package-")) / "reelwise.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, f"{root.name}/{file.relative_to(root)}")
+    spark.sparkContext.addPyFile(str(archive))
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder every executor can reach.
 
-    It comes from `spark.checkpoint.dir`. Only a local master may fall back to a temporary folder:
-    executors on other machines could not read it.
+    It comes from `spark.checkpoint.dir`, which every run has to name.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="reelwise-")
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 

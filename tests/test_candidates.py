@@ -31,12 +31,9 @@ def world(spark, make_log):
     return log, items, channels
 
 
-LIMITS = {"itemcf": 10, "content": 10, "tower": 10}
-
-
 def build(world, **options):
     log, items, channels = world
-    return C.build_candidates(log, items, "test", channels, options.pop("limits", LIMITS), **options)
+    return C.build_candidates(log, items, "test", channels, options.pop("top", 10), **options)
 
 
 def test_unexposed_candidates_vanish(world):
@@ -69,11 +66,8 @@ def test_cross_features_are_products(world):
     assert rows[20].item_age_days == 10 and rows[20].user_interactions == 3
 
 
-def test_channel_limits(world):
-    assert C.channel_limits(10, {"content": 0.25}, S.CHANNELS) == {"itemcf": 10, "content": 2, "tower": 10}
-    assert C.channel_limits(1, {"tower": 0.01}, ["tower"]) == {"tower": 1}
-    assert C.candidate_sizes({}) == (150, 300) and C.candidate_sizes({"top_per_channel": 9}, None, 4) == (9, 4)
-    frame, _ = build(world, limits={"itemcf": 1, "content": 1, "tower": 1})
+def test_channel_depth(world):
+    frame, _ = build(world, top=1, weights={"tower": 0.01})
     rows = {r.item_id: r for r in frame.collect()}
     assert rows[20].content_present == 0 and rows[20].itemcf_present == 1
     assert rows[21].tower_present == 1

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from reelwise.functions import ordering
 from reelwise.functions.ordering import exact_quantiles, ordinal, running_totals, smallest, top_n
 
 
@@ -31,17 +32,20 @@ def test_ordinal_within_skewed_groups(spark, skewed):
     assert (merged.pos_x == merged.pos_y).all()
 
 
-def test_no_task_holds_the_hot_group(spark, skewed):
-    """The largest (key, bucket) of the hot user stays far below the user's rows."""
+@pytest.mark.parametrize("rows", [100, 1000])
+def test_buckets_grow_with_the_data(spark, skewed, rows, monkeypatch):
+    """A tenth of the rows per bucket gives ten times the buckets, and no bucket holds the hot group."""
+    monkeypatch.setattr(ordering, "BUCKET_ROWS", rows)
     df = spark.createDataFrame(skewed)
-    out = running_totals(df, ["user_id"], ["value", "id"], {"pos": F.lit(1)}, settle=False)
-    plan = out._jdf.queryExecution().optimizedPlan().toString()
-    assert "_bucket" in plan
-    hot = skewed[skewed.user_id == 0]
-    # a sample of 64 ordered bounds cuts a third of the rows into at least 15 parts here
-    cuts = sorted(zip(skewed.value, skewed.id))[::63]
-    parts = np.searchsorted([c[0] for c in cuts], hot.value)
-    assert pd.Series(parts).nunique() > 15
+    out = running_totals(df, ["user_id"], ["value", "id"], {"pos": F.lit(1)})
+    assert "_bucket" in out._jdf.queryExecution().optimizedPlan().toString()
+    want = skewed.sort_values(["user_id", "value", "id"])
+    want["pos"] = want.groupby("user_id").cumcount() + 1
+    merged = out.toPandas().merge(want, on="id")
+    assert len(merged) == len(skewed) and (merged.pos_x == merged.pos_y).all()
+    cut = df.repartitionByRange(-(-len(skewed) // rows), "user_id", "value", "id").groupBy(F.spark_partition_id()).count()
+    sizes = [r["count"] for r in cut.collect()]
+    assert len(sizes) > 0.8 * len(skewed) / rows and max(sizes) < 3 * rows
 
 
 def test_global_running_sum(spark, skewed):

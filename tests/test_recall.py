@@ -6,8 +6,6 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from reelwise.operators import ranked as RK
@@ -149,7 +147,6 @@ def test_category_recall_matches_brute_force(spark, skewed_log):
         walk = []
         for c in sorted(tastes, key=lambda c: (-tastes[c], c)):
             walk += sorted((i for i in category if category[i] == c and i not in seen[u]), key=lambda i: (-pop.get(i, 0), i))
-        walk = walk[: 4 * k]
         want[u] = interleave_loop([i for i in walk if i not in pop], [i for i in walk if i in pop], k)
     got = lists(RC.category_recall(skewed_log, items, users_of(skewed_log), RK.seen_pairs(skewed_log), k, 10))
     assert got == want
@@ -173,18 +170,26 @@ def fold_plain(rankings, weights, k):
     return out
 
 
-@settings(max_examples=60, deadline=None)
-@given(
-    st.lists(st.lists(st.integers(0, 15), unique=True, max_size=10), min_size=1, max_size=4),
-    st.integers(1, 12),
-    st.data(),
-)
-def test_fold_has_no_duplicates_and_equals_the_walk(rankings, k, data):
-    weights = data.draw(st.lists(st.integers(1, 9), min_size=len(rankings), max_size=len(rankings)))
-    shares = [w / sum(weights) for w in weights]
-    got = RK._fold(rankings, shares, k)
-    assert got == fold_plain(rankings, weights, k)
-    assert len(got) == len(set(got)) <= k
+def test_fusion_has_no_duplicates_and_equals_the_walk(spark):
+    rng = random.Random(4)
+    for channels in (1, 2, 4):
+        weights = [rng.randint(1, 9) for _ in range(channels)]
+        rows, want = [], {}
+        for user in range(60):
+            rankings = [rng.sample(range(16), rng.randint(0, 10)) for _ in range(channels)]
+            rows += [(user, item, rank, f"c{c}") for c, items in enumerate(rankings) for rank, item in enumerate(items)]
+            want[user] = fold_plain(rankings, weights, 9)
+        df = spark.createDataFrame(rows, "user_id long, item_id long, rank int, channel string")
+        got = lists(RK.quota_fuse(df, {f"c{c}": w for c, w in enumerate(weights)}, 9))
+        assert got == {u: w for u, w in want.items() if w}
+        assert all(len(items) == len(set(items)) <= 9 for items in got.values())
+
+
+def test_category_recall_finds_cold_items_behind_many_known_ones(spark, make_log):
+    log = make_log([(1, 0, 20240101, 1.0)] + [(2, i, 20240101, 0.1) for i in range(1, 60)])
+    items = spark.createDataFrame([(i, 3) for i in range(61)], "item_id long, first_category int")
+    got = lists(RC.category_recall(log, items, users_of(log), RK.seen_pairs(log), 5))
+    assert 60 in got[1] and len(got[1]) == 5
 
 
 def test_quota_shares(spark):
@@ -266,6 +271,13 @@ def test_train_through_guard(make_log):
     assert RK.retrieval_depth(100, True) == 500 and RK.retrieval_depth(200, False) == 1000
 
 
+def test_als_takes_large_ids(spark, skewed_log):
+    far = skewed_log.withColumns({"user_id": F.col("user_id") + 2**40, "item_id": F.col("item_id") + 2**41})
+    near = V.als_recall(skewed_log, users_of(skewed_log), RK.seen_pairs(skewed_log), 5, rank=4, iterations=2)
+    moved = V.als_recall(far, users_of(far), RK.seen_pairs(far), 5, rank=4, iterations=2)
+    assert {(u + 2**40, tuple(i + 2**41 for i in x)) for u, x in lists(near).items()} == {(u, tuple(x)) for u, x in lists(moved).items()}
+
+
 def test_als_masks_seen(spark, skewed_log):
     seen = RK.seen_pairs(skewed_log)
     out = V.als_recall(skewed_log, users_of(skewed_log), seen, 5, rank=4, iterations=2)

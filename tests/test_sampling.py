@@ -103,6 +103,18 @@ def test_pairs_stay_in_their_group(spark):
     assert not hard.duplicated(["user_id", "positive_id", "negative_id"]).any()
 
 
+def test_uniform_draws_are_no_neighbours_in_score_order(spark):
+    rows = [(1, 1, i, int(i < 3), float(i), 0.0, 0.0) for i in range(300)]
+    df = spark.createDataFrame(
+        rows, "user_id long, date int, item_id long, label_complete int, itemcf_rank_score double, content_rank_score double, tower_rank_score double"
+    )
+    out = SM.pairwise_samples(df, 8, 5).toPandas()
+    far = out[out.draw >= 4].sort_values("draw").groupby("positive_id").negative_id.apply(list)
+    steps = [abs(a - b) for items in far for a, b in zip(items, items[1:])]
+    assert len(steps) == 9 and sum(step == 1 for step in steps) <= 1
+    assert not out[out.draw >= 4].duplicated(["positive_id", "negative_id"]).any()
+
+
 def test_listwise_targets_sum_to_one(spark):
     rows = SM.listwise_targets(candidates(spark)).toPandas()
     assert set(rows.user_id) == {0, 1, 2}
