@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelwise.llm.batches import slices
+from reelwise.llm.batches import binary_rows, slices
 from reelwise.llm.labelled import id_remainder
 from reelwise.llm.linear import fit_hinge, fit_sigmoid, sigmoid
 from reelwise.llm.wordhash import LOWER
@@ -78,19 +78,19 @@ class Votes:
         return share / share.sum(1, keepdims=True)
 
 
-def fit_votes(table: np.ndarray, names: np.ndarray) -> Votes:
+def fit_votes(rows: list[tuple[np.ndarray, np.ndarray]], names: np.ndarray) -> Votes:
+    """Fit on sparse rows (columns, values)."""
     classes = sorted(set(names.tolist()))
     weights, slopes = [], []
     for one, other in combinations(classes, 2):
-        rows = np.flatnonzero((names == one) | (names == other))
-        signs = np.where(names[rows] == one, 1, -1)
-        held = np.arange(len(rows)) % 5 == 4
-        train = rows[~held]
-        where = [np.flatnonzero(x) for x in table[train]]
-        w = fit_hinge(where, [table[r][i].astype(float) for r, i in zip(train, where)], signs[~held], WIDTH, cost=4.0)
-        margins = table[rows] @ w[:-1] + w[-1]
+        picked = np.flatnonzero((names == one) | (names == other))
+        signs = np.where(names[picked] == one, 1, -1)
+        held = np.arange(len(picked)) % 5 == 4
+        train = picked[~held]
+        w = fit_hinge([rows[r][0] for r in train], [rows[r][1] for r in train], signs[~held], WIDTH, cost=4.0)
+        margins = np.array([w[rows[r][0]] @ rows[r][1] + w[-1] for r in picked])
         truth = (signs == 1).astype(int)
-        test = held if 0 < truth[held].sum() < held.sum() else np.ones(len(rows), bool)
+        test = held if 0 < truth[held].sum() < held.sum() else np.ones(len(picked), bool)
         weights.append(w)
         slopes.append(fit_sigmoid(margins[test], truth[test]))
     return Votes(classes, np.array(weights, np.float32).reshape(-1, WIDTH + 1), np.array(slopes).reshape(-1, 2))
@@ -115,18 +115,19 @@ class Model:
         return names, scores
 
 
-def fit(table: np.ndarray, names: np.ndarray) -> Model | None:
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], names: np.ndarray) -> Model | None:
     if not len(names):
         return None
     families = np.array([FAMILY_OF.get(x, x) for x in names])
-    return Model(fit_votes(table, families), {f: fit_votes(table[families == f], names[families == f]) for f in set(families.tolist())})
+    inside = lambda f: [row for row, own in zip(rows, families) if own == f]
+    return Model(fit_votes(rows, families), {f: fit_votes(inside(f), names[families == f]) for f in set(families.tolist())})
 
 
 def has_letter(raw: bytes) -> bool:
     return raw.isalpha() or any(map(str.isalpha, raw.decode()))
 
 
-def languages(df: DataFrame, max_labelled: int = 4_000, doc: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def languages(df: DataFrame, max_labelled: int = 2_000, doc: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Add `held_out`, `lang_pred` and `score` (0 to 1).
 
     Learns from the text and non-null `lang` of rows whose crc32 of the id as text, mod 5, is not 0; of those at most
@@ -145,13 +146,19 @@ def languages(df: DataFrame, max_labelled: int = 4_000, doc: str = "doc_id", tex
     def collect_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in slices(batch, "text", 1 << 18):
-                table = features(data, offsets).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("lang"), pa.array([x.tobytes() for x in table], pa.binary())], names=["doc_id", "lang", "table"])
-
-    sampled = labelled.join(F.broadcast(chosen), labelled["doc_id"].eqNullSafe(chosen["doc_id"]), "left_semi").mapInArrow(collect_rows, "doc_id long, lang string, table binary")
-    known = sorted(((r.doc_id if r.doc_id is not None else -1, r.lang, bytes(r.table)) for r in sampled.collect()), key=lambda r: (r[0], r[1], r[2]))
-    table = np.frombuffer(b"".join(r[2] for r in known), np.float16).reshape(-1, WIDTH).astype(np.float32)
-    model = spark.sparkContext.broadcast(fit(table, np.array([r[1] for r in known])))
+                table = features(data, offsets)
+                row, column = np.nonzero(table)
+                ends = np.searchsorted(row, np.arange(rows.num_rows), side="right")
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("doc_id"), rows.column("lang"), binary_rows(column.astype(np.int16), ends), binary_rows(table[row, column], ends)],
+                    names=["doc_id", "lang", "columns", "values"],
+                )
+
+    sampled = labelled.join(F.broadcast(chosen), labelled["doc_id"].eqNullSafe(chosen["doc_id"]), "left_semi")
+    sampled = sampled.mapInArrow(collect_rows, "doc_id long, lang string, columns binary, values binary")
+    known = sorted((r.doc_id if r.doc_id is not None else -1, r.lang, bytes(r.columns), bytes(r["values"])) for r in sampled.collect())
+    rows = [(np.frombuffer(c, np.int16).astype(np.int64), np.frombuffer(v, np.float32)) for _, _, c, v in known]
+    model = spark.sparkContext.broadcast(fit(rows, np.array([r[1] for r in known])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
