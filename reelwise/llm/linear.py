@@ -11,27 +11,27 @@ def fit_hinge(indices: list[np.ndarray], values: list[np.ndarray], signs: np.nda
     Row i is sparse: `values[i]` at `indices[i]`. One dual variable per row moves to its best value in turn, in an
     order drawn from `seed`; each class gets the same total cost, so a rare class is not drowned.
     """
-    weights = np.zeros(width + 1)
+    weights, bias = np.zeros(width), 0.0
     alpha = np.zeros(len(signs))
-    rows = [np.append(i, width) for i in indices]
-    filled = [np.append(v, 1.0) for v in values]
-    norms = np.array([v @ v for v in filled])
+    norms = np.array([float(v @ v) + 1.0 for v in values])
     share = {s: len(signs) / (2 * max(1, (signs == s).sum())) for s in (-1, 1)}
     upper = np.array([cost * share[int(s)] for s in signs])
     draw = np.random.default_rng(seed)
     for _ in range(passes):
         moved = 0.0
         for i in draw.permutation(len(signs)):
-            where, x = rows[i], filled[i]
-            gradient = signs[i] * (weights[where] @ x) - 1
+            where, x = indices[i], values[i]
+            gradient = signs[i] * (weights[where] @ x + bias) - 1
             new = min(max(alpha[i] - gradient / norms[i], 0.0), upper[i])
             if new != alpha[i]:
-                weights[where] += (new - alpha[i]) * signs[i] * x
+                step = (new - alpha[i]) * signs[i]
+                weights[where] += step * x
+                bias += step
                 moved = max(moved, abs(new - alpha[i]) / upper[i])
                 alpha[i] = new
         if moved < 1e-3:
             break
-    return weights
+    return np.append(weights, bias)
 
 
 def fit_sigmoid(margins: np.ndarray, truth: np.ndarray, steps: int = 50) -> tuple[float, float]:

@@ -70,13 +70,15 @@ def fit(sets: list[np.ndarray], labels: np.ndarray) -> Model:
     if len(set(labels.tolist())) < 2:
         rate = (labels.sum() + 1) / (len(labels) + 2)
         return Model(np.zeros(width), np.zeros(width), 0.0, 1.0, float(np.log(rate / (1 - rate))))
-    counts = {c: np.bincount(np.concatenate([s for s, y in zip(sets, labels) if y == c]), minlength=width) for c in (0, 1)}
+    counts = {c: np.zeros(width) for c in (0, 1)}
+    for s, y in zip(sets, labels.tolist()):
+        counts[y][s] += 1  # a set holds a bucket once
     use = counts[0] + counts[1] >= MIN_DOCS
     smooth = {c: np.where(use, counts[c] + 1.0, 0) / ((counts[c][use] + 1.0).sum() or 1) for c in (0, 1)}
     ratios = np.zeros(width)
     ratios[use] = np.log(smooth[1][use] / smooth[0][use])
     rows = [s[use[s]] for s in sets]
-    values = [ratios[s] / max(np.linalg.norm(ratios[s]), 1e-9) for s in rows]
+    values = [(ratios[s] / max(np.linalg.norm(ratios[s]), 1e-9)).astype(np.float32) for s in rows]
     signs = np.where(labels == 1, 1, -1)
     held = np.arange(len(labels)) % 5 == 4
     pick = lambda items, mask: [x for x, m in zip(items, mask) if m]
@@ -87,7 +89,7 @@ def fit(sets: list[np.ndarray], labels: np.ndarray) -> Model:
     return Model(w[:-1] * ratios, ratios, float(w[-1]), slope, shift)
 
 
-def quality_scores(df: DataFrame, labels: DataFrame, max_labelled: int = 12_000, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def quality_scores(df: DataFrame, labels: DataFrame, max_labelled: int = 8_000, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Add `held_out`, `score` (0 to 1, higher: quality 1 is likelier) and `predicted` (1 if score >= 0.3).
 
     Learns from rows of `labels` (doc_id, quality) whose crc32 of the id as text, mod 5, is not 0; of those at most
@@ -111,7 +113,8 @@ def quality_scores(df: DataFrame, labels: DataFrame, max_labelled: int = 12_000,
 
     sampled = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").mapInArrow(collect_sets, "doc_id long, label int, sets binary")
     known = sorted((r.doc_id, r.label, bytes(r.sets)) for r in sampled.collect())
-    model = spark.sparkContext.broadcast(fit([np.frombuffer(s, np.int32).astype(np.int64) for _, _, s in known], np.array([x[1] for x in known])))
+    model = spark.sparkContext.broadcast(fit([np.frombuffer(s, np.int32) for _, _, s in known], np.array([x[1] for x in known], np.int64)))
+    del known
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
