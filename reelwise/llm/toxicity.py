@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelwise.llm.batches import binary_rows, slices
+from reelwise.llm.batches import settle, slices
 from reelwise.llm.labelled import id_remainder, sample_labels
 from reelwise.llm.linear import fit_sigmoid, sigmoid
 from reelwise.llm.wordhash import POWERS, WORD_PUNCT, mix, tokens
@@ -127,31 +127,22 @@ def logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def build(ids: np.ndarray, labels: np.ndarray, rows: np.ndarray, hashes: np.ndarray) -> Index:
-    """Index the sampled documents given all (row, term hash) occurrences."""
+def build(ids: np.ndarray, labels: np.ndarray, terms: np.ndarray, rows: np.ndarray, where: np.ndarray, counts: np.ndarray) -> Index:
+    """Index the sampled documents: `counts[i]` times term `where[i]` of the sorted vocabulary in row `rows[i]`."""
     n, toxic = len(labels), labels.sum()
-    terms, where = np.unique(hashes, return_inverse=True)
-    pairs, counts = np.unique(where * max(n, 1) + rows, return_counts=True) if n else (np.zeros(0, np.int64),) * 2
-    term, row = pairs // max(n, 1), pairs % max(n, 1)
-    df = np.bincount(term, minlength=len(terms)).astype(float)
-    with_toxic = np.bincount(term, weights=labels[row], minlength=len(terms))
-    other = df - with_toxic
-    top = n * (with_toxic * (n - toxic - other) - other * (toxic - with_toxic)) ** 2
-    chi2 = top / np.maximum(df * (n - df) * toxic * (n - toxic), 1e-9) if n else df
-    use = (df >= MIN_DOCS) & (chi2 >= max(MIN_CHI2, MIN_PHI2 * n))
-    number = np.cumsum(use) - 1
-    idf = np.log(1 + n / np.maximum(df[use], 1))
-    keep = use[term]
-    term, row, counts = number[term[keep]], row[keep], counts[keep]
+    order = np.lexsort((rows, where))
+    row, term, counts = rows[order], where[order], counts[order]
+    df = np.bincount(term, minlength=len(terms))
+    idf = np.log(1 + n / np.maximum(df, 1))
     weight = (1 + np.log(counts)) * idf[term]
     norm = np.sqrt(np.bincount(row, weights=weight**2, minlength=n))
     weight = weight / norm[row]
-    starts = np.searchsorted(term, np.arange(use.sum() + 1))
-    bounds = np.zeros((int(use.sum()), max(1, -(-n // BLOCK))))
+    starts = np.searchsorted(term, np.arange(len(terms) + 1))
+    bounds = np.zeros((len(terms), max(1, -(-n // BLOCK))))
     np.maximum.at(bounds, (term, row // BLOCK), weight)
     unmarked = norm == 0
     share = (labels[unmarked].sum() + 0.5) / (unmarked.sum() + 5.0)
-    index = Index(terms[use], idf, starts, row, weight, bounds, labels.astype(float), ids, float(share))
+    index = Index(terms, idf, starts, row, weight, bounds, labels.astype(float), ids, float(share))
     # Leave one out: an example's own vector is skipped.
     votes = np.full(n, index.unmarked)
     order = np.argsort(row, kind="stable")
@@ -166,6 +157,50 @@ def build(ids: np.ndarray, labels: np.ndarray, rows: np.ndarray, hashes: np.ndar
     return index
 
 
+def learn(sampled: DataFrame) -> Index:
+    """Index the sampled texts (doc_id, label, text).
+
+    Spark counts the terms and keeps those that go with the label; what reaches the driver is the bounded list of
+    examples and their vocabulary terms. A document given twice is two examples.
+    """
+
+    def collect_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, offsets in slices(batch, "text"):
+                row, term = term_hashes(data, offsets)
+                order = np.lexsort((term, row))
+                row, term = row[order], term[order]
+                first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (term[1:] != term[:-1])])) if len(row) else row
+                counts = np.diff(np.append(first, len(row))).astype(np.int32)
+                picked = pa.array(row[first])
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("example").take(picked), rows.column("label").take(picked), pa.array(term[first].view(np.int64)), pa.array(counts)],
+                    names=["example", "label", "term", "count"],
+                )
+
+    sampled = settle(sampled.withColumn("example", F.monotonically_increasing_id()))
+    listed = settle(sampled.select("example", "label", "text").mapInArrow(collect_terms, "example long, label int, term long, count int"))
+    known = sorted((r.doc_id, r.example, r.label) for r in sampled.select("doc_id", "example", "label").collect())
+    n, toxic = len(known), sum(x[2] for x in known)
+    seen = listed.groupBy("term").agg(F.count("*").cast("double").alias("df"), F.sum("label").cast("double").alias("t"))
+    other = F.col("df") - F.col("t")
+    apart = F.pow(F.col("t") * (F.lit(n - toxic) - other) - other * (F.lit(toxic) - F.col("t")), F.lit(2)) * n
+    chi2 = F.try_divide(apart, F.col("df") * (F.lit(n) - F.col("df")) * F.lit(float(toxic)) * F.lit(float(n - toxic)))
+    kept = seen.filter((F.col("df") >= MIN_DOCS) & (chi2 >= max(MIN_CHI2, MIN_PHI2 * n))).select("term")
+    found = listed.join(kept, "term").select("example", "term", "count").collect()
+    number = {example: i for i, (_, example, _) in enumerate(known)}
+    hashes = np.array([r.term for r in found], np.int64).view(np.uint64)
+    terms = np.unique(hashes)
+    return build(
+        np.array([x[0] for x in known], np.int64),
+        np.array([x[2] for x in known], np.int64),
+        terms,
+        np.array([number[r.example] for r in found], np.int64),
+        np.searchsorted(terms, hashes),
+        np.array([r["count"] for r in found], np.int64),
+    )
+
+
 def toxicity(df: DataFrame, labels: DataFrame, max_labelled: int = 12_000, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Add `held_out`, `score` (0 to 1, higher: toxic is likelier), `predicted` (1 if score >= 0.3), `evidence`.
 
@@ -182,15 +217,7 @@ def toxicity(df: DataFrame, labels: DataFrame, max_labelled: int = 12_000, doc:
     chosen = sample_labels(labels, "toxic", max_labelled, id_remainder(F.col("doc_id"), 4) != 2)
     texts = df.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"))
 
-    def collect_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, data, offsets in slices(batch, "text"):
-                row, term = term_hashes(data, offsets)
-                order = np.argsort(row, kind="stable")
-                ends = np.searchsorted(row[order], np.arange(rows.num_rows), side="right")
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("label"), binary_rows(term[order], ends)], names=["doc_id", "label", "terms"])
-
-    sampled = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").mapInArrow(collect_terms, "doc_id long, label int, terms binary")
+    sampled = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
     index = spark.sparkContext.broadcast(learn(sampled))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,20 +248,3 @@ def toxicity(df: DataFrame, labels: DataFrame, max_labelled: int = 12_000, doc:
 
 
 EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("similarity", pa.float64())]))
-
-
-def learn(sampled: DataFrame) -> Index:
-    """Build the index in one task (its input is the bounded sample) and bring back the index alone."""
-    import pickle
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sorted((d, label, t) for batch in batches for d, label, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "label", "terms"))))
-        parts = [np.frombuffer(x[2], np.uint64) for x in known]
-        rows = np.repeat(np.arange(len(known)), [len(p) for p in parts])
-        hashes = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        index = build(np.array([x[0] for x in known], np.int64), np.array([x[1] for x in known], np.int64), rows, hashes)
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(index)], pa.binary())], names=["index"])
-
-    empty = pickle.dumps(build(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)))
-    made = sampled.coalesce(1).mapInArrow(run, "index binary").collect()
-    return pickle.loads(bytes(made[0]["index"]) if made else empty)

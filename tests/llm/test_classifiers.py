@@ -75,20 +75,19 @@ def test_edges(spark, docs, labels):
     assert [r.spans for r in secrets(frame).collect()] == [[]] * len(EDGE)
 
 
-def test_nearest_is_exact(monkeypatch):
+def test_nearest_is_exact():
     draw = np.random.default_rng(2)
-    n, terms = 900, 60
-    rows = np.repeat(np.arange(n), 6)
-    hashes = (draw.zipf(1.4, len(rows)) % terms + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    labels = (draw.random(n) < 0.3).astype(np.int64)
-    monkeypatch.setattr(tox, "MIN_CHI2", 0.0)
-    monkeypatch.setattr(tox, "MIN_PHI2", 0.0)
-    index = tox.build(np.arange(n), labels, rows, hashes)
+    n = 900
+    words = [draw.zipf(1.4, 6) % 60 for _ in range(n)]
+    pairs = [(i, t, int((x == t).sum())) for i, x in enumerate(words) for t in sorted(set(x.tolist()))]
+    rows, where, counts = (np.array(x, np.int64) for x in zip(*pairs))
+    terms = (np.arange(60, dtype=np.uint64) + np.uint64(1)) * np.uint64(1 << 40)
+    index = tox.build(np.arange(n), (draw.random(n) < 0.3).astype(np.int64), terms, rows, where, counts)
     dense = np.zeros((n, len(index.terms)))
     term = np.repeat(np.arange(len(index.terms)), np.diff(index.starts))
     dense[index.examples, term] = index.weights
     for i in range(0, n, 7):
-        row, t, w = index.vectors(np.zeros(6, np.int64), hashes[rows == i])
+        _, t, w = index.vectors(np.zeros(6, np.int64), terms[words[i]])
         best, likeness = index.nearest(t, w, 15)
         wanted = dense[:, t] @ w
         order = np.lexsort((np.arange(n), -np.round(wanted, 9)))[:15]
