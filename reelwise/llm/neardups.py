@@ -3,16 +3,16 @@
 Every distinct shingle set gets one min-hash signature. The forest reads it in several orders; sets that
 share the first values of an order (a common prefix) share a region, and a region with too many sets is
 cut again at a deeper prefix until it is small. Inside a region sketches find likely partners, of which
-only a spanning forest leaves the task. The families that arise are then compared exactly, on the
-shingles of their whole texts.
+only a spanning forest leaves the task. The families that arise are then compared
+exactly, on the shingles of their whole texts, large ones in block pairs as well.
 
 With `MIN_DEPTH` 4 and 16 orders a pair of similarity 0.85 shares no region with probability 7e-6, one of
-0.8 with 2e-4 at the shallow depth. Regions deeper than that only arise where many sets are alike.
+0.8 with 2e-4.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ VALUES = 128  # min-hash values of a signature
 ORDERS = 16
 MIN_DEPTH = 4
 DEPTHS = (4, 6, 8, 12, 18, 27, 40, 60, 90, 128)
-REGION = 2000  # most sets of a region that are compared with each other
+REGION = 2000  # most sets of a region that are compared in one group
 FAMILY = 1000  # most sets of a family that are compared exactly in one group
 NO_ID = -(2**63)
 
@@ -153,6 +153,38 @@ def regions(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return whole, stars
 
 
+def blocks(members: DataFrame, size: int) -> DataFrame:
+    """(region, id): the members (group, id, c) of each group of `c` dealt into blocks of about `size`."""
+    own = F.pmod(F.xxhash64("id", "group"), F.ceil(F.col("c") / max(size, 2)))
+    return members.select(F.xxhash64("group", own).alias("region"), "id")
+
+
+def across(members: DataFrame, size: int) -> DataFrame:
+    """(region, id): block pairs in which every two members (group, id, label) of a group with different labels meet.
+
+    Members of a group's most frequent label are known to be connected, so only the others meet everyone; a
+    group with one label needs nothing.
+    """
+    size = max(size, 2)
+    counted = members.groupBy("group", "label").agg(F.count("*").alias("c"))
+    groups = counted.groupBy("group").agg(
+        F.sum("c").alias("c"), F.max("c").alias("most"), F.max_by("label", F.struct("c", "label")).alias("bulk")
+    ).filter("c > most")
+    found = settle(members.join(groups, "group"))
+    n, n_other = F.ceil(F.col("c") / size), F.ceil((F.col("c") - F.col("most")) / size)
+    every = found.select("group", "id", F.explode(F.sequence(F.lit(1), n_other)).alias("i"), (F.pmod(F.xxhash64("id", "group"), n) + 1).alias("j"))
+    other = found.filter("label <> bulk").select(
+        "group", "id", (F.pmod(F.xxhash64("group", "id"), n_other) + 1).alias("i"), F.explode(F.sequence(F.lit(1), n)).alias("j")
+    )
+    return every.unionByName(other).select(F.xxhash64("group", "i", "j").alias("region"), "id")
+
+
+def labelled(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Add `label`, the component (node, component) of each member's id, or the id itself."""
+    known = found.select(F.col("node").alias("id"), F.col("component").alias("label"))
+    return members.join(known, "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+
 def _likely(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A spanning forest of the likely pairs in each region, most alike pairs first.
@@ -267,6 +299,34 @@ def _confirmed(size: int, percent: int):
     return run
 
 
+def _large(members: DataFrame, small: DataFrame, exact: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, component) by exact links of the families beyond the bound; members (group, id, c).
+
+    Small regions, blocks of members and then rounds of one representative per component find most links; at
+    the end members not yet connected meet in block pairs, so that every two members of a family are compared.
+    """
+
+    def merged(found: DataFrame | None, groups: DataFrame) -> DataFrame:
+        pairs = exact(groups).select(F.col("id").alias("a"), F.col("least").alias("b"))
+        if found is not None:
+            pairs = pairs.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        return settle(components(pairs))
+
+    found = merged(None, small.join(members.select("id"), "id", "left_semi").select("region", "id").unionByName(blocks(members, FAMILY // 2)))
+    before = None
+    while True:
+        heads = settle(labelled(members.select("group", "id"), found).select("group", F.col("label").alias("id")).distinct())
+        counts = heads.groupBy("group").agg(F.count("*").alias("c")).filter("c > 1")
+        left = counts.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+        if left == 0:
+            return found
+        if before is not None and 2 * left > before:
+            break
+        before = left
+        found = merged(found, blocks(heads.join(counts, "group"), FAMILY))
+    return merged(found, across(labelled(members.select("group", "id"), found), FAMILY // 2))
+
+
 def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Add `n_shingles`, `component_id` and `kept` (the row's id is its component's id).
 
@@ -298,25 +358,26 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, doc: str
     level = percent / 100
     least = level - 5 * (level * (1 - level) / VALUES) ** 0.5
     least += (1 - least) / 256  # byte-sized values also agree by chance
-    likely = (
-        small.join(classes.mapInArrow(sketches, "id long, sketch binary"), "id")
-        .repartition("region").sortWithinPartitions("region").select("region", "id", "sketch").mapInArrow(_likely(least), "a long, b long")
-    )
-    families = settle(components(likely.unionByName(stars)).withColumnRenamed("component", "family"))
+
+    def likely(where: DataFrame) -> DataFrame:
+        return (
+            where.join(classes.mapInArrow(sketches, "id long, sketch binary"), "id")
+            .repartition("region").sortWithinPartitions("region").select("region", "id", "sketch").mapInArrow(_likely(least), "a long, b long")
+        )
+
+    def exact(groups: DataFrame) -> DataFrame:
+        return (
+            texts.join(groups, texts["doc"] == groups["id"]).select(F.col("region").alias("family"), "id", "text")
+            .repartition("family").sortWithinPartitions("family").mapInArrow(_confirmed(shingle, percent), "id long, least long")
+        )
+
+    families = settle(components(likely(small).unionByName(stars)).withColumnRenamed("component", "family"))
     sizes = families.groupBy("family").agg(F.count("*").alias("c"))
-    too_large = settle(sizes.filter(F.col("c") > FAMILY).select("family"))
-    grouped = families.join(too_large, "family", "left_anti").select("family", F.col("node").alias("id"))
-    split = not too_large.isEmpty()
-    if split:
-        # Families beyond the bound are compared region by region and joined by what the regions share.
-        members = families.join(too_large, "family", "left_semi").select(F.col("node").alias("id"))
-        grouped = grouped.unionByName(small.join(members, "id", "left_semi").select(F.col("region").alias("family"), "id"))
-    confirmed = (
-        texts.join(grouped, texts["doc"] == grouped["id"]).select("family", "id", "text")
-        .repartition("family").sortWithinPartitions("family").mapInArrow(_confirmed(shingle, percent), "id long, least long")
-    )
-    if split:
-        confirmed = components(confirmed.select(F.col("id").alias("a"), F.col("least").alias("b"))).select(F.col("node").alias("id"), F.col("component").alias("least"))
+    too_large = settle(sizes.filter(F.col("c") > FAMILY))
+    confirmed = exact(families.join(too_large, "family", "left_anti").select(F.col("family").alias("region"), F.col("node").alias("id")))
+    if not too_large.isEmpty():
+        members = settle(families.join(too_large, "family").select(F.col("family").alias("group"), F.col("node").alias("id"), "c"))
+        confirmed = confirmed.unionByName(_large(members, small, exact).select(F.col("node").alias("id"), F.col("component").alias("least")))
     # Every class leads to its component; a document with several texts takes the smallest.
     heads = confirmed.groupBy("id").agg(F.min("least").alias("least"))
     ids = sets.filter("n > 0").groupBy("mark_a", "mark_b").agg(F.min("doc").alias("id"))

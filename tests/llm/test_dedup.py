@@ -1,5 +1,6 @@
 """Substring, line and near-duplicate operators against brute force."""
 
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -107,6 +108,26 @@ def test_near_duplicates(spark, copies, clashing, size, percent, region, family,
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in rows) == brute_near(copies, size, percent)
 
 
+def edited(copies, words, edits, length, seed):
+    """Near copies of one text of distinct words, each with `edits` own runs of `length` new words."""
+    draw, rows = random.Random(seed), []
+    for i in range(copies):
+        own = [f"w{k}" for k in range(words)]
+        for e in range(edits):
+            at = draw.randrange(words - length)
+            own[at : at + length] = [f"x{i}e{e}n{k}" for k in range(length)]
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+def test_near_duplicates_alike_in_every_value(spark, monkeypatch):
+    monkeypatch.setattr(neardups, "REGION", 5)
+    monkeypatch.setattr(neardups, "FAMILY", 6)
+    rows = edited(20, 3000, 1, 5, 1)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
+
+
 def test_near_duplicates_edges(spark):
     df = spark.createDataFrame([(None, "a b"), (1, "a B"), (2, None), (2, None), (3, " "), (5, "q"), (5, "r s")], "doc_id long, text string")
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df).collect()), key=repr)
