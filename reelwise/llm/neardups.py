@@ -3,7 +3,8 @@
 Every distinct shingle set gets one min-hash signature. The forest reads it in several orders; sets that
 share the first values of an order (a common prefix) share a region, and a region with too many sets is
 cut again at a deeper prefix until it is small. Inside a region sketches find likely partners, of which
-only a spanning forest leaves the task. The families that arise are then compared
+only a spanning forest leaves the task. Deeper prefixes only order the work: in a crowded region every two
+sets that are not connected by then are compared in block pairs. The families that arise are then compared
 exactly, on the shingles of their whole texts, large ones in block pairs as well.
 
 With `MIN_DEPTH` 4 and 16 orders a pair of similarity 0.85 shares no region with probability 7e-6, one of
@@ -124,10 +125,11 @@ def _keys(depth: int):
     return run
 
 
-def regions(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(region, id) of all small regions with company, and star pairs (a, b) of sets alike in every value."""
+def regions(classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(region, id) of all small regions with company, star pairs (a, b) of sets alike in every value, and
+    (region, id, c) of the crowded regions at the shallow depth, if any."""
     left, parts = classes, []
-    stars = None
+    stars = crowded = None
     pending = None
     for depth in DEPTHS:
         members = left.mapInArrow(_keys(depth), "region long, order int, id long")
@@ -140,6 +142,8 @@ def regions(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
         large = joined.filter(F.col("c") > REGION)
         if large.isEmpty():
             break
+        if crowded is None:
+            crowded = large.select("region", "id", "c")
         if depth == DEPTHS[-1]:
             stars = large.select(F.col("least").alias("a"), F.col("id").alias("b"))
             break
@@ -150,7 +154,7 @@ def regions(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
         whole = whole.unionByName(part)
     if stars is None:
         stars = whole.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    return whole, stars
+    return whole, stars, crowded
 
 
 def blocks(members: DataFrame, size: int) -> DataFrame:
@@ -347,7 +351,7 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, doc: str
         sets.filter("n > 0").groupBy("mark_a", "mark_b").agg(F.min(F.struct("doc", "signs")).alias("least"))
         .select(F.col("least.doc").alias("id"), F.col("least.signs").alias("signs"))
     )
-    small, stars = regions(classes)
+    small, stars, crowded = regions(classes)
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -371,7 +375,14 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, doc: str
             .repartition("family").sortWithinPartitions("family").mapInArrow(_confirmed(shingle, percent), "id long, least long")
         )
 
-    families = settle(components(likely(small).unionByName(stars)).withColumnRenamed("component", "family"))
+    if crowded is not None:
+        crowded = crowded.withColumnRenamed("region", "group")
+        joined = components(likely(small.unionByName(blocks(crowded, REGION // 8))).unionByName(stars))
+        rest = likely(across(labelled(crowded.select("group", "id"), joined), REGION // 4))
+        pairs = rest.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    else:
+        pairs = likely(small).unionByName(stars)
+    families = settle(components(pairs).withColumnRenamed("component", "family"))
     sizes = families.groupBy("family").agg(F.count("*").alias("c"))
     too_large = settle(sizes.filter(F.col("c") > FAMILY))
     confirmed = exact(families.join(too_large, "family", "left_anti").select(F.col("family").alias("region"), F.col("node").alias("id")))

@@ -128,6 +128,13 @@ def test_near_duplicates_alike_in_every_value(spark, monkeypatch):
     assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
 
 
+def test_near_duplicates_of_a_crowded_region(spark, monkeypatch):
+    monkeypatch.setattr(neardups, "REGION", 2)
+    rows = edited(80, 300, 1, 3, 2)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == brute_near(rows, 5, 80)
+
+
 def test_near_duplicates_edges(spark):
     df = spark.createDataFrame([(None, "a b"), (1, "a B"), (2, None), (2, None), (3, " "), (5, "q"), (5, "r s")], "doc_id long, text string")
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df).collect()), key=repr)
