@@ -1,9 +1,9 @@
 """Toxicity by the nearest labelled examples.
 
-Labelled documents become TF-IDF vectors over terms that go with the label. A document's nearest examples by exact
-cosine come from an inverted index whose blocks know their largest weights: blocks are read best bound first, and the
-rest are skipped once their bound lies below the k-th similarity. Similarity-weighted votes, put through a sigmoid
-fitted on leave-one-out votes, give the score; the neighbours are the evidence.
+Labelled documents become TF-IDF vectors over all their terms. A document's nearest examples by exact cosine come from
+an inverted index: frequent terms are one matrix product in single precision, the others are read from their postings,
+and whatever comes close to the k-th similarity is computed again in double precision. Similarity-weighted votes, put
+through a sigmoid fitted on leave-one-out votes, give the score; the neighbours are the evidence.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,10 +25,9 @@ from reelwise.llm.linear import fit_sigmoid, sigmoid
 from reelwise.llm.wordhash import POWERS, WORD_PUNCT, mix, tokens
 
 PREFIXES = (4, 5, 6)  # a word's first bytes are terms too, so that inflected forms meet
-MIN_DOCS = 5
-MIN_CHI2 = 40.0  # association with the label that makes a term part of the vocabulary,
-MIN_PHI2 = 1 / 80  # and its strength (chi-squared over the sample size)
-BLOCK = 64  # examples per block
+COMMON = 16  # terms in more than one of so many examples are scored by the matrix product
+BATCH = 128  # texts per matrix product
+SLACK = 1e-4  # more than the error of single precision
 NEIGHBOURS = 15
 PRIOR = 0.5  # similarity mass of the vote of an unmarked text
 
@@ -52,19 +53,22 @@ def term_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 @dataclass
 class Index:
-    """The labelled examples' inverted index and what turns votes into scores."""
+    """The labelled examples' inverted index and labels."""
 
     terms: np.ndarray  # sorted hashes
     idf: np.ndarray
     starts: np.ndarray  # postings of term t: starts[t]:starts[t + 1], ascending by example
     examples: np.ndarray
     weights: np.ndarray
-    bounds: np.ndarray  # (terms x blocks) largest weight
     labels: np.ndarray
     ids: np.ndarray
-    unmarked: float  # share of toxic texts among those without a vocabulary term
-    slope: float = 1.0
-    shift: float = 0.0
+    counts: np.ndarray
+    unmarked: float  # share of toxic texts among those without a known term
+
+    def __reduce__(self):
+        """Numbers and counts in few bytes are shipped; weights follow from them."""
+        small = [x.astype(np.min_scalar_type(x.max(initial=0))) for x in (self.examples, self.counts)]
+        return assemble, (self.ids, self.labels, self.terms, self.starts, *small)
 
     def vectors(self, rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, term, weight) of the unit TF-IDF vectors, by row."""
@@ -88,38 +92,72 @@ class Index:
             self._mask[(self.terms & np.uint64(0xFFFFF)).astype(np.int64)] = True
         return self._mask
 
+    def prepare(self) -> None:
+        """What follows from the postings and is not shipped: the frequent terms' matrix, and postings by example."""
+        n, df = len(self.labels), np.diff(self.starts)
+        common = np.flatnonzero(df * COMMON > n)
+        self._place = np.full(len(df), -1, np.int32)
+        self._place[common] = np.arange(len(common))
+        self._dense = np.zeros((len(common), n), np.float32)
+        for row, t in zip(self._dense, common.tolist()):
+            part = slice(self.starts[t], self.starts[t + 1])
+            row[self.examples[part]] = self.weights[part]
+        order = np.argsort(self.examples, kind="stable")
+        self._terms = np.repeat(np.arange(len(df), dtype=np.int32), df)[order]
+        self._weights = self.weights[order]
+        self._cuts = np.concatenate([[0], np.cumsum(np.bincount(self.examples, minlength=n))])
+        self._query = np.zeros(len(df))
+
+    def nearest_of(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each of the texts 0 to n - 1 with (row, term, weight) by row: the k most similar examples (ties to the
+        lower example) and their cosines, exactly."""
+        if not hasattr(self, "_dense"):
+            self.prepare()
+        cuts = np.searchsorted(row, np.arange(n + 1))
+        place = self._place[term]
+        for low in range(0, n, BATCH):
+            high = min(n, low + BATCH)
+            own = slice(cuts[low], cuts[high])
+            common = place[own] >= 0
+            block = np.zeros((high - low, len(self._dense)), np.float32)
+            block[row[own][common] - low, place[own][common]] = weight[own][common]
+            rough = block @ self._dense
+            for i in range(low, high):
+                part = slice(cuts[i], cuts[i + 1])
+                rare = place[part] < 0
+                yield self._best(rough[i - low], term[part], weight[part], rare, k)
+
+    def _best(self, total: np.ndarray, term: np.ndarray, weight: np.ndarray, rare: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        first = self.starts[term[rare]]
+        at, sizes = spread(first, self.starts[term[rare] + 1] - first)
+        total = total + np.bincount(self.examples[at], weights=np.repeat(weight[rare], sizes) * self.weights[at], minlength=len(total))
+        least = np.partition(total, len(total) - k)[len(total) - k] - SLACK if len(total) > k else 0.0
+        some = np.flatnonzero((total > 0) & (total >= least))
+        at, sizes = spread(self._cuts[some], self._cuts[some + 1] - self._cuts[some])
+        self._query[term] = weight
+        exact = np.bincount(np.repeat(np.arange(len(some)), sizes), weights=self._weights[at] * self._query[self._terms[at]], minlength=len(some))
+        self._query[term] = 0
+        best = np.lexsort((some, -np.round(exact, 9)))[:k]
+        return some[best], exact[best]
+
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k most similar examples (ties to the lower example) and their cosines, exactly."""
-        bound = weight @ self.bounds[term]
-        order = np.argsort(-bound, kind="stable")
-        lists = [slice(self.starts[t], self.starts[t + 1]) for t in term]
-        total = np.zeros(len(self.labels))
-        seen = np.zeros(len(bound), bool)
-        step = max(1, -(-k // BLOCK)) * 4
-        least = 0.0
-        while True:
-            todo = order[(bound[order] >= least) & (bound[order] > 0) & ~seen[order]]
-            if not len(todo):
-                break
-            take = np.zeros(len(bound), bool)
-            take[todo[:step]] = True
-            for part, w in zip(lists, weight):
-                own = self.examples[part]
-                read = take[own // BLOCK]
-                total[own[read]] += w * self.weights[part][read]
-            seen |= take
-            if np.count_nonzero(total) >= k:
-                least = np.partition(total, len(total) - k)[len(total) - k] - 1e-9
-            step *= 4
-        some = np.flatnonzero(total)
-        best = some[np.lexsort((some, -np.round(total[some], 9)))[:k]]
-        return best, total[best]
+        """The k most similar examples (ties to the lower example) of one text and their cosines, exactly."""
+        return next(self.nearest_of(np.zeros(len(term), np.int64), term, weight, 1, k))
 
     def vote(self, best: np.ndarray, likeness: np.ndarray) -> float:
         return float(((likeness * self.labels[best]).sum() + PRIOR * self.unmarked) / (likeness.sum() + PRIOR))
 
-    def score(self, vote: np.ndarray) -> np.ndarray:
-        return sigmoid(self.slope * logit(vote) + self.shift)
+    def nearest_all(self, data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """nearest_of for texts; one without a known term has no neighbours."""
+        row, term, weight = self.vectors(*term_hashes(data, offsets))
+        if not len(row):
+            return iter([(row, weight)] * (len(offsets) - 1))
+        return self.nearest_of(row, term, weight, len(offsets) - 1, k)
+
+
+def spread(first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the runs of `sizes` from `first` on, and the sizes."""
+    return np.repeat((first - (np.cumsum(sizes) - sizes)).astype(np.int32), sizes) + np.arange(int(sizes.sum()), dtype=np.int32), sizes
 
 
 def logit(p: np.ndarray) -> np.ndarray:
@@ -129,41 +167,42 @@ def logit(p: np.ndarray) -> np.ndarray:
 
 def build(ids: np.ndarray, labels: np.ndarray, terms: np.ndarray, rows: np.ndarray, where: np.ndarray, counts: np.ndarray) -> Index:
     """Index the sampled documents: `counts[i]` times term `where[i]` of the sorted vocabulary in row `rows[i]`."""
-    n, toxic = len(labels), labels.sum()
     order = np.lexsort((rows, where))
-    row, term, counts = rows[order], where[order], counts[order]
-    df = np.bincount(term, minlength=len(terms))
+    starts = np.searchsorted(where[order], np.arange(len(terms) + 1))
+    return assemble(ids, labels, terms, starts, rows[order], counts[order])
+
+
+def assemble(ids: np.ndarray, labels: np.ndarray, terms: np.ndarray, starts: np.ndarray, row: np.ndarray, counts: np.ndarray) -> Index:
+    """The index of postings given by term; its sigmoid is still to be fitted."""
+    n, df = len(labels), np.diff(starts)
     idf = np.log(1 + n / np.maximum(df, 1))
-    weight = (1 + np.log(counts)) * idf[term]
+    row = row.astype(np.int32)
+    weight = np.log(counts.astype(float))
+    weight += 1
+    weight *= np.repeat(idf, df)
     norm = np.sqrt(np.bincount(row, weights=weight**2, minlength=n))
-    weight = weight / norm[row]
-    starts = np.searchsorted(term, np.arange(len(terms) + 1))
-    bounds = np.zeros((len(terms), max(1, -(-n // BLOCK))))
-    np.maximum.at(bounds, (term, row // BLOCK), weight)
+    weight /= norm[row]
     unmarked = norm == 0
     share = (labels[unmarked].sum() + 0.5) / (unmarked.sum() + 5.0)
-    index = Index(terms, idf, starts, row, weight, bounds, labels.astype(float), ids, float(share))
-    # Leave one out: an example's own vector is skipped.
-    votes = np.full(n, index.unmarked)
-    order = np.argsort(row, kind="stable")
-    cuts = np.searchsorted(row[order], np.arange(n + 1))
-    for i in np.flatnonzero(~unmarked):
-        part = order[cuts[i] : cuts[i + 1]]
-        best, likeness = index.nearest(term[part], weight[part], NEIGHBOURS + 1)
-        mine = best != i
-        votes[i] = index.vote(best[mine][:NEIGHBOURS], likeness[mine][:NEIGHBOURS])
-    if 0 < toxic < n:
-        index.slope, index.shift = fit_sigmoid(logit(votes), labels)
-    return index
-
-
-def learn(sampled: DataFrame) -> Index:
-    """Index the sampled texts (doc_id, label, text).
-
-    Spark counts the terms and keeps those that go with the label; what reaches the driver is the bounded list of
-    examples and their vocabulary terms. A document given twice is two examples.
+    return Index(terms, idf, starts, row, weight, labels.astype(float), ids, counts, float(share))
+
+
+def learn(sampled: DataFrame) -> tuple[Broadcast, float, float]:
+    """The broadcast index of the sampled texts (doc_id, label, text), and the slope and shift of the sigmoid.
+
+    Spark counts the terms and finds the leave-one-out votes; what reaches the driver is the bounded list of examples
+    and their terms. A document given twice is two examples.
     """
 
+    sampled = settle(sampled.withColumn("example", F.monotonically_increasing_id()))
+    known = sorted((r.doc_id, r.example, r.label) for r in sampled.select("doc_id", "example", "label").collect())
+    examples = np.array([x[1] for x in known], np.int64)
+    order = np.argsort(examples)
+    ranked = examples[order]
+
+    def numbers(rows: pa.RecordBatch) -> np.ndarray:
+        return order[np.searchsorted(ranked, rows.column("example").to_numpy())].astype(np.int32)
+
     def collect_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in slices(batch, "text"):
@@ -172,33 +211,40 @@ def learn(sampled: DataFrame) -> Index:
                 row, term = row[order], term[order]
                 first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (term[1:] != term[:-1])])) if len(row) else row
                 counts = np.diff(np.append(first, len(row))).astype(np.int32)
-                picked = pa.array(row[first])
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("example").take(picked), rows.column("label").take(picked), pa.array(term[first].view(np.int64)), pa.array(counts)],
-                    names=["example", "label", "term", "count"],
+                    [pa.array(numbers(rows)[row[first]]), pa.array(term[first].view(np.int64)), pa.array(counts)],
+                    names=["example", "term", "count"],
                 )
 
-    sampled = settle(sampled.withColumn("example", F.monotonically_increasing_id()))
-    listed = settle(sampled.select("example", "label", "text").mapInArrow(collect_terms, "example long, label int, term long, count int"))
-    known = sorted((r.doc_id, r.example, r.label) for r in sampled.select("doc_id", "example", "label").collect())
-    n, toxic = len(known), sum(x[2] for x in known)
-    seen = listed.groupBy("term").agg(F.count("*").cast("double").alias("df"), F.sum("label").cast("double").alias("t"))
-    other = F.col("df") - F.col("t")
-    apart = F.pow(F.col("t") * (F.lit(n - toxic) - other) - other * (F.lit(toxic) - F.col("t")), F.lit(2)) * n
-    chi2 = F.try_divide(apart, F.col("df") * (F.lit(n) - F.col("df")) * F.lit(float(toxic)) * F.lit(float(n - toxic)))
-    kept = seen.filter((F.col("df") >= MIN_DOCS) & (chi2 >= max(MIN_CHI2, MIN_PHI2 * n))).select("term")
-    found = listed.join(kept, "term").select("example", "term", "count").collect()
-    number = {example: i for i, (_, example, _) in enumerate(known)}
-    hashes = np.array([r.term for r in found], np.int64).view(np.uint64)
-    terms = np.unique(hashes)
-    return build(
-        np.array([x[0] for x in known], np.int64),
-        np.array([x[2] for x in known], np.int64),
-        terms,
-        np.array([number[r.example] for r in found], np.int64),
-        np.searchsorted(terms, hashes),
-        np.array([r["count"] for r in found], np.int64),
-    )
+    texts = sampled.select("example", "text")
+    listed = texts.mapInArrow(collect_terms, "example int, term long, count int")
+    grouped = listed.groupBy("term").agg(F.collect_list(F.struct("example", "count")).alias("found")).toArrow()
+    terms = grouped["term"].to_numpy().view(np.uint64)
+    by_term = np.argsort(terms)
+    terms, found = terms[by_term], grouped["found"].combine_chunks().take(pa.array(by_term))
+    starts = np.concatenate([[0], np.cumsum(pc.list_value_length(found).to_numpy())]).astype(np.int64)
+    row, counts = (found.flatten().field(name).to_numpy() for name in ("example", "count"))
+    del grouped, found
+    ids, labels = (np.array([x[k] for x in known], np.int64) for k in (0, 2))
+    index = sampled.sparkSession.sparkContext.broadcast(assemble(ids, labels, terms, starts, row, counts))
+    if not 0 < labels.sum() < len(labels):
+        return index, 1.0, 0.0
+
+    def leave_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = index.value
+        for batch in batches:
+            for rows, data, offsets in slices(batch, "text"):
+                own, votes = numbers(rows), np.full(rows.num_rows, known.unmarked)
+                for i, (best, likeness) in enumerate(known.nearest_all(data, offsets, NEIGHBOURS + 1)):
+                    mine = best != own[i]
+                    if len(best):
+                        votes[i] = known.vote(best[mine][:NEIGHBOURS], likeness[mine][:NEIGHBOURS])
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(votes)], names=["example", "vote"])
+
+    votes = np.zeros(len(labels))
+    for r in texts.mapInArrow(leave_out, "example int, vote double").collect():
+        votes[r.example] = r.vote
+    return index, *fit_sigmoid(logit(votes), labels)
 
 
 def toxicity(df: DataFrame, labels: DataFrame, max_labelled: int = 12_000, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -210,7 +256,6 @@ def toxicity(df: DataFrame, labels: DataFrame, max_labelled: int = 12_000, doc:
     such texts; with no labels of both kinds all scores equal one rate. Ids may repeat; whole texts are read; columns
     with the added names are replaced.
     """
-    spark = df.sparkSession
     added = ("held_out", "score", "predicted", "evidence")
     own = [f for f in df.schema.fields if f.name not in added]
     quoted = [F.col("`" + f.name.replace("`", "``") + "`") for f in own]
@@ -218,22 +263,20 @@ def toxicity(df: DataFrame, labels: DataFrame, max_labelled: int = 12_000, doc:
     texts = df.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"))
 
     sampled = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
-    index = spark.sparkContext.broadcast(learn(sampled))
+    index, slope, shift = learn(sampled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = index.value
         for batch in batches:
             for rows, data, offsets in slices(batch, "text"):
                 n = rows.num_rows
-                row, term, weight = known.vectors(*term_hashes(data, offsets))
                 votes, found = np.full(n, known.unmarked), [[] for _ in range(n)]
-                cuts = np.searchsorted(row, np.arange(n + 1))
-                for i in np.flatnonzero(np.diff(cuts)):
-                    part = slice(cuts[i], cuts[i + 1])
-                    best, likeness = known.nearest(term[part], weight[part], NEIGHBOURS)
+                for i, (best, likeness) in enumerate(known.nearest_all(data, offsets, NEIGHBOURS)):
+                    if not len(best):
+                        continue
                     votes[i] = known.vote(best, likeness)
                     found[i] = [{"doc_id": int(known.ids[b]), "toxic": int(known.labels[b]), "similarity": float(s)} for b, s in zip(best, likeness)]
-                yield pa.RecordBatch.from_arrays([rows.column("row"), pa.array(known.score(votes)), pa.array(found, EVIDENCE)], names=["row", "score", "evidence"])
+                yield pa.RecordBatch.from_arrays([rows.column("row"), pa.array(sigmoid(slope * logit(votes) + shift)), pa.array(found, EVIDENCE)], names=["row", "score", "evidence"])
 
     base = df.select(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(quoted)], F.col(doc).alias("doc")).alias("row"), F.col(text).alias("text"))
     evidence = T.ArrayType(T.StructType().add("doc_id", T.LongType()).add("toxic", T.IntegerType()).add("similarity", T.DoubleType()))

@@ -50,6 +50,17 @@ def test_toxicity(docs, labels):
     assert all(e.doc_id in known and e.toxic == truth[e.doc_id] for r in rows for e in r.evidence)
 
 
+def test_toxicity_of_rare_words(spark):
+    """Words of one example only still lead to it."""
+    own = [i for i in range(200) if crc(i, 4) != 2][:60]
+    asked = [i for i in range(1000, 1200) if crc(i, 4) == 2][:20]
+    texts = {i: " ".join(f"{k}v{i}word" for k in range(12)) for i in own}
+    rows = [*texts.items(), *((q, texts[i] + " more") for q, i in zip(asked, own))]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in own], "doc_id long, toxic int")
+    done = {r.doc_id: r.evidence for r in toxicity(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    assert all(done[q][0].doc_id == i and done[q][0].similarity > 0.95 for q, i in zip(asked, own))
+
+
 def test_language(docs):
     rows = languages(docs).collect()
     truth = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
