@@ -86,6 +86,15 @@ def test_quality_base(spark, copies, clashing):
     assert quality_rules(clashing.limit(0), labels).count() == 0
 
 
+def test_quality_score_heeds_word_order(spark):
+    words = [f"w{k}" for k in range(60)]
+    other = words[::2] + words[1::2]
+    frame = spark.createDataFrame([(i, " ".join(other if i % 2 else words)) for i in range(400)], "doc_id long, text string")
+    labels = frame.selectExpr("doc_id", "int(doc_id % 2 = 0) AS quality")
+    scores = {r.doc_id: r.score for r in quality_rules(frame, labels).collect()}
+    assert min(s for i, s in scores.items() if i % 2 == 0) > max(s for i, s in scores.items() if i % 2) + 0.1
+
+
 def test_quality_learns(spark):
     folder = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{folder}/labels.parquet")
