@@ -189,3 +189,57 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
     done = toxicity(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels").select("doc_id", "toxic"))
     return done.select("doc_id", "held_out", "score", "predicted", "evidence")
+
+
+OP12_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS w FROM documents),
+t AS (SELECT text, min(doc_id) AS least FROM d GROUP BY text),
+l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, quality, toxic,
+    CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * (length(d.text) - length(regexp_replace(d.text, '[A-Z]', '', 'g'))) > 3 * length(d.text) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(d.text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN d.doc_id > least THEN 16 ELSE 0 END AS mask
+  FROM d JOIN t USING (text) LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic FROM f GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS k, unnest([1, 2, 4, 8, 16]) AS b),
+o AS (SELECT a.k || b.k || c.k || d.k || e.k AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits FROM x a, x b, x c, x d, x e
+  WHERE a.b | b.b | c.b | d.b | e.b = 31),
+s AS (SELECT filter_order, step, bits[step] AS b, list_sum(bits[1 : step - 1])::INT AS e FROM o, (SELECT unnest(range(1, 6)) AS step)),
+r AS (SELECT part, filter_order, step::INT AS step, b,
+    coalesce(sum(n) FILTER (mask & (b | coalesce(e, 0)) = 0), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (mask & b <> 0 AND mask & coalesce(e, 0) = 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (mask & b <> 0 AND mask & coalesce(e, 0) <> 0), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (mask = b), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (mask & b <> 0 AND mask & coalesce(e, 0) = 0), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (mask & b <> 0 AND mask & coalesce(e, 0) = 0), 0)::BIGINT AS toxic_lost
+  FROM c, s GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, b))::BIGINT AS shapley
+FROM r
+"""
+
+
+@query("op12_filter_audit", OP12_SQL)
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    from reelwise.llm.filter_audit import filter_audit
+
+    return filter_audit(table(spark, folder, "documents").select("doc_id", "lang", "text"), table(spark, folder, "labels"))
+
+
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    from reelwise.llm.whitening import fit_whitening, whiten
+
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    model = fit_whitening(vectors, components=16)
+    shares = F.array(*[F.lit(float(v / model.trace)) for v in model.values]).cast("array<double>")
+    done = whiten(vectors, model).select("vec_id", "n", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return done.select(
+        "vec_id",
+        (F.col("at") + 1).cast("int").alias("component"),
+        "n",
+        "deviation",
+        "whitened",
+        F.get(shares, F.col("at")).alias("explained"),
+        F.lit(model.identity_error).alias("identity_error"),
+    )
