@@ -243,3 +243,13 @@ def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
         F.get(shares, F.col("at")).alias("explained"),
         F.lit(model.identity_error).alias("identity_error"),
     )
+
+
+@query("op11_personal")
+def op11_personal(spark: SparkSession, folder: str) -> DataFrame:
+    from reelwise.llm.personal import KINDS, personal_data
+
+    done = personal_data(table(spark, folder, "documents").select("doc_id", "text"))
+    joined = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    counts = [F.expr(f"size(filter(base, x -> x.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in KINDS]
+    return done.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
