@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.recommendation import ALS
 from pyspark.ml.stat import Summarizer
@@ -35,7 +34,7 @@ def embedding_topk(
     return dense_topk(users, only_allowed(items, allowed), seen, k)
 
 
-def mean_vectors(pairs: DataFrame, items: DataFrame, dim: int) -> DataFrame:
+def mean_vectors(pairs: DataFrame, items: DataFrame) -> DataFrame:
     """Mean item vector per user over `pairs` (user_id, item_id), repeats counted."""
     times = pairs.groupBy("user_id", "item_id").agg(F.count("*").cast("double").alias("_n"))
     placed = times.join(items.select("item_id", array_to_vector("vector").alias("_v")), "item_id")
@@ -77,27 +76,44 @@ def als_recall(
     return embedding_topk(known.join(users.select("user_id"), "user_id", "left_semi"), catalog, seen, k, allowed)
 
 
-def item_feature_vectors(items: DataFrame, text_dim: int = 32, max_terms: int | None = None) -> DataFrame:
+def one_hot(df: DataFrame, column: str, out: str) -> DataFrame:
+    """Add `out`: one 0/1 entry per distinct value of `column`, in ascending order; all 0 for NULL."""
+    codes = ordinal(df.select(F.col(column).alias("_value")).filter("_value IS NOT NULL").distinct(), ["_value"], "_code")
+    codes = cut_lineage(codes)
+    size = codes.agg(F.count("*").cast("int")).scalar()
+    placed = df.join(codes, F.col(column) == F.col("_value"), "left").withColumn("_size", size)
+    entries = F.when(F.col("_size") > 0, F.sequence(F.lit(1), F.col("_size"))).otherwise(F.array().cast("array<int>"))
+    hot = F.transform(entries, lambda i: F.coalesce((i == F.col("_code")).cast("double"), F.lit(0.0)))
+    return placed.withColumn(out, hot).drop("_value", "_code", "_size")
+
+
+def standardised(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Replace the columns by (x - mean) / sample deviation; a column without spread becomes 0."""
+    moments = df.agg(F.struct(*[F.struct(F.mean(c).alias("m"), F.stddev_samp(c).alias("s")).alias(c) for c in columns]).alias("_m"))
+    with_moments = df.withColumn("_m", moments.scalar())
+    scaled = {
+        c: F.when(F.col("_m")[c]["s"] > 0, (F.col(c) - F.col("_m")[c]["m"]) / F.col("_m")[c]["s"]).otherwise(F.lit(0.0)) for c in columns
+    }
+    return with_moments.withColumns(scaled).drop("_m")
+
+
+def item_feature_vectors(
+    items: DataFrame, text_dim: int = 32, max_terms: int | None = None, oversample: int = 8, power: int = 2
+) -> DataFrame:
     """Text components, category one-hot, hashed author one-hot and scaled log duration, per item."""
-    text = with_content(items, content_vectors(tfidf_weights(items, max_terms=max_terms), text_dim), text_dim)
-    facts = text.select(
+    content = content_vectors(tfidf_weights(items, max_terms=max_terms), text_dim, oversample, power)
+    facts = with_content(items, content, text_dim).select(
         "item_id",
         F.col("vector").alias("_text"),
         F.coalesce("first_category", F.lit(-1)).cast("string").alias("_cat"),
         F.pmod(F.coalesce("author_id", F.lit(-1)), F.lit(AUTHOR_BINS)).cast("int").alias("_author"),
         F.log1p(F.coalesce("video_duration", F.lit(0.0))).alias("_duration"),
     )
-    coded = StringIndexer(inputCol="_cat", outputCol="_cat_ix", stringOrderType="alphabetAsc").fit(facts).transform(facts)
-    one_hot = OneHotEncoder(inputCols=["_cat_ix"], outputCols=["_cat_v"], dropLast=False).fit(coded)
-    duration = VectorAssembler(inputCols=["_duration"], outputCol="_dur_v")
-    scaled_in = duration.transform(one_hot.transform(coded))
-    scaler = StandardScaler(inputCol="_dur_v", outputCol="_dur_s", withMean=True).fit(scaled_in)
     author = F.transform(
         F.sequence(F.lit(0), F.lit(AUTHOR_BINS - 1)), lambda i: (i == F.col("_author")).cast("double")
     )
-    return scaler.transform(scaled_in).select(
-        "item_id",
-        F.concat("_text", vector_to_array("_cat_v"), author, vector_to_array("_dur_s")).alias("vector"),
+    return one_hot(standardised(cut_lineage(facts), ["_duration"]), "_cat", "_cat_v").select(
+        "item_id", F.concat("_text", "_cat_v", author, F.array("_duration")).alias("vector")
     )
 
 
@@ -108,7 +124,7 @@ def user_feature_vectors(
 
     `history` is kept apart so that recall can compare users and items in the shared item space.
     """
-    history = mean_vectors(positive_tail(log, history_length), item_vectors, dim)
+    history = mean_vectors(positive_tail(log, history_length), item_vectors)
     zeros = F.array_repeat(F.lit(0.0), dim)
     profile = users.join(history, "user_id", "left").select(
         "user_id",
@@ -116,14 +132,8 @@ def user_feature_vectors(
         *[F.coalesce(F.expr(f"try_cast({name} as double)"), F.lit(0.0)).alias(name) for name in PROFILE_NUMBERS],
         F.coalesce("user_active_degree", F.lit("UNKNOWN")).alias("_active"),
     )
-    gathered = VectorAssembler(inputCols=PROFILE_NUMBERS, outputCol="_n").transform(profile)
-    scaled = StandardScaler(inputCol="_n", outputCol="_ns", withMean=True).fit(gathered).transform(gathered)
-    coded = StringIndexer(inputCol="_active", outputCol="_a", stringOrderType="alphabetAsc").fit(scaled).transform(scaled)
-    hot = OneHotEncoder(inputCols=["_a"], outputCols=["_av"], dropLast=False).fit(coded).transform(coded)
-    return hot.select(
-        "user_id",
-        "history",
-        F.concat("history", vector_to_array("_ns"), vector_to_array("_av")).alias("vector"),
+    return one_hot(standardised(cut_lineage(profile), PROFILE_NUMBERS), "_active", "_active_v").select(
+        "user_id", "history", F.concat("history", F.array(*PROFILE_NUMBERS), "_active_v").alias("vector")
     )
 
 
@@ -133,13 +143,12 @@ def feature_recall(
     users: DataFrame,
     seen: DataFrame,
     k: int,
-    dim: int,
     history_length: int = 50,
     allowed: DataFrame | None = None,
 ) -> DataFrame:
     """Cosine of a user's mean history features with each item's features."""
     tail = positive_tail(log, history_length).join(users.select("user_id"), "user_id", "left_semi")
-    wanted = mean_vectors(tail, item_vectors, dim)
+    wanted = mean_vectors(tail, item_vectors)
     return embedding_topk(
         wanted.select("user_id", unit_vector("vector").alias("vector")),
         item_vectors.select("item_id", unit_vector("vector").alias("vector")),

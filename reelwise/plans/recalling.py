@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from reelwise.functions.columns import as_date
 from reelwise.operators import ranked as RK
 from reelwise.operators import recall as RC
+from reelwise.operators import subspace as SB
 from reelwise.operators import text as TX
 from reelwise.operators import vectors as V
 from reelwise.plans.registry import register
-from reelwise.plans.sql import fragment, query, r6, rx
+from reelwise.plans.sql import fragment, query, r6, rx, unit_hash
 from reelwise.plans.world import World
+from reelwise.session import cut_lineage
 from reelwise.sources import driver_tables as D
 
 K = 20
@@ -394,7 +396,7 @@ SELECT user_id, item_id, score, CAST(r AS INTEGER) AS rank FROM (
 def embedding_lists(w: World):
     """Mean embedding of the history tail against all embeddings."""
     vectors = D.embedding_items(w.spark, w.folder)
-    users = V.mean_vectors(RK.positive_tail(w.train, LENGTH), vectors, 64)
+    users = V.mean_vectors(RK.positive_tail(w.train, LENGTH), vectors)
     return V.embedding_topk(users, vectors, w.seen, K)
 
 
@@ -428,31 +430,174 @@ def als_recall(spark, folder):
     return out.select("user_id", "item_id", "rank", "score")
 
 
-@register("content_svd")
-def content_svd(spark, folder):
-    """Whole document texts, 4,096 terms, 16 components."""
-    items = D.document_items(spark, folder)
-    vectors = TX.content_vectors(TX.tfidf_weights(items, max_terms=4096), 16)
-    return TX.with_content(items.select("item_id"), vectors, 16).select(
-        "item_id", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x), 6).alias("length")
+# --- content subspace -----------------------------------------------------------------------------
+
+AXES, POWER = 4, 1  # of the checked queries; without oversampling the subspace is a fixed function of the postings
+
+
+def cholesky_sql(source: str, key: str, n: int) -> tuple[str, str]:
+    """(one row with the Cholesky factor of the Gram matrix of c1..cn, the columns made orthonormal as c1..cn)."""
+    pairs = [(i, j) for i in range(1, n + 1) for j in range(1, i + 1)]
+    grams = ", ".join(f"sum(c{i} * c{j}) AS g{i}_{j}" for i, j in pairs)
+    factor = []
+    for i, j in pairs:
+        inner = "".join(f" - l{i}_{m} * l{j}_{m}" for m in range(1, j))
+        factor.append(f"sqrt(g{i}_{i}{inner}) AS l{i}_{i}" if i == j else f"(g{i}_{j}{inner}) / l{j}_{j} AS l{i}_{j}")
+    solved = [f"(c{i}{''.join(f' - l{i}_{m} * q{m}' for m in range(1, i))}) / l{i}_{i} AS q{i}" for i in range(1, n + 1)]
+    return (
+        f"SELECT {', '.join(factor)} FROM (SELECT {grams} FROM {source})",
+        f"SELECT {key}, {', '.join(f'q{i} AS c{i}' for i in range(1, n + 1))} FROM (SELECT {key}, {', '.join(solved)} FROM {source}, {source}_l)",
     )
 
 
-@register("feature_recall")
+def subspace_fragments(name: str, weights: str, n: int = AXES, power: int = POWER) -> None:
+    """`name`_xy: items' coordinates c1..cn on an orthonormal basis of the same subspace as subspace.leading_axes."""
+    columns = range(1, n + 1)
+    start = ", ".join(f"{unit_hash(2026, str(j - 1), 'term')} - 0.5::DOUBLE AS c{j}" for j in columns)
+    fragment(f"{name}_z0", [weights], f"SELECT term, {start} FROM (SELECT DISTINCT term FROM {weights})")
+
+    def product(out: str, factor: str, by: str, to: str) -> None:
+        sums = ", ".join(f"sum(w.weight * f.c{j}) AS c{j}" for j in columns)
+        fragment(out, [weights, factor], f"SELECT w.{to}, {sums} FROM {weights} w JOIN {factor} f ON f.{by} = w.{by} GROUP BY 1")
+
+    def orthonormal(source: str, key: str) -> str:
+        factor, solved = cholesky_sql(source, key, n)
+        fragment(f"{source}_l", [source], factor)
+        fragment(f"{source}_q", [source, f"{source}_l"], solved)
+        return f"{source}_q"
+
+    factor = f"{name}_z0"
+    for p in range(power + 1):
+        product(f"{name}_y{p}", factor, "term", "item_id")
+        product(f"{name}_z{p + 1}", orthonormal(f"{name}_y{p}", "item_id"), "item_id", "term")
+        factor = f"{name}_z{p + 1}"
+    product(f"{name}_xy", orthonormal(factor, "term"), "term", "item_id")
+
+
+subspace_fragments("docs_sub", "doc_w")
+subspace_fragments("part_sub", "part_w")
+SQUARES = " + ".join(f"c{j} * c{j}" for j in range(1, AXES + 1))
+
+
+@register(
+    "content_svd",
+    query(
+        ["docs_sub_xy"],
+        f"""
+SELECT a.item_id, {rx('a.s', 'share')}, {rx(f"({' + '.join(f'a.c{j} * b.c{j}' for j in range(1, AXES + 1))}) / sqrt(a.s * b.s)", 'next_cosine')}
+FROM (SELECT *, {SQUARES} AS s FROM docs_sub_xy) a LEFT JOIN (SELECT *, {SQUARES} AS s FROM docs_sub_xy) b ON b.item_id = a.item_id + 1""",
+    ),
+)
+def content_svd(spark, folder):
+    """Whole document texts on their leading axes: the share of each TF-IDF row that the axes hold (1 less its squared
+    projection error), and the cosine with the next document's content vector. Neither depends on how the axes turn."""
+    weights = cut_lineage(TX.tfidf_weights(D.document_items(spark, folder)))
+    axes, values = SB.leading_axes(weights, AXES, 0, POWER)
+    placed = cut_lineage(SB.project(weights, axes, len(values)))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    unit = placed.select("item_id", dot("v", "v").alias("share"), TX.unit_vector("v").alias("u"))
+    later = unit.select((F.col("item_id") - 1).alias("item_id"), F.col("u").alias("w"))
+    return unit.join(later, "item_id", "left").select("item_id", "share", dot("u", "w").alias("next_cosine"))
+
+
+@register(
+    "content_axes",
+    query(
+        ["docs_sub_xy", "doc_w"],
+        f"""
+SELECT i::INT AS i, j::INT AS j, {rx('(i = j)::INT', 'dot')}, {rx(f'(SELECT sum({SQUARES}) FROM docs_sub_xy) / (SELECT sum(weight * weight) FROM doc_w)', 'captured')}
+FROM (SELECT unnest(range({AXES})) AS i) CROSS JOIN (SELECT unnest(range({AXES})) AS j) WHERE i <= j""",
+    ),
+)
+def content_axes(spark, folder):
+    """Inner products of the axes of the documents' TF-IDF rows, and the share of the rows' squared length they hold."""
+    weights = cut_lineage(TX.tfidf_weights(D.document_items(spark, folder)))
+    axes, values = SB.leading_axes(weights, AXES, 0, POWER)
+    n = len(values)
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.sum(F.col("axis")[i] * F.col("axis")[j]).alias("dot")) for i in range(n) for j in range(i, n)])
+    total = weights.agg(F.sum(F.col("weight") * F.col("weight"))).scalar()
+    held = SB.project(weights, axes, n).agg(sum(F.sum(F.col("v")[i] * F.col("v")[i]) for i in range(n))).scalar()
+    return axes.agg(pairs.alias("p")).select(F.inline("p")).select("i", "j", "dot", (held / total).alias("captured"))
+
+
+fragment(
+    "item_feats",
+    ["items", "part_sub_xy"],
+    f"""
+SELECT i.item_id, 't' || j AS f, CASE j {' '.join(f'WHEN {j} THEN c{j}' for j in range(1, AXES + 1))} END / sqrt({SQUARES}) AS v
+FROM items i JOIN part_sub_xy USING (item_id), (SELECT unnest(generate_series(1, {AXES})) AS j) WHERE {SQUARES} > 0
+UNION ALL SELECT item_id, 'c' || coalesce(first_category, -1), 1.0::DOUBLE FROM items
+UNION ALL SELECT item_id, 'a' || ((coalesce(author_id, -1) % 64 + 64) % 64), 1.0::DOUBLE FROM items
+UNION ALL SELECT item_id, 'd', (x - avg(x) OVER ()) / stddev_samp(x) OVER () FROM (SELECT item_id, ln(1 + coalesce(video_duration, 0.0::DOUBLE)) AS x FROM items)""",
+)
+fragment(
+    "feat_list",
+    ["item_feats", "tail", "seen"],
+    f"""
+SELECT user_id, item_id, score, r FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, item_id) AS r FROM (
+    SELECT u.user_id, f.item_id, sum(u.v * f.v) AS score FROM (
+      SELECT user_id, f, v / sqrt(sum(v * v) OVER (PARTITION BY user_id)) AS v FROM (
+        SELECT user_id, f, sum(v) / any_value(n) AS v FROM (
+          SELECT user_id, item_id, count(*) OVER (PARTITION BY user_id) AS n FROM tail SEMI JOIN items USING (item_id)
+        ) JOIN item_feats USING (item_id) GROUP BY ALL)
+    ) u JOIN (SELECT item_id, f, v / sqrt(sum(v * v) OVER (PARTITION BY item_id)) AS v FROM item_feats) f ON f.f = u.f
+    WHERE NOT EXISTS (SELECT 1 FROM seen x WHERE x.user_id = u.user_id AND x.item_id = f.item_id)
+    GROUP BY ALL
+  )
+) WHERE r <= {K}""",
+)
+
+
+@register("feature_recall", query(["feat_list"], f"SELECT user_id, item_id, CAST(r AS INTEGER) AS rank, {r6('score')} FROM feat_list"))
 def feature_recall(spark, folder):
     w = World(spark, folder)
-    vectors = V.item_feature_vectors(w.items)
-    dim = len(vectors.first()["vector"])
-    out = V.feature_recall(w.train, vectors, w.users, w.seen, K, dim, LENGTH)
+    vectors = V.item_feature_vectors(w.items, AXES, oversample=0, power=POWER)
+    out = V.feature_recall(w.train, vectors, w.users, w.seen, K, LENGTH)
     return out.select("user_id", "item_id", "rank", "score")
 
 
-@register("user_features")
+PROFILE = {
+    "is_lowactive_period": "(c_acctbal < 0)::INT::DOUBLE",
+    "is_live_streamer": "0.0::DOUBLE",
+    "is_video_author": "(c_nationkey = 0)::INT::DOUBLE",
+    "follow_user_num": "c_nationkey::DOUBLE",
+    "fans_user_num": "c_acctbal",
+    "friend_user_num": "0.0::DOUBLE",
+    "register_days": "c_custkey::DOUBLE",
+}
+
+
+def scaled_sql(x: str) -> str:
+    return f"CASE WHEN stddev_samp({x}) OVER () > 0 THEN ({x} - avg({x}) OVER ()) / stddev_samp({x}) OVER () ELSE 0.0::DOUBLE END"
+
+
+@register(
+    "user_features",
+    query(
+        ["otail"],
+        f"""
+SELECT user_id, CAST(d - 1 AS INTEGER) AS place, {rx('value', 'value')} FROM (
+  SELECT c_custkey AS user_id, d.d, coalesce(h.m, 0) AS value FROM customer CROSS JOIN (SELECT unnest(generate_series(1, 64)) AS d) d
+  LEFT JOIN (
+    SELECT t.user_id, d.d, avg(e.embedding[d.d]::DOUBLE) AS m FROM otail t JOIN embeddings e ON e.vec_id = t.item_id,
+      (SELECT unnest(generate_series(1, 64)) AS d) d GROUP BY ALL
+  ) h ON h.user_id = c_custkey AND h.d = d.d
+  UNION ALL
+  SELECT user_id, unnest(generate_series(65, {64 + len(PROFILE)})), unnest([{', '.join(f'x{i}' for i in range(len(PROFILE)))}]) FROM (
+    SELECT c_custkey AS user_id, {', '.join(f'{scaled_sql(x)} AS x{i}' for i, x in enumerate(PROFILE.values()))} FROM customer)
+  UNION ALL
+  SELECT c_custkey, {64 + len(PROFILE)} + s.r, (c_mktsegment = s.seg)::INT::DOUBLE FROM customer
+  CROSS JOIN (SELECT seg, row_number() OVER (ORDER BY seg) AS r FROM (SELECT DISTINCT c_mktsegment AS seg FROM customer)) s
+)""",
+    ),
+)
 def user_features(spark, folder):
+    """Every entry of every user's feature vector."""
     w = World(spark, folder, "orders")
     vectors = D.embedding_items(spark, folder)
     out = V.user_feature_vectors(w.train, D.customer_profiles(spark, folder), vectors, 64, LENGTH)
-    return out.select("user_id", F.size("vector").alias("width"))
+    return out.select("user_id", F.posexplode("vector").alias("place", "value"))
 
 
 # --- fusion -------------------------------------------------------------------------------------
