@@ -44,9 +44,9 @@ def only_allowed(df: DataFrame, allowed: DataFrame | None) -> DataFrame:
     return df if allowed is None else df.join(allowed.select("item_id"), "item_id", "left_semi")
 
 
-def rank_lists(scored: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def rank_lists(scored: DataFrame, keys: list[str], order: list[str], settle: bool = True) -> DataFrame:
     """Position `list_rank` of each item in its list, by ascending `order` columns."""
-    return running_totals(scored, keys, order, {"list_rank": F.lit(1).cast("long")})
+    return running_totals(scored, keys, order, {"list_rank": F.lit(1).cast("long")}, settle=settle)
 
 
 def unseen_gaps(lists: DataFrame, seen: DataFrame, list_key: str) -> DataFrame:

@@ -1,17 +1,21 @@
-"""Top-K of user vectors against item vectors, computed in user-block x item-block tiles.
+"""Top-K of user vectors against item vectors: item blocks stream past blocks of users.
 
-Users and items are hashed into blocks of bounded size. A tile meets one block of each, scores them
-with one matrix product and hands on only the best rows, so scores of all pairs never leave a task.
+Users and items are hashed into blocks of bounded size. A task holds one block of users and their best rows so far; the
+item blocks pass through it one after another, each scored with one matrix product and merged into the best rows. What
+leaves a task is at most k rows per user, however many items there are. Where there are fewer user blocks than tasks, the
+item blocks are dealt to several chunks, whose lists are merged afterwards.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reelwise.functions.columns import steady
 from reelwise.functions.ordering import top_n
@@ -19,80 +23,160 @@ from reelwise.functions.ordering import top_n
 USER_BLOCK = 2048
 ITEM_BLOCK = 4096
 DIGITS = 9
-
-
-def _tiled(
+USER, SEEN, ITEM = 0, 1, 2
+
+Score = Callable[[pa.Table, pa.Table], np.ndarray]
+DATA = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType())])
+
+
+def block_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, int], pa.Table]]:
+    """((user block, chunk, item block), rows) of batches sorted by these columns."""
+    held, key = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(c).to_numpy() for c in ("_ub", "_ic", "_ib")]
+        cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        edges = [0, *cuts.tolist(), batch.num_rows]
+        for low, high in zip(edges, edges[1:]):
+            here = tuple(int(c[low]) for c in columns)
+            if held and here != key:
+                yield key, pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(low, high - low))
+            key = here
+    if held:
+        yield key, pa.Table.from_batches(held)
+
+
+class Best:
+    """The best `k` (row, item) pairs of each row so far: by rounded score, ties to the lower item."""
+
+    def __init__(self, rows: int, k: int):
+        self.k = k
+        self.row, self.item = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.score, self.least = np.zeros(0), np.full(rows, -np.inf)
+
+    def add(self, items: np.ndarray, scores: np.ndarray) -> None:
+        """Merge a block's scores (rows x items); -inf marks pairs that do not count."""
+        shown = np.round(scores, DIGITS)
+        floor = self.least
+        if scores.shape[1] > self.k:
+            floor = np.maximum(floor, np.partition(shown, scores.shape[1] - self.k, axis=1)[:, scores.shape[1] - self.k])
+        row, at = np.nonzero((shown >= floor[:, None]) & (shown > -np.inf))
+        row = np.concatenate([self.row, row])
+        item = np.concatenate([self.item, items[at]])
+        score = np.concatenate([self.score, scores[row[len(self.row) :], at]])
+        order = np.lexsort((item, -np.round(score, DIGITS), row))
+        row, item, score = row[order], item[order], score[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = place < self.k
+        self.row, self.item, self.score = row[keep], item[keep], score[keep]
+        full = place[keep] == self.k - 1
+        self.least[self.row[full]] = np.round(self.score[full], DIGITS)
+
+
+def streamed(
     users: DataFrame,
     items: DataFrame,
-    seen: DataFrame,
-    k: int,
-    score: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray],
+    seen: DataFrame | None,
+    k: int | None,
+    score: Score,
     user_block: int,
     item_block: int,
 ) -> DataFrame:
-    """(user_id, item_id, score, rank): best `k` unseen items per user, ties by item."""
-
-    def blocks(df: DataFrame, size: int):
-        return F.coalesce(df.agg(F.ceil(F.count("*") / F.lit(size))).scalar(), F.lit(1)).cast("int")
-
-    def numbered(df: DataFrame, key: str, own: str, n: str):
-        return df.withColumn(own, F.pmod(F.xxhash64(key), F.col(n)).cast("int"))
-
-    sizes = {"_nu": F.greatest(blocks(users, user_block), F.lit(1)), "_ni": F.greatest(blocks(items, item_block), F.lit(1))}
-    left = numbered(users.withColumns(sizes), "user_id", "_ub", "_nu")
-    right = numbered(items.withColumns(sizes), "item_id", "_ib", "_ni")
-    # A tile must hand on k rows plus the user's seen items inside it to be exact after the anti join.
-    met = (
-        seen.join(items.select("item_id"), "item_id", "left_semi")
-        .withColumns(sizes)
-        .withColumn("_ib", F.pmod(F.xxhash64("item_id"), F.col("_ni")).cast("int"))
-        .groupBy("user_id", "_ib")
-        .agg(F.count("*").alias("_met"))
-    )
-    left = (
-        left.withColumn("_ib", F.explode(F.sequence(F.lit(0), F.col("_ni") - 1)))
-        .join(met, ["user_id", "_ib"], "left")
-        .withColumn("_met", F.coalesce("_met", F.lit(0)))
-        .drop("_nu", "_ni")
-    )
-    right = right.withColumn("_ub", F.explode(F.sequence(F.lit(0), F.col("_nu") - 1))).drop("_nu", "_ni")
-
-    def tile(block_users: pd.DataFrame, block_items: pd.DataFrame) -> pd.DataFrame:
-        if block_users.empty or block_items.empty:
-            return pd.DataFrame({"user_id": [], "item_id": [], "score": []}).astype("int64")
-        block_items = block_items.sort_values("item_id", ignore_index=True)
-        ids = block_items["item_id"].to_numpy()
-        scores = score(block_users, block_items)
-        ordering = np.round(scores, DIGITS)
-        picked_users, picked_items, picked_scores = [], [], []
-        for row, (user, met_here) in enumerate(zip(block_users["user_id"], block_users["_met"])):
-            take = min(len(ids), k + int(met_here))
-            line = ordering[row]
-            if take < len(ids):
-                edge = np.partition(line, len(ids) - take)[len(ids) - take]
-                near = np.flatnonzero(line >= edge)
-            else:
-                near = np.arange(len(ids))
-            # stable sort over ids in ascending order keeps ties by item
-            best = near[np.argsort(-line[near], kind="stable")][:take]
-            picked_users.append(np.full(len(best), user))
-            picked_items.append(ids[best])
-            picked_scores.append(scores[row][best])
-        return pd.DataFrame(
-            {
-                "user_id": np.concatenate(picked_users),
-                "item_id": np.concatenate(picked_items),
-                "score": np.concatenate(picked_scores),
-            }
-        )
-
-    found = (
-        left.groupBy("_ub", "_ib")
-        .cogroup(right.groupBy("_ub", "_ib"))
-        .applyInPandas(tile, "user_id long, item_id long, score double")
-    )
-    unseen = found.join(seen.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
-    return top_n(unseen, ["user_id"], [F.desc(steady("score", DIGITS)), F.asc("item_id")], k)
+    """(user_id, item_id, score): at most `k` unseen items per user and chunk; with `k` None every pair that scores above 0.
+
+    Both tables carry their vector in the same columns after the id.
+    """
+    spark = users.sparkSession
+    vector = [f for f in users.schema.fields if f.name != "user_id"]
+
+    def blocks(df: DataFrame, size: int) -> Column:
+        return F.greatest(F.coalesce(df.agg(F.ceil(F.count("*") / F.lit(size))).scalar(), F.lit(1)), F.lit(1)).cast("int")
+
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sizes = {"_nu": blocks(users, user_block), "_ni": blocks(items, item_block)}
+    chunks = {"_nc": F.least(F.col("_ni"), F.ceil(F.lit(partitions) / F.col("_nu")).cast("int"))}
+    of = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    def rows(df: DataFrame, kind: int, ub: Column, ic: Column, ib: Column, a: str, b: str | None) -> DataFrame:
+        data = [F.col(f.name) if kind != SEEN else F.lit(None).cast(f.dataType).alias(f.name) for f in vector]
+        first = df.withColumns(sizes).withColumns(chunks).withColumn("_ub", ub).withColumn("_ib", ib).withColumn("_ic", ic)
+        second = F.col(b) if b else F.lit(None).cast("long")
+        return first.select("_ub", "_ic", "_ib", F.lit(kind).alias("_kind"), F.col(a).cast("long").alias("_a"), second.cast("long").alias("_b"), *data)
+
+    block = F.pmod(F.col("_ib"), F.col("_nc")).cast("int")
+    parts = rows(users, USER, of("user_id", "_nu"), each("_nc"), F.lit(-1), "user_id", None)
+    parts = parts.unionByName(rows(items, ITEM, each("_nu"), block, of("item_id", "_ni"), "item_id", None))
+    if seen is not None:
+        near = seen.select("user_id", "item_id").join(items.select("item_id"), "item_id", "left_semi")
+        parts = parts.unionByName(rows(near, SEEN, of("user_id", "_nu"), block, of("item_id", "_ni"), "user_id", "item_id"))
+    sorted_parts = parts.repartition(partitions, "_ub", "_ic").sortWithinPartitions("_ub", "_ic", "_ib", "_kind", "_a")
+
+    def result(user_ids: np.ndarray, row: np.ndarray, item: np.ndarray, found: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(user_ids[row]), pa.array(item), pa.array(found)], names=["user_id", "item_id", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = people = ids = best = None
+        for (ub, ic, ib), table in block_runs(batches):
+            if (ub, ic) != group:
+                if best is not None:
+                    yield result(ids, best.row, best.item, best.score)
+                group, people, best = (ub, ic), None, None
+            kinds = table.column("_kind").to_numpy()
+            if ib < 0:
+                people = table.combine_chunks()
+                ids = people.column("_a").to_numpy()
+                best = Best(len(ids), k) if k is not None else None
+                continue
+            if people is None or not (kinds == ITEM).any():
+                continue  # no user, or no item, in this block
+            catalog = table.filter(pa.array(kinds == ITEM)).combine_chunks()
+            item_ids = catalog.column("_a").to_numpy()
+            scores = score(people, catalog)
+            if k is None:
+                row, at = np.nonzero(scores > 0)
+                yield result(ids, row, item_ids[at], scores[row, at])
+                continue
+            met = kinds == SEEN
+            if met.any():
+                who, what = (table.column(c).to_numpy(zero_copy_only=False)[met].astype(np.int64) for c in ("_a", "_b"))
+                row = np.minimum(np.searchsorted(ids, who), len(ids) - 1)
+                ours = ids[row] == who
+                scores[row[ours], np.searchsorted(item_ids, what[ours])] = -np.inf
+            best.add(item_ids, scores)
+        if best is not None:
+            yield result(ids, best.row, best.item, best.score)
+
+    return sorted_parts.mapInArrow(run, DATA)
+
+
+def dense_scores(people: pa.Table, catalog: pa.Table) -> np.ndarray:
+    def matrix(table: pa.Table) -> np.ndarray:
+        column = table.column("vector").combine_chunks()
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+
+    return matrix(people) @ matrix(catalog).T
+
+
+def sparse_scores(people: pa.Table, catalog: pa.Table) -> np.ndarray:
+    """Dot products of (terms, weights), in the space of the terms the item block uses."""
+
+    def flat(table: pa.Table) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        terms, weights = (table.column(c).combine_chunks() for c in ("terms", "weights"))
+        return np.repeat(np.arange(table.num_rows), pc.list_value_length(terms).to_numpy()), terms.flatten(), weights.flatten().to_numpy()
+
+    rows, terms, weights = flat(catalog)
+    space = terms.unique()
+    right = np.zeros((catalog.num_rows, len(space)))
+    right[rows, pc.index_in(terms, value_set=space).to_numpy()] = weights
+    rows, terms, weights = flat(people)
+    at = pc.fill_null(pc.index_in(terms, value_set=space), -1).to_numpy()
+    left = np.zeros((people.num_rows, len(space)))
+    left[rows[at >= 0], at[at >= 0]] = weights[at >= 0]
+    return left @ right.T
 
 
 def dense_topk(
@@ -103,67 +187,15 @@ def dense_topk(
     user_block: int = USER_BLOCK,
     item_block: int = ITEM_BLOCK,
 ) -> DataFrame:
-    """Dot products of `vector` columns. Users with a NULL vector get no rows."""
-
-    def score(block_users: pd.DataFrame, block_items: pd.DataFrame) -> np.ndarray:
-        left = np.stack(block_users["user_vector"].to_numpy()).astype(np.float64)
-        right = np.stack(block_items["vector"].to_numpy()).astype(np.float64)
-        return left @ right.T
-
-    return _tiled(
-        # alias: users and items may be the same table
-        users.select("user_id", F.col("vector").alias("user_vector")).filter(F.col("user_vector").isNotNull()),
-        items.select("item_id", "vector"),
-        seen,
-        k,
-        score,
-        user_block,
-        item_block,
-    )
-
-
-def sparse_topk(
-    users: DataFrame,
-    items: DataFrame,
-    seen: DataFrame,
-    k: int,
-    category_weight: float = 0.0,
-    user_block: int = 256,
-    item_block: int = 1024,
-) -> DataFrame:
-    """Dot products of (codes, weights) vectors, plus `category_weight` for items in the user's tastes.
+    """(user_id, item_id, score, rank): best `k` unseen items by dot product of `vector`, ties by item.
 
-    A tile works in the space of the codes its item block uses.
+    Users and items with a NULL vector get no rows.
     """
+    known = lambda df, key: df.select(key, F.col("vector").cast("array<double>").alias("vector")).filter("vector IS NOT NULL")
+    found = streamed(known(users, "user_id"), known(items, "item_id"), seen, k, dense_scores, user_block, item_block)
+    return top_n(found, ["user_id"], [F.desc(steady("score", DIGITS)), F.asc("item_id")], k)
+
 
-    def dense(frame: pd.DataFrame, space: np.ndarray) -> np.ndarray:
-        lengths = frame["codes"].map(len).to_numpy()
-        matrix = np.zeros((len(frame), len(space)))
-        if lengths.sum() == 0 or len(space) == 0:
-            return matrix
-        codes = np.concatenate(frame["codes"].to_numpy())
-        values = np.concatenate(frame["weights"].to_numpy())
-        rows = np.repeat(np.arange(len(frame)), lengths)
-        at = np.minimum(np.searchsorted(space, codes), len(space) - 1)
-        hit = space[at] == codes
-        matrix[rows[hit], at[hit]] = values[hit]
-        return matrix
-
-    def score(block_users: pd.DataFrame, block_items: pd.DataFrame) -> np.ndarray:
-        space = np.unique(np.concatenate(block_items["codes"].to_numpy()))
-        scores = dense(block_users, space) @ dense(block_items, space).T
-        if category_weight:
-            categories = block_items["first_category"].to_numpy()
-            for row, tastes in enumerate(block_users["tastes"]):
-                scores[row] += category_weight * np.isin(categories, tastes)
-        return scores
-
-    return _tiled(
-        users.select("user_id", "tastes", "codes", "weights"),
-        items.select("item_id", "first_category", "codes", "weights"),
-        seen,
-        k,
-        score,
-        user_block,
-        item_block,
-    )
+def sparse_products(users: DataFrame, items: DataFrame, user_block: int = 512, item_block: int = 1024) -> DataFrame:
+    """(user_id, item_id, score): every positive dot product of (terms, weights) arrays."""
+    return streamed(users, items, None, None, sparse_scores, user_block, item_block)

@@ -353,19 +353,21 @@ text_fragment("txc", K, 0.15)
 
 
 def text_lists(w: World, bonus: float):
-    return TX.text_recall(TX.tfidf_weights(w.items), w.train, w.items, w.users, w.seen, K, LENGTH, bonus)
+    items = D.part_texts(w.spark, w.folder)
+    members, weights = TX.text_weights(items)
+    return TX.text_recall(weights, w.train, items, w.users, w.seen, K, LENGTH, bonus, members=members)
 
 
 @register("text_recall", query(["txt_list"], f"SELECT user_id, item_id, rank, is_known, {r6('score')} FROM txt_list"))
 def text_recall(spark, folder):
-    return text_lists(World(spark, folder), 0.0)
+    return text_lists(World(spark, folder, prepared=True), 0.0)
 
 
 @register(
     "text_category_recall", query(["txc_list"], f"SELECT user_id, item_id, rank, is_known, {r6('score')} FROM txc_list")
 )
 def text_category_recall(spark, folder):
-    return text_lists(World(spark, folder), 0.15)
+    return text_lists(World(spark, folder, prepared=True), 0.15)
 
 
 # --- vectors ------------------------------------------------------------------------------------

@@ -22,7 +22,7 @@ def stored(w: World, name: str, build) -> DataFrame:
 class World:
     """The log, items, history and truth one query works on, built from one folder of tables."""
 
-    def __init__(self, spark: SparkSession, folder: str, kind: str = "events"):
+    def __init__(self, spark: SparkSession, folder: str, kind: str = "events", prepared: bool = False):
         self.spark, self.folder, self.kind = spark, folder, kind
         self.stages: dict[str, DataFrame] = {}
         if kind == "events":
@@ -31,8 +31,8 @@ class World:
             self.log, opened = D.orders_log(spark, folder), None
         else:
             self.log, opened = D.orders_log(spark, folder, D.EARLY_TRAIN_END, D.EARLY_VALID_END), None
-        if kind != "events":
-            # The joined log is prepared once, like any log that goes through the preparation stage.
+        if prepared or kind != "events":
+            # A log that is read several times is prepared once, like any log that goes through the preparation stage.
             self.log = cut_lineage(self.log)
         self.items = D.part_items(spark, folder, self.log, opened)
         self.train = self.log.filter(F.col("split") == "train")

@@ -112,6 +112,15 @@ def part_items(spark: SparkSession, folder: str, log: DataFrame, opened: int | N
     return items.join(first, "item_id", "left").withColumn("first_seen_date", seen).drop("_first")
 
 
+def part_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The item columns that text recall reads; nothing of the log."""
+    return table(spark, folder, "part").select(
+        F.col("p_partkey").alias("item_id"),
+        F.regexp_extract("p_brand", "[0-9]+", 0).cast("int").alias("first_category"),
+        F.concat_ws(" ", "p_name", "p_type").alias("content_text"),
+    )
+
+
 def document_items(spark: SparkSession, folder: str) -> DataFrame:
     """Whole document texts as item texts."""
     return table(spark, folder, "documents").select(

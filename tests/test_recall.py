@@ -228,6 +228,52 @@ def test_text_recall_finds_the_similar_unseen_item(spark, make_log):
     assert lists(boosted)[1][0] in (4, 3) and boosted.filter("item_id = 4 and score >= 5").count() == 1
 
 
+@pytest.mark.parametrize("block,bonus", [(None, 0.0), (1, 0.0), (3, 0.0), (2, 0.3), (50, 0.1)])
+def test_text_recall_matches_brute_force(spark, skewed_log, block, bonus):
+    rng = random.Random(9)
+    words = ["red", "blue", "apple", "stone", "river", "cloud", "oak"]
+    # equal texts, texts without any shared term, items without text, half of the catalog cold
+    texts = [" ".join(rng.choices(words, k=rng.choice([1, 2, 3]))) for _ in range(25)] + ["", None, "q1", "#"]
+    rows = [(i, rng.choice([-1, 0, 1, 2]), rng.choice(texts)) for i in range(90)]
+    items = spark.createDataFrame(rows, "item_id long, first_category int, content_text string")
+    postings = TX.tfidf_weights(items)
+    vector = defaultdict(dict)
+    for r in postings.collect():
+        vector[r.item_id][r.term] = r.weight
+    pdf = skewed_log.toPandas()
+    seen = pdf.groupby("user_id").item_id.apply(set)
+    category, known, k, want = {r[0]: r[1] for r in rows}, set(pdf.item_id), 20, {}
+    for u, g in pdf[pdf.label_complete == 1].sort_values(["timestamp", "event_id"]).groupby("user_id"):
+        tail = [i for i in g.item_id.tail(8) if i in category]
+        profile = Counter()
+        for i in tail:
+            for term, w in vector[i].items():
+                profile[term] += w / len(tail)
+        tastes = {category[i] for i in tail} - {-1}
+        score = {i: sum(profile[t] * w for t, w in vector[i].items()) + bonus * (category[i] in tastes) for i in category if i not in seen[u]}
+        walk = sorted(score, key=lambda i: (-round(score[i], 9), i))
+        want[u] = interleave_loop([i for i in walk if i not in known], [i for i in walk if i in known], k)
+    args = (skewed_log, items, users_of(skewed_log), RK.seen_pairs(skewed_log), k, 8, bonus)
+    assert lists(TX.text_recall(postings, *args, block=block)) == want
+    members, weights = TX.text_weights(items)
+    assert lists(TX.text_recall(weights, *args, members=members, block=block)) == want
+
+
+def test_streamed_tiles_hand_on_k_rows_a_user(spark):
+    from reelwise.operators.tiles import dense_scores, streamed
+
+    rng = np.random.default_rng(1)
+    table = lambda key, n: spark.createDataFrame([(i, [float(x) for x in rng.normal(size=3)]) for i in range(n)], f"{key} long, vector array<double>")
+    users, items = table("user_id", 160), table("item_id", 700)
+    seen = spark.createDataFrame([(u, i) for u in range(160) for i in range(u % 7)], "user_id long, item_id long")
+    # as many user blocks as shuffle partitions: each user's items all pass through one task
+    found = streamed(users, items, seen, 4, dense_scores, 20, 50)
+    assert found.count() == 160 * 4
+    wide = streamed(users, items, seen, 4, dense_scores, 1000, 50)
+    assert wide.count() <= 160 * 4 * 8
+    assert "MapInArrow" in found._jdf.queryExecution().toString()
+
+
 def test_dense_topk_masks_and_blocks(spark):
     rng = np.random.default_rng(0)
     users = [(u, [float(x) for x in rng.normal(size=4)]) for u in range(30)] + [(99, None)]
