@@ -15,7 +15,9 @@ from reelwise.operators.ranked import (
     only_allowed,
     positive_tail,
     rank_lists,
+    seen_words,
     unseen_gaps,
+    unset_ranks,
 )
 from reelwise.session import cut_lineage
 
@@ -50,14 +52,11 @@ def popularity(log: DataFrame) -> DataFrame:
 def recommend_ranked(
     scores: DataFrame, users: DataFrame, seen: DataFrame, k: int, allowed: DataFrame | None = None
 ) -> DataFrame:
-    """First `k` items of one global ranking that each user has not seen."""
-    ordered = only_allowed(scores, allowed).select(
-        "item_id", "score", F.lit(0).alias("list_id"), (-steady("score")).alias("_order")
-    )
-    lists = rank_lists(ordered, [], ["_order", "item_id"])
-    asked = seen.join(users.select("user_id"), "user_id", "left_semi")
-    demand = users.select("user_id", F.lit(0).alias("list_id"), F.lit(k).alias("want"))
-    return first_unseen(lists, demand, unseen_gaps(lists, asked, "list_id"), "list_id").select(
+    """First `k` items of one global ranking that each user has not seen; `seen` may repeat pairs."""
+    ordered = only_allowed(scores, allowed).select("item_id", (-steady("score")).alias("_order"))
+    # A few numbers per item; ranking counts and sorts them.
+    lists = cut_lineage(rank_lists(cut_lineage(ordered), [], ["_order", "item_id"], settle=False).select("item_id", "list_rank"))
+    return unset_ranks(seen_words(lists, seen, users), users, lists.count(), k).join(lists, "list_rank").select(
         "user_id", "item_id", F.col("p").cast("int").alias("rank")
     )
 

@@ -68,14 +68,14 @@ def popular_scores_decayed(spark, folder):
 
 @register("popular_recall", query(["pop_all", "users", "seen"], first_unseen_sql("pop_all", "users", "seen", K)))
 def popular_recall(spark, folder):
-    w = World(spark, folder)
-    return RC.recommend_ranked(RC.popular_scores(w.train), w.users, w.seen, K)
+    w = World(spark, folder, prepared=True)
+    return RC.recommend_ranked(RC.popular_scores(w.train), w.users, w.train, K)
 
 
 @register("popular_window", query(["pop_week", "users", "seen"], first_unseen_sql("pop_week", "users", "seen", K)))
 def popular_window(spark, folder):
-    w = World(spark, folder)
-    return RC.recommend_ranked(RC.popular_scores(w.train, window_days=7), w.users, w.seen, K)
+    w = World(spark, folder, prepared=True)
+    return RC.recommend_ranked(RC.popular_scores(w.train, window_days=7), w.users, w.train, K)
 
 
 @register(
@@ -92,9 +92,9 @@ def popular_window(spark, folder):
 )
 def popular_decayed(spark, folder):
     """Decayed popularity within an allowed catalog."""
-    w = World(spark, folder)
+    w = World(spark, folder, prepared=True)
     allowed = w.items.filter("first_category <= 12")
-    return RC.recommend_ranked(RC.popular_scores(w.train, decay=True), w.users, w.seen, K, allowed)
+    return RC.recommend_ranked(RC.popular_scores(w.train, decay=True), w.users, w.train, K, allowed)
 
 
 popular_sql("opop", "otrain", f"sum({WEIGHT})")
@@ -113,7 +113,7 @@ QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) <=
 )
 def popular_recall_large(spark, folder):
     w = World(spark, folder, "orders")
-    return RC.recommend_ranked(RC.popular_scores(w.train), w.users, w.seen, 50)
+    return RC.recommend_ranked(RC.popular_scores(w.train), w.users, w.train, 50)
 
 
 # --- item CF ------------------------------------------------------------------------------------

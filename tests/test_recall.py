@@ -185,6 +185,36 @@ def test_fusion_has_no_duplicates_and_equals_the_walk(spark):
         assert all(len(items) == len(set(items)) <= 9 for items in got.values())
 
 
+def test_fusion_at_depth_500(spark):
+    """Users whose scheduled items differ, users with shared items, and users whose lists end early."""
+    rng = random.Random(6)
+    weights, rows, want = [70, 20, 10], [], {}
+    for user in range(9):
+        size, pool = (600, 10**6) if user < 3 else (600, 900) if user < 6 else (rng.randint(0, 300), 700)
+        rankings = [rng.sample(range(pool), size if pool > size else 0) for _ in weights]
+        rows += [(user, item, rank, f"c{c}") for c, items in enumerate(rankings) for rank, item in enumerate(items)]
+        want[user] = fold_plain(rankings, weights, 500)
+    df = spark.createDataFrame(rows, "user_id long, item_id long, rank int, channel string")
+    assert lists(RK.quota_fuse(df, {f"c{c}": w for c, w in enumerate(weights)}, 500)) == {u: w for u, w in want.items() if w}
+
+
+@pytest.mark.parametrize("k", [1, 3, 64, 130, 400])
+def test_unset_ranks_match_lists(spark, k):
+    rng = random.Random(k)
+    total = 300
+    ranked = spark.createDataFrame([(1000 - r, r) for r in range(1, total + 1)], "item_id long, list_rank long")
+    seen = {0: set(range(1, total + 1)), 1: set(), 2: set(range(1, 129)), 3: {64, 65, 128}, 4: set(rng.sample(range(1, total + 1), 150)), 5: {total}}
+    pairs = [(u, 1000 - r) for u, ranks in seen.items() for r in ranks] * 2 + [(7, 999), (1, 5)]
+    users = spark.createDataFrame([(u,) for u in seen], "user_id long")
+    words = RK.seen_words(ranked, spark.createDataFrame(pairs, "user_id long, item_id long"), users)
+    got = defaultdict(list)
+    for r in sorted(RK.unset_ranks(words, users, total, k).collect(), key=lambda r: (r.user_id, r.p)):
+        got[r.user_id].append(r.list_rank)
+        assert r.p == len(got[r.user_id])
+    assert got == {u: free for u, ranks in seen.items() if (free := [r for r in range(1, total + 1) if r not in ranks][:k])}
+    assert RK.unset_ranks(words, users, 0, k).count() == 0
+
+
 def test_category_recall_finds_cold_items_behind_many_known_ones(spark, make_log):
     log = make_log([(1, 0, 20240101, 1.0)] + [(2, i, 20240101, 0.1) for i in range(1, 60)])
     items = spark.createDataFrame([(i, 3) for i in range(61)], "item_id long, first_category int")
