@@ -100,6 +100,24 @@ def ordinal(
     return running_totals(df, keys or [], order, {name: F.lit(1).cast("long")}, settle=settle)
 
 
+def group_ranks(df: DataFrame, keys: list[str], orders: dict[str, Column], unique: str = "item_id") -> DataFrame:
+    """Add one 1-based position per entry of `orders` (name to ascending order value) within `keys`, ties by `unique`.
+
+    One small count per group tells how large groups get. While they stay within BUCKET_ROWS rows all positions come from
+    windows over one shuffle by `keys`, and nothing is written. Larger groups are ranked by buckets on a narrow copy that
+    holds only keys, `unique` and the order values; the positions are joined back, so the other columns are never
+    written. (keys, unique) identify a row.
+    """
+    largest = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest <= BUCKET_ROWS:
+        return df.withColumns({name: F.row_number().over(W.partitionBy(*keys).orderBy(order, F.asc(unique))) for name, order in orders.items()})
+    narrow = cut_lineage(df.select(*keys, unique, *[order.alias(f"_o{i}") for i, order in enumerate(orders.values())]))
+    for i, name in enumerate(orders):
+        ranks = ordinal(narrow.select(*keys, unique, f"_o{i}"), [f"_o{i}", unique], name, keys, settle=False)
+        df = df.join(ranks.select(*keys, unique, name), [*keys, unique])
+    return df
+
+
 def smallest(df: DataFrame, order: list[str], n: Column) -> DataFrame:
     """The `n` rows that come first in ascending `order`; `n` may be a scalar subquery and large."""
     return ordinal(df, order, "_ord").filter(F.col("_ord") <= n).drop("_ord")

@@ -12,15 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelwise.functions.columns import steady
-from reelwise.functions.ordering import ordinal
+from reelwise.functions.ordering import group_ranks
 
 KEYS = ("user_id", "date")
 
 
 def with_rank(df: DataFrame, score: str, out: str, keys: Sequence[str] = KEYS) -> DataFrame:
     """Add the 1-based position by descending score within the group, ties by item."""
-    ordered = df.withColumn("_weak", -steady(score))
-    return ordinal(ordered, ["_weak", "item_id"], out, list(keys)).drop("_weak")
+    return group_ranks(df, list(keys), {out: -steady(score)})
 
 
 def rrf(
@@ -30,9 +29,8 @@ def rrf(
     keys: Sequence[str] = KEYS,
     out: str = "rrf_score",
 ) -> DataFrame:
-    """Reciprocal-rank fusion: sum of weight / (k + rank) over the score columns."""
-    for score in weights:
-        df = with_rank(df, score, f"{score}_rank", keys)
+    """Reciprocal-rank fusion: sum of weight / (k + rank) over the score columns, all ranked in one pass."""
+    df = group_ranks(df, list(keys), {f"{score}_rank": -steady(score) for score in weights})
     fused = sum(
         (F.lit(float(w)) / (F.lit(float(k)) + F.col(f"{score}_rank")) for score, w in weights.items()),
         F.lit(0.0),
@@ -113,9 +111,7 @@ def mmr_rerank(
         "_order", -steady(F.coalesce("_pick", rest), 12)
     )
     columns = df.columns
-    return ordinal(
-        scored.select(*columns, "_order"), ["_order", "item_id"], f"{out}_rank", keys
-    ).select(
+    return group_ranks(scored.select(*columns, "_order"), keys, {f"{out}_rank": F.col("_order")}).select(
         *columns,
         F.col(f"{out}_rank").cast("int").alias(f"{out}_rank"),
         (1.0 / F.col(f"{out}_rank")).alias(out),
@@ -165,7 +161,7 @@ def sweep(
 
     `grid` lists run arguments, a handful of rows that are replicated to every candidate.
     """
-    ranked = with_rank(with_rank(df, first, "_ra", keys), second, "_rb", keys)
+    ranked = group_ranks(df, list(keys), {"_ra": -steady(first), "_rb": -steady(second)})
     points = grid.agg(F.collect_list(F.struct("grid_id", "w_first", "w_second", "rrf_k"))).scalar()
     return (
         ranked.withColumn("_g", F.explode(points))

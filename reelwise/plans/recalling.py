@@ -207,12 +207,12 @@ def itemcf_similarity(spark, folder):
 
 @register("itemcf_topk", query(["cf_list"], f"SELECT user_id, item_id, rank, {r6('score')} FROM cf_list"))
 def itemcf_topk(spark, folder):
-    return itemcf(World(spark, folder), K)
+    return itemcf(World(spark, folder, prepared=True), K)
 
 
 @register("itemcf_multifeedback", query(["cfm_list"], f"SELECT user_id, item_id, rank, {r6('score')} FROM cfm_list"))
 def itemcf_multifeedback(spark, folder):
-    return itemcf(World(spark, folder), K, 30, "multi_feedback", decay=False)
+    return itemcf(World(spark, folder, prepared=True), K, 30, "multi_feedback", decay=False)
 
 
 @register("itemcf_topk_large", query(["cfo_list"], f"SELECT user_id, item_id, rank, {r6('score')} FROM cfo_list"))
@@ -264,7 +264,7 @@ category_fragment("e", "ecat", K)
 
 @register("category_recall", query(["cat_list"], "SELECT user_id, item_id, rank, is_known FROM cat_list"))
 def category_recall(spark, folder):
-    w = World(spark, folder)
+    w = World(spark, folder, prepared=True)
     return RC.category_recall(w.train, w.items, w.users, w.seen, K, LENGTH)
 
 
@@ -404,7 +404,7 @@ def embedding_lists(w: World):
 
 @register("embedding_topk", query(["emb_list"], f"SELECT user_id, item_id, rank, {r6('score')} FROM emb_list"))
 def embedding_topk(spark, folder):
-    return embedding_lists(World(spark, folder)).select("user_id", "item_id", "rank", "score")
+    return embedding_lists(World(spark, folder, prepared=True)).select("user_id", "item_id", "rank", "score")
 
 
 @register(
@@ -671,12 +671,12 @@ EQUAL = {"itemcf": 1.0, "category": 1.0, "embedding": 1.0}
 
 @register("quota_fusion", fusion_query(QUOTAS, K))
 def quota_fusion(spark, folder):
-    return fused(World(spark, folder), QUOTAS, K)
+    return fused(World(spark, folder, prepared=True), QUOTAS, K)
 
 
 @register("equal_fusion", fusion_query(EQUAL, K))
 def equal_fusion(spark, folder):
-    return fused(World(spark, folder), EQUAL, K)
+    return fused(World(spark, folder, prepared=True), EQUAL, K)
 
 
 @register(

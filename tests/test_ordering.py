@@ -77,3 +77,22 @@ def test_exact_quantiles(spark, skewed):
     row = exact_quantiles(spark.createDataFrame(skewed), "value", qs).first()
     for name, q in qs.items():
         assert row[name] == pytest.approx(np.quantile(skewed.value, q))
+
+
+@pytest.mark.parametrize("limit", [10, 1_000_000])
+def test_group_ranks_write_no_full_frame(spark, skewed, limit, monkeypatch):
+    """Bounded groups are ranked without a write; large ones write keys and order values only."""
+    written = []
+    monkeypatch.setattr(ordering, "BUCKET_ROWS", limit)
+    keep = ordering.cut_lineage
+    monkeypatch.setattr(ordering, "cut_lineage", lambda df: written.append(df.columns) or keep(df))
+    df = spark.createDataFrame(skewed).withColumn("payload", F.lit("x")).withColumnRenamed("id", "item_id")
+    out = ordering.group_ranks(df, ["user_id"], {"up": F.col("value"), "down": -F.col("value")})
+    got = out.toPandas()
+    assert not any("payload" in columns for columns in written) and bool(written) == (limit == 10)
+    for name, sign in (("up", 1), ("down", -1)):
+        want = skewed.assign(o=sign * skewed.value).sort_values(["user_id", "o", "id"])
+        want["pos"] = want.groupby("user_id").cumcount() + 1
+        merged = got.merge(want, left_on="item_id", right_on="id")
+        assert len(merged) == len(skewed) and (merged[name] == merged.pos).all()
+    assert set(got.payload) == {"x"}
