@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reelwise.operators import profile as PF
@@ -60,6 +61,30 @@ def log_profile_large(spark, folder):
     return PF.log_profile(World(spark, folder, "orders").log)
 
 
+@register(
+    "distinct_sketches",
+    query(
+        ["olog"],
+        """
+SELECT d.date, d.n AS users, true AS near, (SELECT count(*) FROM f WHERE f.first <= d.date) AS users_to_date, true AS near_to_date
+FROM (SELECT date, count(DISTINCT user_id) AS n FROM olog GROUP BY 1) d""",
+        extra={"f": "SELECT user_id, min(date) AS first FROM olog GROUP BY 1"},
+    ),
+)
+def distinct_sketches(spark, folder):
+    """Exact distinct users per day and to date, and whether daily sketches and their unions lie within 6 % (or 1) of them."""
+    log = World(spark, folder, "orders").log
+    exact = log.groupBy("date").agg(F.countDistinct("user_id").alias("users"))
+    new = log.groupBy("user_id").agg(F.min("date").alias("date")).groupBy("date").agg(F.count("*").alias("new"))
+    upto = W.orderBy("date").rowsBetween(W.unboundedPreceding, 0)
+    days = exact.join(new, "date", "left").withColumn("users_to_date", F.sum(F.coalesce("new", F.lit(0))).over(upto))
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= F.greatest(F.lit(1.0), 0.06 * F.col(b))
+    sketched = PF.distinct_to_date(PF.distinct_sketches(log, "user_id"))
+    return days.join(sketched, "date").select(
+        "date", "users", near("approx", "users").alias("near"), "users_to_date", near("approx_to_date", "users_to_date").alias("near_to_date")
+    )
+
+
 @register(
     "concentration",
     query(

@@ -114,3 +114,16 @@ def test_feature_catalogue():
 def test_hash_draws_are_even(spark):
     draws = spark.range(4000).select(C.unit_hash(1, "id").alias("u")).toPandas().u
     assert 0 < draws.min() and draws.max() < 1 and abs(draws.mean() - 0.5) < 0.02
+
+
+def test_sketches_of_days_merge_to_any_range(spark):
+    from reelwise.operators.profile import distinct_between, distinct_sketches, distinct_to_date
+
+    log = spark.range(60_000).selectExpr("int(20240101 + id % 6) AS date", "id % 6 * 4000 + hash(id) % 9000 AS user_id")
+    sketches = distinct_sketches(log.union(spark.sql("SELECT 20240103, CAST(NULL AS BIGINT)")), "user_id")
+    for first, last in ((20240101, 20240106), (20240102, 20240104), (20240106, None), (None, 20240101)):
+        exact = log.filter(f"date >= {first or 0} AND date <= {last or 99999999}").select("user_id").distinct().count()
+        assert abs(distinct_between(sketches, first, last).first().approx / exact - 1) < 0.05
+    assert distinct_between(sketches, 20250101).first().approx == 0
+    rows = distinct_to_date(sketches).orderBy("date").collect()
+    assert rows[0].approx == rows[0].approx_to_date and rows[-1].approx_to_date > 1.5 * rows[-1].approx
