@@ -1,9 +1,12 @@
 """Toxicity by the nearest labelled examples.
 
-Labelled documents become TF-IDF vectors over all their terms. A document's nearest examples by exact cosine come from
-an inverted index: frequent terms are one matrix product in single precision, the others are read from their postings,
-and whatever comes close to the k-th similarity is computed again in double precision. Similarity-weighted votes, put
-through a sigmoid fitted on leave-one-out votes, give the score; the neighbours are the evidence.
+Labelled documents become TF-IDF vectors over all their terms, which are word stems. A document's nearest examples by
+exact cosine come from an inverted index with block maxima: examples are numbered so that similar ones stand together,
+and every frequent term's list is cut into blocks of examples with the largest weight of each block. The rare terms'
+postings are summed for all examples; with the frequent terms' maxima they bound every block. The most promising blocks
+are scored first, the k-th best similarity so far is the threshold, and blocks whose bound stays below it are skipped.
+Whatever comes close to the k-th similarity is computed again in double precision. Similarity-weighted votes, put through
+a sigmoid fitted on leave-one-out votes, give the score; the neighbours are the evidence.
 """
 
 from __future__ import annotations
@@ -24,31 +27,28 @@ from reelwise.llm.labelled import id_remainder, sample_labels
 from reelwise.llm.linear import fit_sigmoid, sigmoid
 from reelwise.llm.wordhash import POWERS, WORD_PUNCT, mix, tokens
 
-PREFIXES = (4, 5, 6)  # a word's first bytes are terms too, so that inflected forms meet
-COMMON = 16  # terms in more than one of so many examples are scored by the matrix product
-BATCH = 128  # texts per matrix product
+STEM = 4  # a term is a word's first bytes, so that inflected forms meet
+COMMON = 16  # terms in more than one of so many examples are frequent: their lists have block maxima
+BLOCK = 128  # examples per block
+EARLY = 2  # blocks scored before the threshold is taken
+BATCH = 128  # texts scored together
 SLACK = 1e-4  # more than the error of single precision
-NEIGHBOURS = 15
+NEIGHBOURS = 25
 PRIOR = 0.5  # similarity mass of the vote of an unmarked text
 
 
 def term_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of every occurrence of a lowered word or word beginning."""
+    """(row, hash) of every occurrence of a lowered word's stem: its first STEM bytes, or the whole word if shorter."""
     found = tokens(data, offsets, WORD_PUNCT, lower=True)
     word = found.kinds == 1
-    rows, starts, sizes = found.rows[word], found.starts[word], (found.ends - found.starts)[word]
-    out_rows, out = [rows], [found.hashes[word]]
+    starts, sizes = found.starts[word], (found.ends - found.starts)[word]
     lowered = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint64) + np.uint64(1)
-    for size in PREFIXES:
-        long = np.flatnonzero(sizes > size)
-        begin = starts[long]
-        with np.errstate(over="ignore"):
-            h = np.full(len(begin), np.uint64(size) * np.uint64(0xA0761D6478BD642F))
-            for k in range(size):
-                h += lowered[begin + k] * POWERS[k + 7]
-        out_rows.append(rows[long])
-        out.append(mix(h))
-    return np.concatenate(out_rows), np.concatenate(out)
+    lowered = np.append(lowered, np.zeros(STEM, np.uint64))
+    with np.errstate(over="ignore"):
+        h = np.full(len(starts), np.uint64(0xA0761D6478BD642F))
+        for k in range(STEM):
+            h += np.where(k < sizes, lowered[starts + k], np.uint64(0)) * POWERS[k + 7]
+    return found.rows[word], mix(h)
 
 
 @dataclass
@@ -93,46 +93,87 @@ class Index:
         return self._mask
 
     def prepare(self) -> None:
-        """What follows from the postings and is not shipped: the frequent terms' matrix, and postings by example."""
+        """What follows from the postings and is not shipped: example order, blocks with maxima, and postings by example."""
         n, df = len(self.labels), np.diff(self.starts)
-        common = np.flatnonzero(df * COMMON > n)
-        self._place = np.full(len(df), -1, np.int32)
-        self._place[common] = np.arange(len(common))
-        self._dense = np.zeros((len(common), n), np.float32)
-        for row, t in zip(self._dense, common.tolist()):
-            part = slice(self.starts[t], self.starts[t + 1])
-            row[self.examples[part]] = self.weights[part]
+        common = df * COMMON > n
+        owner = np.repeat(np.arange(len(df), dtype=np.int32), df)
+        # Examples with the same heaviest frequent term stand together, so that blocks differ in their maxima.
+        listed = common[owner]
+        heavy = np.full(n, -1, np.int64)
+        by_weight = np.argsort(self.weights[listed], kind="stable")
+        heavy[self.examples[listed][by_weight]] = owner[listed][by_weight]
+        self._number = np.argsort(heavy, kind="stable")  # example at each place
+        place = np.empty(n, np.int32)
+        place[self._number] = np.arange(n, dtype=np.int32)
+        blocks = -(-n // BLOCK)
+        self._column = np.full(len(df), -1, np.int32)
+        self._column[common] = np.arange(int(common.sum()))
+        dense = np.zeros((int(common.sum()), blocks * BLOCK), np.float32)
+        dense[self._column[owner[listed]], place[self.examples[listed]]] = self.weights[listed]
+        dense = dense.reshape(-1, blocks, BLOCK)
+        self._maxima = dense.max(2)
+        self._blocks = np.ascontiguousarray(dense.transpose(1, 0, 2))
+        self._rare = place[self.examples[~listed]], self.weights[~listed].astype(np.float32)
+        self._rare_starts = np.concatenate([[0], np.cumsum(np.where(common, 0, df))])
         order = np.argsort(self.examples, kind="stable")
-        self._terms = np.repeat(np.arange(len(df), dtype=np.int32), df)[order]
-        self._weights = self.weights[order]
+        self._terms, self._weights = owner[order], self.weights[order]
         self._cuts = np.concatenate([[0], np.cumsum(np.bincount(self.examples, minlength=n))])
         self._query = np.zeros(len(df))
 
     def nearest_of(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each of the texts 0 to n - 1 with (row, term, weight) by row: the k most similar examples (ties to the
         lower example) and their cosines, exactly."""
-        if not hasattr(self, "_dense"):
+        if not hasattr(self, "_blocks"):
             self.prepare()
         cuts = np.searchsorted(row, np.arange(n + 1))
-        place = self._place[term]
         for low in range(0, n, BATCH):
             high = min(n, low + BATCH)
             own = slice(cuts[low], cuts[high])
-            common = place[own] >= 0
-            block = np.zeros((high - low, len(self._dense)), np.float32)
-            block[row[own][common] - low, place[own][common]] = weight[own][common]
-            rough = block @ self._dense
+            rough = self._rough(row[own] - low, term[own], weight[own], high - low, k)
             for i in range(low, high):
                 part = slice(cuts[i], cuts[i + 1])
-                rare = place[part] < 0
-                yield self._best(rough[i - low], term[part], weight[part], rare, k)
-
-    def _best(self, total: np.ndarray, term: np.ndarray, weight: np.ndarray, rare: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        first = self.starts[term[rare]]
-        at, sizes = spread(first, self.starts[term[rare] + 1] - first)
-        total = total + np.bincount(self.examples[at], weights=np.repeat(weight[rare], sizes) * self.weights[at], minlength=len(total))
+                yield self._best(rough[i - low], term[part], weight[part], k)
+
+    def _rough(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int) -> np.ndarray:
+        """Similarities in single precision by text and place; -1 in blocks that cannot hold one of the k best."""
+        blocks = len(self._blocks)
+        column = self._column[term]
+        query = np.zeros((n, len(self._maxima)), np.float32)
+        query[row[column >= 0], column[column >= 0]] = weight[column >= 0]
+        total = np.zeros((n, blocks * BLOCK), np.float32)
+        places, values = self._rare
+        cuts = np.searchsorted(row, np.arange(n + 1))
+        for i in range(n):
+            part = slice(cuts[i], cuts[i + 1])
+            rare = column[part] < 0
+            first = self._rare_starts[term[part][rare]]
+            at, sizes = spread(first, self._rare_starts[term[part][rare] + 1] - first)
+            total[i] = np.bincount(places[at], weights=np.repeat(weight[part][rare], sizes) * values[at], minlength=total.shape[1])
+        by_block = total.reshape(n, blocks, BLOCK)
+        bound = by_block.max(2) + query @ self._maxima
+        done = np.zeros((n, blocks), bool)
+
+        def score(wanted: np.ndarray) -> None:
+            for b in np.flatnonzero(wanted.any(0)):
+                rows = np.flatnonzero(wanted[:, b])
+                by_block[rows, b] += query[rows] @ self._blocks[b]
+            done[wanted] = True
+
+        early = min(EARLY, blocks)
+        wanted = np.zeros((n, blocks), bool)
+        np.put_along_axis(wanted, np.argpartition(-bound, early - 1, axis=1)[:, :early], True, axis=1)
+        score(wanted)
+        least = np.full(n, -np.inf, np.float32)
+        if early * BLOCK >= k:
+            seen = by_block[wanted].reshape(n, -1)
+            least = np.partition(seen, seen.shape[1] - k, axis=1)[:, seen.shape[1] - k]
+        score(~done & (bound >= least[:, None] - SLACK))
+        by_block[~done] = -1
+        return total
+
+    def _best(self, total: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         least = np.partition(total, len(total) - k)[len(total) - k] - SLACK if len(total) > k else 0.0
-        some = np.flatnonzero((total > 0) & (total >= least))
+        some = self._number[np.flatnonzero((total > 0) & (total >= least))]
         at, sizes = spread(self._cuts[some], self._cuts[some + 1] - self._cuts[some])
         self._query[term] = weight
         exact = np.bincount(np.repeat(np.arange(len(some)), sizes), weights=self._weights[at] * self._query[self._terms[at]], minlength=len(some))
