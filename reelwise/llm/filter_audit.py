@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reelwise.llm.batches import slices
-from reelwise.llm.wordhash import LONGEST, POWERS, WHITE, mix
+from reelwise.llm.wordhash import BYTES, LONGEST, POWERS, WHITE, mix
 from reelwise.session import cut_lineage
 
 START, END, POINT, CAPITAL, SYMBOL = 1, 2, 4, 8, 16
@@ -89,7 +89,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np
         where, first = places(starts[part], lengths[part])
         inside = (np.arange(len(where)) - np.repeat(first, lengths[part])) % LONGEST
         with np.errstate(over="ignore"):
-            total = np.add.reduceat((data[where].astype(np.uint64) + np.uint64(1)) * POWERS[inside], first)
+            total = np.add.reduceat(BYTES[data[where]] * POWERS[inside], first)
             out[part] = mix(total + lengths[part].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     return out
 

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,7 +65,8 @@ def text_key(text: str):
 def repeated_windows(texts: DataFrame, window: int) -> DataFrame:
     """(key, spans) of texts with repeated windows; a span is (first start, bits of later starts).
 
-    `texts` has `key` and `text`; its rows are the occurrences, so a text given twice repeats itself.
+    `texts` has `key` and `text`. Equal texts are compared once: their spans hold what other texts or the text itself
+    repeat, and a caller that counts copies knows that all their windows are repeated.
     """
     bits = window - short_length(window) + 1
     if bits > 62:
@@ -131,7 +133,7 @@ def repeated_windows(texts: DataFrame, window: int) -> DataFrame:
     per_text = repeats.groupBy("key").agg(
         F.collect_set(F.when(~F.col("hot"), F.col("number"))).alias("cold"), F.collect_set(F.when(F.col("hot"), F.col("number"))).alias("hot")
     )
-    extended = texts.join(per_text, "key").select("key", "text", "cold", "hot")
+    extended = texts.dropDuplicates(["key"]).join(per_text, "key").select("key", "text", "cold", "hot")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The full windows of each repeated anchor, as (anchor, key, first start, hashes)."""
@@ -229,7 +231,9 @@ def remove_repeats(df: DataFrame, window: int = 35, text: str = "text") -> DataF
         text_key(text).alias("key"),
     )
     spans = repeated_windows(base.select("key", "text"), window)
-    joined = base.join(spans, "key", "left").select("row", "text", "spans")
+    copies = base.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", F.lit(True).alias("copied"))
+    known = settle(spans.join(copies, "key", "full").select("key", "spans", F.coalesce("copied", F.lit(False)).alias("copied")))
+    joined = base.join(known, "key", "left").select("row", "text", "spans", "copied")
     schema = T.StructType(
         [joined.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
     )
@@ -245,6 +249,11 @@ def remove_repeats(df: DataFrame, window: int = 35, text: str = "text") -> DataF
                 first = flat.field("first").to_numpy(zero_copy_only=False).astype(np.int64)
                 marks = flat.field("marks").to_numpy(zero_copy_only=False).astype(np.int64)
                 steps = np.zeros(total + 1, np.int64)
+                # Every window of a text with copies occurs again in them.
+                copied = pc.fill_null(rows.column("copied"), False).to_numpy(zero_copy_only=False)
+                long = copied & (np.diff(found.bounds) >= window)
+                steps[found.bounds[:-1][long]] += 1
+                np.subtract.at(steps, found.bounds[1:][long], 1)
                 for place in range(window - short_length(window) + 1):
                     at = found.bounds[owner] + first + place
                     at = at[(marks >> place) & 1 == 1]

@@ -8,9 +8,12 @@ import numpy as np
 import xxhash
 
 LONGEST = 1 << 12  # longer words are hashed one by one
-BASE = np.uint64(0x9E3779B97F4A7C15)
-with np.errstate(over="ignore"):
-    POWERS = np.cumprod(np.full(LONGEST, BASE, np.uint64))
+# A multiplier for each place of a word and a value for each byte, drawn at random from a fixed key. Powers of one number
+# would not do: modulo 2^64 there are words that collide for every base.
+KEY = 20_260_731
+_draw = np.random.default_rng(KEY)
+POWERS = _draw.integers(0, 1 << 64, LONGEST, np.uint64) | np.uint64(1)
+BYTES = _draw.integers(0, 1 << 64, 256, np.uint64)
 
 WHITE = b" \t\n\v\f\r"
 LOWER = np.arange(256, dtype=np.uint8)
@@ -71,7 +74,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray = BLANK_SE
     if long.any():
         np.minimum(inside, LONGEST - 1, out=inside)
     with np.errstate(over="ignore"):
-        h = np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * POWERS[inside], cuts[:-1])
+        h = np.add.reduceat(BYTES[data] * POWERS[inside], cuts[:-1])
         h = mix(h + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     for i in np.flatnonzero(long):
         h[i] = xxhash.xxh3_64_intdigest(data[cuts[i] : cuts[i + 1]].tobytes())

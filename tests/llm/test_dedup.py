@@ -146,3 +146,27 @@ def test_components(spark):
     pairs = [(9, 8), (8, 7), (7, 6), (6, 1), (20, 21), (5, 5), (30, 31), (31, 32), (30, 32), (8, 9)]
     got = {r.node: r.component for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {9: 1, 8: 1, 7: 1, 6: 1, 1: 1, 20: 20, 21: 20, 30: 30, 31: 30, 32: 30}
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n)), "".join("ba"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_collide_under_any_power_hash(spark):
+    """Two words of 1,024 letters whose polynomial hashes modulo 2^64 agree for every base are different words."""
+    one, other = thue_morse(1024)
+    rest = " ".join(f"w{i}" for i in range(34))
+    df = spark.createDataFrame([(1, f"{one} {rest}"), (2, f"{other} {rest}"), (3, one), (4, other)], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in remove_repeats(df, 35).collect()} == {1: 0, 2: 0, 3: 0, 4: 0}
+    assert all(r.kept for r in near_duplicates(df.filter("doc_id > 2"), shingle=3, percent=85).collect())
+
+
+def test_many_copies_beside_near_copies(spark):
+    words = [f"w{i}" for i in range(90)]
+    near = [" ".join([*words[:20], f"x{i}", *words[20:]]) for i in range(40)]
+    rows = [" ".join(words)] * 300 + near + [" ".join(words[30:70]) + " end", "short"] + ["short one"] * 3
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(7)
+    for r in remove_repeats(df, 35).collect():
+        text = rows[r.doc_id].split()
+        wanted = 0 if len(text) < 35 else len(text) if r.doc_id < 300 else 40 if text[-1] == "end" else 70
+        assert (r.n_words, r.n_removed) == (len(text), wanted)
