@@ -1,4 +1,4 @@
-"""Learned rankers on `pyspark.ml`."""
+"""Learned rankers: logistic regression by Newton steps, trees and factorisation on `pyspark.ml`, linear pairwise."""
 
 from __future__ import annotations
 
@@ -6,11 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import FMClassifier, GBTClassifier, LogisticRegression
-from pyspark.ml.feature import Imputer, MinMaxScaler, SQLTransformer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import MinMaxScaler, SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelwise.operators.newton import Logistic, fit_newton
 from reelwise.operators.sampling import pairwise_samples
 
 MISSING = -1000.0
@@ -20,36 +21,9 @@ def _doubles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({name: F.col(name).cast("double") for name in columns})
 
 
-def _balanced(df: DataFrame, label: str) -> DataFrame:
-    """Weight rows / (2 * rows of the class)."""
-    facts = df.agg(
-        F.struct(F.count("*").alias("n"), F.count_if(F.col(label) == 1).alias("p")).alias("s")
-    ).scalar()
-    out = df.withColumn("_s", facts)
-    size = F.when(F.col(label) == 1, F.col("_s.p")).otherwise(F.col("_s.n") - F.col("_s.p"))
-    return out.withColumn("_weight", F.col("_s.n") / (2 * size)).drop("_s")
-
-
-def fit_logistic(train: DataFrame, columns: Sequence[str], label: str = "label_complete") -> PipelineModel:
-    """Median impute, standardise, class-balanced logistic regression."""
-    columns = list(columns)
-    data = _balanced(_doubles(train, columns), label).withColumn("_label", F.col(label).cast("double"))
-    filled = [f"_f_{name}" for name in columns]
-    stages = [
-        Imputer(strategy="median", inputCols=columns, outputCols=filled),
-        VectorAssembler(inputCols=filled, outputCol="_raw"),
-        StandardScaler(inputCol="_raw", outputCol="_features", withMean=True),
-        LogisticRegression(
-            featuresCol="_features",
-            labelCol="_label",
-            weightCol="_weight",
-            maxIter=300,
-            probabilityCol="_prob",
-            rawPredictionCol="_margin",
-            predictionCol="_class",
-        ),
-    ]
-    return Pipeline(stages=stages).fit(data)
+def fit_logistic(train: DataFrame, columns: Sequence[str], label: str = "label_complete") -> Logistic:
+    """Median impute, standardise, class-balanced logistic regression; see newton.fit_newton."""
+    return fit_newton(train, columns, label)
 
 
 def fit_boosted(
@@ -106,8 +80,10 @@ def fit_factorization(
     return Pipeline(stages=stages).fit(data)
 
 
-def predict(model: PipelineModel, df: DataFrame, columns: Sequence[str], out: str = "score") -> DataFrame:
+def predict(model: PipelineModel | Logistic, df: DataFrame, columns: Sequence[str], out: str = "score") -> DataFrame:
     """`df` plus the positive-class probability."""
+    if isinstance(model, Logistic):
+        return df.withColumn(out, model.probability())
     scored = model.transform(_doubles(df, columns))
     return scored.select(*df.columns, vector_to_array("_prob")[1].alias(out))
 
@@ -148,19 +124,14 @@ def score_linear(df: DataFrame, coefficients: dict[str, float], out: str = "scor
     return df.withColumn(out, value)
 
 
-def label_heads(train: DataFrame, columns: Sequence[str], labels: Sequence[str]) -> dict[str, PipelineModel]:
+def label_heads(train: DataFrame, columns: Sequence[str], labels: Sequence[str]) -> dict[str, Logistic]:
     """One logistic head per label."""
     return {label: fit_logistic(train, columns, label) for label in labels}
 
 
-def importance_table(df: DataFrame, model: PipelineModel, columns: Sequence[str]) -> DataFrame:
-    """(feature, importance), strongest first: tree gain shares or absolute coefficients."""
-    last = model.stages[-1]
-    values = (
-        last.featureImportances.toArray()
-        if hasattr(last, "featureImportances")
-        else abs(last.coefficients.toArray())
-    )
+def importance_table(df: DataFrame, model: PipelineModel | Logistic, columns: Sequence[str]) -> DataFrame:
+    """(feature, importance), strongest first: tree gain shares or absolute weights of standardised features."""
+    values = abs(model.weights) if isinstance(model, Logistic) else model.stages[-1].featureImportances.toArray()
     rows = [(name, float(value)) for name, value in zip(columns, values)]
     return df.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(
         F.desc("importance"), F.asc("feature")

@@ -11,7 +11,9 @@ from reelwise.operators import scoring_metrics as SC
 from reelwise.operators.rerank import blend_scores
 from reelwise.operators.stats import pointwise_frame, strict_past_stats
 from reelwise.plans.candidating import TOP, WEIGHTS, candidate_frame, channel_lists
+from reelwise.plans.preparing import past_sql
 from reelwise.plans.registry import register
+from reelwise.plans.sql import fragment, query, rx
 from reelwise.plans.world import World, stored
 
 TRAIN_DAYS, FEATURE_END = 20240120, 20240105
@@ -37,7 +39,86 @@ def _scored(spark, folder, fit):
     return out.select("event_id", "user_id", "date", "item_id", "label_complete", "score")
 
 
-@register("logistic_scores")
+NEWTON_STEPS = 9
+
+
+def newton_sql(name: str, columns: list[str], label: str, ridge: float = 1.0, steps: int = NEWTON_STEPS) -> None:
+    """Fragments of a logistic fit on `pointwise_sql`: `name`_theta with the weights (the last one is the intercept)."""
+    n = len(columns) + 1
+    stats = ", ".join(
+        f"avg(coalesce({c}, m{i})) AS a{i}, stddev_pop(coalesce({c}, m{i})) AS s{i}, any_value(m{i}) AS m{i}" for i, c in enumerate(columns)
+    )
+    middle = ", ".join(f"coalesce(median({c}::DOUBLE), 0) AS m{i}" for i, c in enumerate(columns))
+    train = f"(SELECT * FROM pointwise_sql WHERE date <= {TRAIN_DAYS} AND date > {FEATURE_END} AND {label} IS NOT NULL)"
+    fragment(f"{name}_mid", ["pointwise_sql"], f"SELECT {middle} FROM {train}")
+    fragment(f"{name}_st", [f"{name}_mid"], f"SELECT {stats}, count(*) AS n, sum({label}) AS p FROM {train}, {name}_mid")
+    x = ", ".join(f"CASE WHEN s{i} > 0 THEN (coalesce({c}, m{i}) - a{i}) / s{i} ELSE 0 END" for i, c in enumerate(columns))
+    standard = f"SELECT event_id, {label}::DOUBLE AS y, [{x}, 1.0]::DOUBLE[] AS x, n, p FROM {{rows}}, {name}_st"
+    fragment(f"{name}_x", [f"{name}_st"], standard.format(rows=train))
+    fragment(f"{name}_test", [f"{name}_st"], standard.format(rows="(SELECT * FROM pointwise_sql WHERE split = 'test')"))
+    fragment(f"{name}_t0", [f"{name}_x"], f"SELECT {[0.0] * n}::DOUBLE[] AS t")
+    for step in range(steps):
+        # Rows of the system: the Hessian with the ridge, then the gradient; eliminated one pivot at a time.
+        fragment(
+            f"{name}_m{step}",
+            [f"{name}_x", f"{name}_t{step}"],
+            f"""
+SELECT list(line ORDER BY i) AS m, any_value(t) AS t FROM (
+  SELECT i, any_value(t) AS t, list_append(list(v ORDER BY j), any_value(g) + CASE WHEN i < {n} THEN {ridge}::DOUBLE * any_value(t)[i] ELSE 0 END) AS line FROM (
+    SELECT i, j, any_value(t) AS t, sum(c * q * (1 - q) * x[i] * x[j]) + CASE WHEN i = j AND i < {n} THEN {ridge}::DOUBLE ELSE 0 END AS v, sum(c * (q - y) * x[i]) AS g FROM (
+      SELECT x, y, t, 1 / (1 + exp(-list_dot_product(x, t))) AS q, CASE WHEN y = 1 THEN n / (2 * p) ELSE n / (2 * (n - p)) END AS c FROM {name}_x, {name}_t{step}
+    ), (SELECT unnest(generate_series(1, {n})) AS i) a, (SELECT unnest(generate_series(1, {n})) AS j) b GROUP BY i, j
+  ) GROUP BY i
+)""",
+        )
+        fragment(
+            f"{name}_e{step}",
+            [f"{name}_m{step}"],
+            f"""
+SELECT 0 AS k, m, t FROM {name}_m{step}
+UNION ALL
+SELECT k + 1, list_transform(m, lambda r, i: CASE WHEN i = k + 1 THEN list_transform(r, lambda v: v / m[k + 1][k + 1])
+  ELSE list_transform(r, lambda v, j: v - r[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END), t
+FROM {name}_e{step} WHERE k < {n}""",
+        )
+        fragment(
+            f"{name}_t{step + 1}", [f"{name}_e{step}"], f"SELECT list_transform(t, lambda v, i: v - m[i][{n + 1}]) AS t FROM {name}_e{step} WHERE k = {n}"
+        )
+    fragment(
+        f"{name}_score",
+        [f"{name}_test", f"{name}_t{steps}"],
+        f"SELECT event_id, 1 / (1 + exp(-list_dot_product(x, t))) AS score FROM {name}_test, {name}_t{steps}",
+    )
+
+
+for _name, _sql in past_sql("true").items():
+    fragment(_name, ["log"], _sql)
+fragment(
+    "pointwise_sql",
+    ["log", "items", "user_past", "item_past"],
+    """
+SELECT l.event_id, l.user_id, l.item_id, l.date, l.split, l.label_complete, l.label_strong, l.label_short, l.video_duration,
+  hour(l.timestamp) AS hour, isodow(l.timestamp) - 1 AS weekday, i.author_id, i.first_category,
+  u.* EXCLUDE (user_id, date), p.* EXCLUDE (item_id, date)
+FROM log l LEFT JOIN items i ON i.item_id = l.item_id
+LEFT JOIN user_past u ON u.user_id = l.user_id AND u.date = l.date LEFT JOIN item_past p ON p.item_id = l.item_id AND p.date = l.date""",
+)
+POINTWISE = S.pointwise_columns(["F0", "F1", "F2", "F3", "F5"])
+for _label in S.LABELS:
+    newton_sql(f"lr_{_label}", POINTWISE, _label)
+
+
+def recursive_query(needs: list[str], select: str) -> str:
+    return query(needs, select).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@register(
+    "logistic_scores",
+    recursive_query(
+        ["lr_label_complete_score"],
+        f"SELECT event_id, user_id, date, item_id, label_complete, {rx('score', 'score')} FROM lr_label_complete_score JOIN pointwise_sql USING (event_id)",
+    ),
+)
 def logistic_scores(spark, folder):
     return _scored(spark, folder, R.fit_logistic)
 
@@ -62,7 +143,16 @@ def feature_importance(spark, folder):
     return R.importance_table(train, R.fit_boosted(train, columns, trees=5), columns)
 
 
-@register("label_blend")
+@register(
+    "label_blend",
+    recursive_query(
+        [f"lr_{label}_score" for label in S.LABELS],
+        f"""
+SELECT event_id, {rx('a.score', 'blend_complete')}, {rx('0.7 * a.score + 0.3 * b.score', 'blend_strong')},
+  {rx('0.6 * a.score + 0.3 * b.score + 0.1 * (1 - c.score)', 'blend_short')}
+FROM lr_label_complete_score a JOIN lr_label_strong_score b USING (event_id) JOIN lr_label_short_score c USING (event_id)""",
+    ),
+)
 def label_blend(spark, folder):
     """One head per label, blended into the three serving scores."""
     train, test, columns = pointwise(World(spark, folder))
