@@ -8,9 +8,11 @@ from reelwise import schema as S
 from reelwise.operators import candidates as C
 from reelwise.operators import rankers as R
 from reelwise.operators import scoring_metrics as SC
+from reelwise.operators.lambda_rank import fit_lambda_rank
 from reelwise.operators.rerank import blend_scores
 from reelwise.operators.stats import pointwise_frame, strict_past_stats
 from reelwise.plans.candidating import TOP, WEIGHTS, candidate_frame, channel_lists
+from reelwise.plans.evaluating import auc_sql
 from reelwise.plans.preparing import past_sql
 from reelwise.plans.registry import register
 from reelwise.plans.sql import fragment, query, rx
@@ -178,26 +180,109 @@ def pairwise_ranker(spark, folder):
     return R.score_linear(test, coefficients).select("user_id", "date", "item_id", "score")
 
 
+LAMBDA_COLUMNS = ["itemcf_rank_score", "content_rank_score", "channel_count", "item_complete_rate", "category_affinity", "item_age_days"]
+LAMBDA_STEPS, LAMBDA_K, LAMBDA_RATE = 3, 10, 5.0
+
+
+def lambda_sql() -> None:
+    """Fragments of the first LambdaRank steps on the candidates: `lam_w<step>` with the standardised weights as a list."""
+    n = len(LAMBDA_COLUMNS)
+    facts = ", ".join(f"avg({c}::FLOAT::DOUBLE) AS a{i}, stddev_pop({c}::FLOAT::DOUBLE) AS s{i}" for i, c in enumerate(LAMBDA_COLUMNS))
+    x = ", ".join(f"CASE WHEN s{i} > 0 THEN ({c}::FLOAT::DOUBLE - a{i}) / s{i} ELSE 0 END" for i, c in enumerate(LAMBDA_COLUMNS))
+    fragment("lam_st", ["cand"], f"SELECT {facts} FROM cand")
+    fragment(
+        "lam_x",
+        ["lam_st"],
+        f"""
+SELECT *, (SELECT sum(1 / log2(q + 1)) FROM range(1, least(p, {LAMBDA_K})::BIGINT + 1) t(q)) AS idcg FROM (
+  SELECT user_id, date, item_id, label::INT AS y, [{x}]::DOUBLE[] AS x, sum(label::INT) OVER (PARTITION BY user_id, date) AS p,
+    count(*) OVER (PARTITION BY user_id, date) AS c FROM cand, lam_st
+) WHERE p > 0 AND p < c""",
+    )
+    fragment("lam_w0", ["lam_x"], f"SELECT {[0.0] * n}::DOUBLE[] AS w")
+    for step in range(LAMBDA_STEPS):
+        fragment(
+            f"lam_r{step}",
+            ["lam_x", f"lam_w{step}"],
+            f"""
+SELECT *, CASE WHEN r <= {LAMBDA_K} THEN 1 / log2(r + 1) ELSE 0 END AS d FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id, date ORDER BY -round(s, 9), item_id) AS r FROM (
+    SELECT *, list_dot_product(x, w) AS s FROM lam_x, lam_w{step}))""",
+        )
+        force = "abs(a.d - b.d) / a.idcg / (1 + exp(a.s - b.s))"
+        pulls = ", ".join(f"sum({force} * (a.x[{i}] - b.x[{i}]))" for i in range(1, n + 1))
+        fragment(
+            f"lam_w{step + 1}",
+            [f"lam_r{step}"],
+            f"""
+SELECT list_transform(w, lambda v, i: v + {LAMBDA_RATE}::DOUBLE * g[i] / n) AS w FROM lam_w{step}, (
+  SELECT [{pulls}] AS g FROM lam_r{step} a JOIN lam_r{step} b ON a.user_id = b.user_id AND a.date = b.date AND a.y = 1 AND b.y = 0
+), (SELECT count(DISTINCT (user_id, date)) AS n FROM lam_x)""",
+        )
+
+
+lambda_sql()
+
+
+@register(
+    "lambda_steps",
+    query(
+        [f"lam_w{LAMBDA_STEPS}"],
+        f"""
+SELECT feature, {rx('w / s', 'coefficient')} FROM (
+  SELECT unnest({LAMBDA_COLUMNS}) AS feature, unnest(w) AS w, unnest([{', '.join(f's{i}' for i in range(len(LAMBDA_COLUMNS)))}]) AS s
+  FROM lam_w{LAMBDA_STEPS}, lam_st)""",
+    ),
+)
+def lambda_steps(spark, folder):
+    """Coefficients after the first steps of the group-wise ranker."""
+    w = World(spark, folder)
+    coefficients, _ = fit_lambda_rank(candidate_frame(w)[0], LAMBDA_COLUMNS, k=LAMBDA_K, steps=LAMBDA_STEPS, rate=LAMBDA_RATE)
+    return spark.createDataFrame(list(coefficients.items()), "feature string, coefficient double")
+
+
+@register("lambda_ranker")
+def lambda_ranker(spark, folder):
+    """Group-wise ranker over the candidates of each user and day: learned on the validation days, scored on the test days."""
+    valid, test, columns = candidate_frames(World(spark, folder))
+    coefficients, _ = fit_lambda_rank(valid, columns, steps=5)
+    return R.score_linear(test, coefficients).select("user_id", "date", "item_id", "score")
+
+
 @register("ablation_sources")
 def ablation_sources(spark, folder):
-    """The candidate ranker with all channels, and without the candidates that only the tower found."""
+    """The candidate ranker with all channels and features, without what only the tower found, and without each feature group."""
     valid, test, columns = candidate_frames(World(spark, folder))
-    without = S.FEATURE_SETS["without_tower"]
+    keep = lambda df: df
+    runs = [("all", keep, columns), ("no_tower", C.without_tower_only, S.features(prefix="tower_"))]
+    runs += [(f"no_{group}", keep, S.features(without=[group])) for group in S.FEATURE_GROUPS]
     rows = None
-    for name, source, used in (("all", lambda df: df, columns), ("no_tower", C.without_tower_only, without)):
+    for name, source, used in runs:
         scored = R.predict(R.fit_logistic(source(valid), used), source(test), used)
         row = SC.auc(scored).select("auc", "rows").withColumn("source", F.lit(name))
         rows = row if rows is None else rows.unionByName(row)
     return rows
 
 
-@register("ablation_sweep")
+NESTED = {"context": ["F0"], "context_user": ["F0", "F1", "F3"], "all": ["F0", "F1", "F2", "F3", "F5"]}
+for _set in ("context", "context_user"):
+    newton_sql(f"lr_{_set}", S.pointwise_columns(NESTED[_set]), "label_complete")
+_FITS = {"context": "lr_context", "context_user": "lr_context_user", "all": "lr_label_complete"}
+for _set, _fit in _FITS.items():
+    fragment(f"ab_{_set}", [f"{_fit}_score"], f"SELECT score AS s, label_complete AS y FROM {_fit}_score JOIN pointwise_sql USING (event_id)")
+
+
+@register(
+    "ablation_sweep",
+    recursive_query(
+        [f"ab_{name}" for name in NESTED],
+        " UNION ALL ".join(
+            f"SELECT '{name}' AS feature_set, {rx('(' + auc_sql(f'ab_{name}', 's', 'y') + ')', 'auc')}, (SELECT count(*) FROM ab_{name}) AS rows" for name in NESTED
+        ),
+    ),
+)
 def ablation_sweep(spark, folder):
     """The same logistic ranker on nested feature groups, AUC of each on the test days."""
     train, test, _ = pointwise(World(spark, folder))
-    sets = {
-        "context": S.pointwise_columns(["F0"]),
-        "context_user": S.pointwise_columns(["F0", "F1", "F3"]),
-        "all": S.pointwise_columns(["F0", "F1", "F2", "F3", "F5"]),
-    }
+    sets = {name: S.pointwise_columns(groups) for name, groups in NESTED.items()}
     return R.ablation(train, test, sets, lambda scored: SC.auc(scored).select("auc", "rows"))

@@ -113,3 +113,78 @@ def test_missing_histories_are_refused(spark):
     assert H.require_histories(tables, tables).count() == 1
     with pytest.raises(Exception, match="no histories"):
         H.require_histories(rows, tables).collect()
+
+
+def test_lambda_rank_raises_ndcg(spark, monkeypatch):
+    import math
+    import random
+
+    import numpy as np
+
+    from reelwise.functions import ordering
+    from reelwise.operators.lambda_rank import fit_lambda_rank, lambda_gradient, training_groups
+    from reelwise.operators.rankers import score_linear
+
+    rng = random.Random(5)
+    rows = []
+    for user in range(60):
+        for item in range(rng.randint(2, 30)):
+            good, noise = rng.gauss(0, 1), rng.gauss(0, 3)
+            rows.append((user, 1, item, good, noise, 7.0, int(good + rng.gauss(0, 0.7) > 0.8)))
+    df = spark.createDataFrame(rows, "user_id long, date int, item_id long, a double, b double, c double, label int")
+    weights, course = fit_lambda_rank(df, ["a", "b", "c"], steps=6, k=5)
+    assert course[-1] > course[0] + 0.15 and weights["a"] > 5 * abs(weights["b"]) and weights["c"] == 0.0
+    assert score_linear(df, weights).count() == len(rows)
+
+    # one gradient against all pairs
+    data, _, _ = training_groups(df, ["a", "b", "c"], "label", 5, ("user_id", "date"))
+    w = np.array([0.3, -0.2, 0.0])
+    want, groups, quality = np.zeros(3), 0, 0.0
+    pdf = data.toPandas()
+    for _, g in pdf.groupby("user_id"):
+        x, y = g[["x0", "x1", "x2"]].to_numpy(), g.y.to_numpy()
+        s = x @ w
+        r = np.empty(len(g), int)
+        r[np.lexsort((g.item_id, -np.round(s, 9)))] = np.arange(1, len(g) + 1)
+        d = np.where(r <= 5, 1 / np.log2(r + 1), 0)
+        ideal = sum(1 / math.log2(q + 1) for q in range(1, min(y.sum(), 5) + 1))
+        groups, quality = groups + 1, quality + (d * y).sum() / ideal
+        for i in np.flatnonzero(y == 1):
+            for j in np.flatnonzero(y == 0):
+                want += abs(d[i] - d[j]) / ideal / (1 + math.exp(s[i] - s[j])) * (x[i] - x[j])
+    got, ndcg = lambda_gradient(data, w, 5)
+    assert np.allclose(got, want / groups) and ndcg == pytest.approx(quality / groups)
+    monkeypatch.setattr(ordering, "BUCKET_ROWS", 10)  # groups too large for one window
+    assert np.allclose(lambda_gradient(data, w, 5)[0], want / groups)
+    none, flat = fit_lambda_rank(df.filter("label = 0"), ["a"], steps=2)
+    assert none == {"a": 0.0} and flat == [0.0, 0.0]
+
+
+def test_newton_matches_a_plain_fit(spark):
+    import random
+
+    import numpy as np
+
+    from reelwise.operators.newton import fit_newton
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(900):
+        a, b = rng.gauss(5, 2), rng.choice([None, rng.gauss(0, 1)])
+        rows.append((i, a, b, 4.0, int(rng.random() < 1 / (1 + np.exp(3 - a + 0.5 * (b or 0))))))
+    df = spark.createDataFrame(rows, "i long, a double, b double, c double, y int")
+    model = fit_newton(df.repartition(5), ["a", "b", "c"], "y")
+    again = fit_newton(df.repartition(3, "a"), ["a", "b", "c"], "y")
+    assert np.allclose(model.weights, again.weights, atol=1e-9)
+    raw = np.array([[r[1], np.nan if r[2] is None else r[2]] for r in rows], float)
+    raw = np.where(np.isnan(raw), np.nanmedian(raw, axis=0), raw)
+    x = np.column_stack([(raw - raw.mean(0)) / raw.std(0), np.zeros(len(raw)), np.ones(len(raw))])
+    y = np.array([r[4] for r in rows])
+    cost = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
+    theta = np.append(model.weights, model.intercept)
+    p = 1 / (1 + np.exp(-x @ theta))
+    gradient = x.T @ (cost * (p - y)) + np.append(model.weights, 0)
+    assert np.abs(gradient).max() < 1e-6
+    scores = [r.s for r in df.select("i", model.probability().alias("s")).orderBy("i").collect()]
+    assert np.allclose(scores, p)
+    assert fit_newton(df.filter("y = 1"), ["a"], "y").weights.tolist() == [0.0]

@@ -106,8 +106,9 @@ def test_attach_replaces_old_statistics(spark, make_log):
 
 def test_feature_catalogue():
     assert len(S.FEATURES) == 29 == len(set(S.FEATURES))
-    assert sorted(sum(S.FEATURE_SIDES.values(), [])) == sorted(S.FEATURES)
-    assert not set(S.FEATURE_SETS["without_tower"]) & {"tower_present", "tower_rank_score", "tower_age_cross"}
+    assert len(set(S.FEATURES)) == len(S.FEATURES) and S.features() == S.FEATURES
+    assert not set(S.features(prefix="tower_")) & {"tower_present", "tower_rank_score", "tower_age_cross"}
+    assert set(S.FEATURES) - set(S.features(without=["user", "cross"])) == {*S.USER_FEATURES, *S.CROSS_FEATURES}
     assert S.pointwise_columns(["F1", "F3", "F1"]) == [*S.POINTWISE_GROUPS["F1"], "user_mean_watch_ratio"]
 
 
