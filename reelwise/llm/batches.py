@@ -20,19 +20,21 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
     Yields (rows, bytes of all their texts, offsets of the rows in those bytes). A null text has no bytes.
     One longer text makes a run of its own.
     """
-    column = pc.fill_null(batch.column(text).cast(pa.large_binary()), b"")
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    n = len(column)
-    if not n:
+    if not batch.num_rows:
         return
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1]
-    buffer = column.buffers()[2]
-    data = np.frombuffer(buffer, np.uint8) if buffer is not None else np.zeros(0, np.uint8)
+    total = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))])
     low = 0
-    while low < n:
-        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + limit, side="right")) - 1)
-        yield batch.slice(low, high - low), data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
+    while low < batch.num_rows:
+        high = max(low + 1, int(np.searchsorted(total, total[low] + limit, side="right")) - 1)
+        rows = batch.slice(low, high - low)
+        # Only the texts of one run are copied.
+        column = pc.fill_null(rows.column(text).cast(pa.large_binary()), b"")
+        if isinstance(column, pa.ChunkedArray):
+            column = column.combine_chunks()
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + rows.num_rows + 1]
+        buffer = column.buffers()[2]
+        data = np.frombuffer(buffer, np.uint8) if buffer is not None else np.zeros(0, np.uint8)
+        yield rows, data[offsets[0] : offsets[-1]], offsets - offsets[0]
         low = high
 
 

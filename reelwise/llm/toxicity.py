@@ -97,28 +97,37 @@ class Index:
         n, df = len(self.labels), np.diff(self.starts)
         common = df * COMMON > n
         owner = np.repeat(np.arange(len(df), dtype=np.int32), df)
+        weights = self.weights.astype(np.float32)
         # Examples with the same heaviest frequent term stand together, so that blocks differ in their maxima.
         listed = common[owner]
-        heavy = np.full(n, -1, np.int64)
-        by_weight = np.argsort(self.weights[listed], kind="stable")
-        heavy[self.examples[listed][by_weight]] = owner[listed][by_weight]
+        terms, examples, values = owner[listed], self.examples[listed], weights[listed]
+        heavy = np.full(n, -1, np.int32)
+        by_weight = np.argsort(values, kind="stable")
+        heavy[examples[by_weight]] = terms[by_weight]
+        del by_weight
         self._number = np.argsort(heavy, kind="stable")  # example at each place
         place = np.empty(n, np.int32)
         place[self._number] = np.arange(n, dtype=np.int32)
-        blocks = -(-n // BLOCK)
         self._column = np.full(len(df), -1, np.int32)
         self._column[common] = np.arange(int(common.sum()))
-        dense = np.zeros((int(common.sum()), blocks * BLOCK), np.float32)
-        dense[self._column[owner[listed]], place[self.examples[listed]]] = self.weights[listed]
-        dense = dense.reshape(-1, blocks, BLOCK)
-        self._maxima = dense.max(2)
-        self._blocks = np.ascontiguousarray(dense.transpose(1, 0, 2))
-        self._rare = place[self.examples[~listed]], self.weights[~listed].astype(np.float32)
+        self._blocks = np.zeros((-(-n // BLOCK), int(common.sum()), BLOCK), np.float32)
+        at = place[examples]
+        self._blocks[at // BLOCK, self._column[terms], at % BLOCK] = values
+        del terms, examples, values, at
+        self._maxima = np.ascontiguousarray(self._blocks.max(2).T)
+        self._rare = place[self.examples[~listed]], weights[~listed]
         self._rare_starts = np.concatenate([[0], np.cumsum(np.where(common, 0, df))])
-        order = np.argsort(self.examples, kind="stable")
-        self._terms, self._weights = owner[order], self.weights[order]
+        del weights, listed
+        order = np.argsort(self.examples, kind="stable").astype(np.int32)
+        self._terms, self._counts = owner[order], self.counts[order]
         self._cuts = np.concatenate([[0], np.cumsum(np.bincount(self.examples, minlength=n))])
+        self._norms = np.sqrt(np.bincount(self.examples, weights=self.raw_weights() ** 2, minlength=n))
         self._query = np.zeros(len(df))
+        # Lists by term are not read any more.
+        self.examples = self.weights = self.counts = None
+
+    def raw_weights(self) -> np.ndarray:
+        return (1 + np.log(self.counts)) * np.repeat(self.idf, np.diff(self.starts))
 
     def nearest_of(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each of the texts 0 to n - 1 with (row, term, weight) by row: the k most similar examples (ties to the
@@ -136,8 +145,7 @@ class Index:
 
     def _rough(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int) -> np.ndarray:
         """Similarities in single precision by text and place; -1 in blocks that cannot hold one of the k best."""
-        blocks = len(self._blocks)
-        column = self._column[term]
+        blocks, column = len(self._blocks), self._column[term]
         query = np.zeros((n, len(self._maxima)), np.float32)
         query[row[column >= 0], column[column >= 0]] = weight[column >= 0]
         total = np.zeros((n, blocks * BLOCK), np.float32)
@@ -176,7 +184,9 @@ class Index:
         some = self._number[np.flatnonzero((total > 0) & (total >= least))]
         at, sizes = spread(self._cuts[some], self._cuts[some + 1] - self._cuts[some])
         self._query[term] = weight
-        exact = np.bincount(np.repeat(np.arange(len(some)), sizes), weights=self._weights[at] * self._query[self._terms[at]], minlength=len(some))
+        found = self._terms[at]
+        parts = (1 + np.log(self._counts[at])) * self.idf[found] * self._query[found]
+        exact = np.bincount(np.repeat(np.arange(len(some)), sizes), weights=parts, minlength=len(some)) / self._norms[some]
         self._query[term] = 0
         best = np.lexsort((some, -np.round(exact, 9)))[:k]
         return some[best], exact[best]
@@ -306,10 +316,14 @@ def toxicity(df: DataFrame, labels: DataFrame, max_labelled: int = 12_000, doc:
     sampled = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
     index, slope, shift = learn(sampled)
 
+    place = [f.name for f in own].index(text)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = index.value
         for batch in batches:
-            for rows, data, offsets in slices(batch, "text"):
+            # The text is shipped once, inside the row.
+            row = batch.column("row")
+            for rows, data, offsets in slices(pa.RecordBatch.from_arrays([row, row.field(place)], names=["row", "text"]), "text"):
                 n = rows.num_rows
                 votes, found = np.full(n, known.unmarked), [[] for _ in range(n)]
                 for i, (best, likeness) in enumerate(known.nearest_all(data, offsets, NEIGHBOURS)):
@@ -319,7 +333,7 @@ def toxicity(df: DataFrame, labels: DataFrame, max_labelled: int = 12_000, doc:
                     found[i] = [{"doc_id": int(known.ids[b]), "toxic": int(known.labels[b]), "similarity": float(s)} for b, s in zip(best, likeness)]
                 yield pa.RecordBatch.from_arrays([rows.column("row"), pa.array(sigmoid(slope * logit(votes) + shift)), pa.array(found, EVIDENCE)], names=["row", "score", "evidence"])
 
-    base = df.select(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(quoted)], F.col(doc).alias("doc")).alias("row"), F.col(text).alias("text"))
+    base = df.select(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(quoted)], F.col(doc).alias("doc")).alias("row"))
     evidence = T.ArrayType(T.StructType().add("doc_id", T.LongType()).add("toxic", T.IntegerType()).add("similarity", T.DoubleType()))
     done = base.mapInArrow(run, T.StructType([base.schema["row"], T.StructField("score", T.DoubleType()), T.StructField("evidence", evidence)]))
     return done.select(
