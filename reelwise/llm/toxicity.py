@@ -127,7 +127,7 @@ class Index:
         self.examples = self.weights = self.counts = None
 
     def raw_weights(self) -> np.ndarray:
-        return (1 + np.log(self.counts)) * np.repeat(self.idf, np.diff(self.starts))
+        return (1 + np.log(self.counts.astype(float))) * np.repeat(self.idf, np.diff(self.starts))
 
     def nearest_of(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each of the texts 0 to n - 1 with (row, term, weight) by row: the k most similar examples (ties to the
@@ -185,7 +185,7 @@ class Index:
         at, sizes = spread(self._cuts[some], self._cuts[some + 1] - self._cuts[some])
         self._query[term] = weight
         found = self._terms[at]
-        parts = (1 + np.log(self._counts[at])) * self.idf[found] * self._query[found]
+        parts = (1 + np.log(self._counts[at].astype(float))) * self.idf[found] * self._query[found]
         exact = np.bincount(np.repeat(np.arange(len(some)), sizes), weights=parts, minlength=len(some)) / self._norms[some]
         self._query[term] = 0
         best = np.lexsort((some, -np.round(exact, 9)))[:k]

@@ -1,7 +1,9 @@
 """Held-out accuracy of the learned operators, their edge cases, and the secret scan against plain patterns."""
 
+import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -140,3 +142,76 @@ def test_random_tokens(spark):
     spans = [[(x.start, x.end) for x in r.spans if x.kind == "random"] for r in secrets(frame).orderBy("doc_id").collect()]
     assert np.mean([s == [(4, 48)] for s in spans]) > 0.75
     assert not any(a > 48 for s in spans for a, _ in s)
+
+
+def test_blocks_that_cannot_hold_a_neighbour_are_skipped():
+    draw = np.random.default_rng(4)
+    n, group = 4 * tox.BLOCK, np.repeat(np.arange(4), tox.BLOCK)
+    # four groups of examples with words of their own
+    parts = [np.unique(g * 10 + draw.integers(0, 10, 6)) for g in group]
+    rows, where = np.repeat(np.arange(n), [len(x) for x in parts]), np.concatenate(parts)
+    terms = (np.arange(40, dtype=np.uint64) + np.uint64(1)) * np.uint64(1 << 40)
+    index = tox.build(np.arange(n), group % 2, terms, rows, where, np.ones(len(rows), np.int64))
+    weights = np.zeros((n, 40))
+    weights[index.examples, np.repeat(np.arange(40), np.diff(index.starts))] = index.weights
+    row, term, weight = index.vectors(np.zeros(10, np.int64), terms[:10])
+    index.prepare()
+    rough = index._rough(row, term, weight, 1, 5).reshape(-1, tox.BLOCK)
+    assert (rough[:, 0] == -1).sum() >= 2
+    best, likeness = index.nearest(term, weight, 5)
+    wanted = weights[:, term] @ weight
+    assert best.tolist() == np.lexsort((np.arange(n), -np.round(wanted, 9)))[:5].tolist() and np.allclose(likeness, wanted[best])
+
+
+def test_whole_scores_match_brute_force(spark):
+    """Terms, cosines, votes, leave-one-out calibration and scores from their definitions."""
+    import random
+
+    from reelwise.llm.linear import fit_sigmoid, sigmoid
+
+    rng = random.Random(7)
+    vocab = ["".join(rng.choice("abcdef") for _ in range(rng.randint(2, 7))) for _ in range(80)]
+    texts = [" ".join(rng.choice(vocab[: 40 if i % 3 else 80]) for _ in range(rng.randint(0, 30))) for i in range(90)] + ["", None, "zzzz"]
+    marked = {i: int(i % 3 == 0) for i in range(70)}
+    known = sorted(i for i in marked if zlib.crc32(str(i).encode()) % 4 != 2)
+    stems = [Counter(w.encode()[: tox.STEM] for w in (t or "").split()) for t in texts]
+    df = Counter(s for i in known for s in stems[i])
+
+    def vector(counts):
+        v = {s: (1 + math.log(c)) * math.log(1 + len(known) / df[s]) for s, c in counts.items() if s in df}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {s: x / norm for s, x in v.items()}
+
+    examples = {i: vector(stems[i]) for i in known}
+    bare = [marked[i] for i in known if not examples[i]]
+    unmarked = (sum(bare) + 0.5) / (len(bare) + 5.0)
+
+    def vote(own, leave):
+        likeness = {i: sum(x * examples[i].get(s, 0) for s, x in own.items()) for i in known if i != leave}
+        best = sorted((i for i in likeness if likeness[i] > 0), key=lambda i: (-round(likeness[i], 9), i))[: tox.NEIGHBOURS]
+        total = sum(likeness[i] for i in best)
+        return (sum(likeness[i] * marked[i] for i in best) + tox.PRIOR * unmarked) / (total + tox.PRIOR) if own else unmarked
+
+    a, b = fit_sigmoid(tox.logit(np.array([vote(examples[i], i) for i in known])), np.array([marked[i] for i in known]))
+    wanted = [float(sigmoid(a * tox.logit(np.array([vote(vector(s), None)])) + b)[0]) for s in stems]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame(list(marked.items()), "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity(frame, labels).collect()}
+    assert np.allclose([got[i] for i in range(len(texts))], wanted, atol=1e-9)
+
+
+def test_clashing_names_and_repeated_rows(spark, docs, labels):
+    """Columns that carry the operators' own names, and rows given twice: every row stays and scores alike."""
+    some = docs.limit(60).selectExpr("doc_id", "text", "lang", "1 AS row", "'x' AS score", "2 AS held_out", "3 AS c0", "4 AS spans", "5 AS label", "6 AS example")
+    frame = some.unionByName(some)
+    plain = some.select("doc_id", "text", "lang")
+    for made, bare, name in (
+        (quality_scores(frame, labels), quality_scores(plain, labels), "score"),
+        (toxicity(frame, labels), toxicity(plain.unionByName(plain), labels), "score"),
+        (languages(frame), languages(plain.unionByName(plain)), "lang_pred"),
+        (secrets(frame), secrets(plain), "spans"),
+    ):
+        rows = made.collect()
+        want = {r.doc_id: r[name] for r in bare.collect()}
+        assert len(rows) == 2 * len(want) and all(r.c0 == 3 and r.label == 5 and r.row == 1 for r in rows)
+        assert all(r[name] == pytest.approx(want[r.doc_id]) if name == "score" else r[name] == want[r.doc_id] for r in rows)
