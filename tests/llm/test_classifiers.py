@@ -206,10 +206,10 @@ def test_clashing_names_and_repeated_rows(spark, docs, labels):
     frame = some.unionByName(some)
     plain = some.select("doc_id", "text", "lang")
     for made, bare, name in (
-        (quality_scores(frame, labels), quality_scores(plain, labels), "score"),
+        (quality_scores(frame, labels), quality_scores(plain.unionByName(plain), labels), "score"),
         (toxicity(frame, labels), toxicity(plain.unionByName(plain), labels), "score"),
         (languages(frame), languages(plain.unionByName(plain)), "lang_pred"),
-        (secrets(frame), secrets(plain), "spans"),
+        (secrets(frame), secrets(plain.unionByName(plain)), "spans"),
     ):
         rows = made.collect()
         want = {r.doc_id: r[name] for r in bare.collect()}
