@@ -14,8 +14,8 @@ from reelwise.session import cut_lineage
 SLICE_BYTES = 1 << 20
 
 
-def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Cut a batch into runs of whole rows of about `limit` text bytes.
+def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Cut a batch into runs of at most `most` whole rows of about `limit` text bytes.
 
     Yields (rows, bytes of all their texts, offsets of the rows in those bytes). A null text has no bytes.
     One longer text makes a run of its own.
@@ -25,7 +25,7 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
     total = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))])
     low = 0
     while low < batch.num_rows:
-        high = max(low + 1, int(np.searchsorted(total, total[low] + limit, side="right")) - 1)
+        high = min(low + most, max(low + 1, int(np.searchsorted(total, total[low] + limit, side="right")) - 1))
         rows = batch.slice(low, high - low)
         # Only the texts of one run are copied.
         column = pc.fill_null(rows.column(text).cast(pa.large_binary()), b"")

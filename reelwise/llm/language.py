@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reelwise.functions.ordering import top_n
 from reelwise.llm.batches import binary_rows, slices
 from reelwise.llm.labelled import id_remainder
 from reelwise.llm.linear import fit_hinge, fit_sigmoid, sigmoid
@@ -34,6 +35,8 @@ FAMILIES = {
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 WIDTH = 1 << 13
+SLICE_ROWS = 512  # rows whose dense features are held at once
+LEAST_QUOTA = 20
 SPACED = LOWER.copy()
 SPACED[:65] = SPACED[91:97] = SPACED[123:128] = 32  # everything but ASCII letters and non-ASCII bytes is a gap
 
@@ -130,10 +133,11 @@ def has_letter(raw: bytes) -> bool:
 def languages(df: DataFrame, max_labelled: int = 2_000, doc: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Add `held_out`, `lang_pred` and `score` (0 to 1).
 
-    Learns from the text and non-null `lang` of rows whose crc32 of the id as text, mod 5, is not 0; of those at most
-    `max_labelled` with the smallest id hashes, the only bound. Predictions depend on the text alone. A null text or one
-    without a letter is `und` with score 0, as is every text if nothing could be learned. Ids may repeat; whole texts are
-    read; columns with the added names are replaced.
+    Learns from the text and non-null `lang` of rows whose crc32 of the id as text, mod 5, is not 0. Every language gets an
+    equal share of `max_labelled` rows (20 at least), those with the smallest id hashes (ties: the smaller id), so a rare
+    language is learned however large the table is; this is the only bound. Predictions depend on the text alone. A null text or one
+    without a letter is `und` with score 0, as is every text if nothing could be learned. An empty table
+    gives an empty one. Ids may repeat; whole texts are read; columns with the added names are replaced.
     """
     spark = df.sparkSession
     added = ("held_out", "lang_pred", "score")
@@ -141,11 +145,13 @@ def languages(df: DataFrame, max_labelled: int = 2_000, doc: str = "doc_id", tex
     quoted = [F.col("`" + f.name.replace("`", "``") + "`") for f in own]
     labelled = df.select(F.col(doc).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
     labelled = labelled.filter(id_remainder(F.col("doc_id"), 5) != 0)
-    chosen = labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    ids = labelled.select("lang", "doc_id").distinct()
+    quota = max(LEAST_QUOTA, max_labelled // max(1, ids.select("lang").distinct().count()))
+    chosen = top_n(ids, ["lang"], [F.xxhash64("doc_id"), F.asc("doc_id")], quota).select("lang", "doc_id")
 
     def collect_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, offsets in slices(batch, "text", 1 << 18):
+            for rows, data, offsets in slices(batch, "text", 1 << 18, SLICE_ROWS):
                 table = features(data, offsets)
                 row, column = np.nonzero(table)
                 ends = np.searchsorted(row, np.arange(rows.num_rows), side="right")
@@ -154,7 +160,8 @@ def languages(df: DataFrame, max_labelled: int = 2_000, doc: str = "doc_id", tex
                     names=["doc_id", "lang", "columns", "values"],
                 )
 
-    sampled = labelled.join(F.broadcast(chosen), labelled["doc_id"].eqNullSafe(chosen["doc_id"]), "left_semi")
+    same = labelled["doc_id"].eqNullSafe(chosen["doc_id"]) & (labelled["lang"] == chosen["lang"])
+    sampled = labelled.join(F.broadcast(chosen), same, "left_semi")
     sampled = sampled.mapInArrow(collect_rows, "doc_id long, lang string, columns binary, values binary")
     known = sorted((r.doc_id if r.doc_id is not None else -1, r.lang, bytes(r.columns), bytes(r["values"])) for r in sampled.collect())
     rows = [(np.frombuffer(c, np.int16).astype(np.int64), np.frombuffer(v, np.float32)) for _, _, c, v in known]
@@ -162,7 +169,7 @@ def languages(df: DataFrame, max_labelled: int = 2_000, doc: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, offsets in slices(batch, "text", 1 << 18):
+            for rows, data, offsets in slices(batch, "text", 1 << 18, SLICE_ROWS):
                 n = rows.num_rows
                 raw = data.tobytes()
                 known = np.array([has_letter(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], bool)

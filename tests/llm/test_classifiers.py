@@ -215,3 +215,27 @@ def test_clashing_names_and_repeated_rows(spark, docs, labels):
         want = {r.doc_id: r[name] for r in bare.collect()}
         assert len(rows) == 2 * len(want) and all(r.c0 == 3 and r.label == 5 and r.row == 1 for r in rows)
         assert all(r[name] == pytest.approx(want[r.doc_id]) if name == "score" else r[name] == want[r.doc_id] for r in rows)
+
+
+def test_rare_language_is_learned(spark, docs):
+    """Thirty texts in a language of their own beside a common one; the whole sample is smaller than the common one."""
+    common = [(i, "the quick brown fox and the lazy dog " * 3, "en") for i in range(1500)]
+    rare = [(5000 + i, "zlkq vrtz pplm xxrt qqvz " * 4 + str(i), "xx") for i in range(30)]
+    rows = {r.doc_id: r.lang_pred for r in languages(spark.createDataFrame(common + rare, "doc_id long, text string, lang string"), max_labelled=100).collect()}
+    assert {rows[i] for i, _, _ in rare} == {"xx"} and {rows[i] for i, _, _ in common} == {"en"}
+
+
+def test_many_short_texts_stay_small():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from reelwise.llm.batches import slices
+    from reelwise.llm.language import SLICE_ROWS, features
+
+    batch = pa.RecordBatch.from_arrays([pa.array([f"some short text {i % 9}" for i in range(10_000)])], names=["text"])
+    tracemalloc.start()
+    for rows, data, offsets in slices(batch, "text", 1 << 18, SLICE_ROWS):
+        assert len(features(data, offsets)) == rows.num_rows <= SLICE_ROWS
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
