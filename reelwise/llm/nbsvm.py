@@ -94,8 +94,9 @@ def quality_scores(df: DataFrame, labels: DataFrame, max_labelled: int = 8_000,
 
     Learns from rows of `labels` (doc_id, quality) whose crc32 of the id as text, mod 5, is not 0; of those at most
     `max_labelled` with the smallest id hashes, the only bound. Scores depend on the text alone. Null and empty texts get
-    the score of a text without known n-grams; without labels of both kinds all scores equal one rate. Ids may repeat.
-    Columns with the added names are replaced.
+    the score of a text without known n-grams; without labels of both kinds all scores equal one rate. An id
+    labelled twice takes the larger label. Ids may repeat; an empty table gives an empty one. Columns with the added names
+    are replaced.
     """
     spark = df.sparkSession
     added = ("held_out", "score", "predicted")

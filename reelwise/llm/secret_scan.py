@@ -175,7 +175,8 @@ def secrets(df: DataFrame, rate: float = 0.1, text: str = "text") -> DataFrame:
     Base kinds: `assign` (a secret's name, then : or =, then a value of 12 or more characters), `access` (AKIA and more,
     18 or more characters) and `hex` (16 or more lower hex digits). `spans` adds `random`: tokens of 20 or more characters
     that pass the battery in an admitted stratum and overlap no base span. A null text counts as empty and has no span.
-    Every row stays, repeated rows too; whole texts are read; columns with the added names are replaced.
+    Every row stays, repeated rows too; spans of equal start are ordered by kind; whole texts are read; an empty table gives an
+    empty one; columns with the added names are replaced.
     """
     added = ("base", "spans")
     own = [f for f in df.schema.fields if f.name not in added]

@@ -221,7 +221,7 @@ def remove_repeats(df: DataFrame, window: int = 35, text: str = "text") -> DataF
     Adds `n_words`, `n_removed` (long) and `kept`, the remaining words joined by one blank. Words are runs
     of anything but blank, tab, line feed, vertical tab, form feed and carriage return. Windows are
     judged on the input. A null, empty or short text has no window and loses nothing; a row given twice
-    repeats itself; long texts are read whole; columns with these names are replaced.
+    repeats itself; long texts are read whole; an empty table gives an empty one; columns with these names are replaced.
     """
     added = ("n_words", "n_removed", "kept")
     own = [f for f in df.schema.fields if f.name not in added]

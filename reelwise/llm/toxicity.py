@@ -304,8 +304,9 @@ def toxicity(df: DataFrame, labels: DataFrame, max_labelled: int = 12_000, doc:
     `evidence` lists the nearest examples as (doc_id, toxic, similarity). Examples come from rows of `labels` (doc_id,
     toxic) whose crc32 of the id as text, mod 4, is not 2; of those at most `max_labelled` with the smallest id hashes,
     the only bound. Scores depend on the text alone. Null and empty texts and texts without a known term get the rate of
-    such texts; with no labels of both kinds all scores equal one rate. Ids may repeat; whole texts are read; columns
-    with the added names are replaced.
+    such texts; with no labels of both kinds all scores equal one rate. Ids may repeat; an example given twice counts twice; equal
+    similarities go to the smaller id; whole texts are read; an empty table gives an empty one; columns with the added names are
+    replaced.
     """
     added = ("held_out", "score", "predicted", "evidence")
     own = [f for f in df.schema.fields if f.name not in added]

@@ -45,5 +45,18 @@ def test_stages(spark):
 
 def test_empty(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0)
-    for _, stage in pipeline.STAGES[:-1]:
+    for _, stage in pipeline.STAGES:
         assert stage(spark, docs, FOLDER).count() == 0
+
+
+def test_nulls_repeated_ids_and_other_columns(spark):
+    plain = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, plain), (1, plain), (2, plain + " end"), (3, None), (3, None), (4, ""), (None, "some words of a row without an id"), (5, "one two")]
+    frame = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), "x", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, kept string, score int")
+    seen = {}
+    for name, stage in pipeline.STAGES:
+        frame = spark.createDataFrame(stage(spark, frame, FOLDER).collect(), stage(spark, frame, FOLDER).schema)
+        seen[name] = sorted((r.doc_id if r.doc_id is not None else -1) for r in frame.collect())
+    assert seen["toxicity"] == seen["line_dedup"] == [-1, 1, 1, 2, 3, 3, 4, 5]
+    assert seen["near_duplicates"] == seen["sentencepiece"] == [-1, 1, 1, 3, 3, 4, 5]
+    assert {r.doc_id: r.n_tokens for r in frame.collect()}[3] == 0
