@@ -1,6 +1,10 @@
 """A cleaning run over `documents`: toxicity, line dedup, near-duplicates, decontamination, tokenization.
 
-Every stage is written and read again before the next one, so a lost executor costs one stage at most.
+Every stage is written and read again before the next one, so a lost executor costs one stage at most. Stages read the columns
+of `documents` only; others are dropped, so no name can clash. An empty table stays empty. A null or empty text has no
+words, lines or tokens: it shares the toxicity rate of such texts, is no copy and holds no benchmark window, and stays unless
+that rate rejects it. Rows given twice are judged alike; rows of one id cannot be told apart by id, so all of them stay or go
+together. Ties among copies go to the smallest id.
 """
 
 from __future__ import annotations
