@@ -19,9 +19,11 @@ from reelwise.operators.ranked import (
     unseen_gaps,
     unset_ranks,
 )
+from reelwise.operators.tiles import linked_topk
 from reelwise.session import cut_lineage
 
 POSITION_DECAY = 0.9  # fixed value: weight of each older history position
+LINK_ROWS = 8
 
 
 def popular_scores(
@@ -137,20 +139,13 @@ def itemcf_recommend(
     fade = F.pow(F.lit(POSITION_DECAY), F.col("pos")) if decay else F.lit(1.0)
     # Collapse repeats first: one weight per (user, history item) before meeting the neighbours.
     pull = tail.groupBy("user_id", "item_id").agg(F.sum(fade * F.col("weight")).alias("_pull"))
-    # An item's neighbours travel as one array (at most `neighbors` entries), so a user's tail is shuffled as
-    # short rows and only blows up where it is summed.
-    near = similarity.groupBy("item_id").agg(F.collect_list(F.struct("other_id", "sim")).alias("_near"))
-    scored = (
-        pull.join(near, "item_id")
-        .select("user_id", "_pull", "_near")
-        .repartition("user_id")
-        .select("user_id", "_pull", F.explode("_near").alias("_n"))
-        .select("user_id", F.col("_n.other_id").alias("item_id"), (F.col("_pull") * F.col("_n.sim")).alias("_part"))
-        .groupBy("user_id", "item_id")
-        .agg(F.sum("_part").alias("score"))
-    )
-    unseen = only_allowed(scored, allowed).join(seen, ["user_id", "item_id"], "left_anti")
-    best = top_n(unseen, ["user_id"], [F.desc(steady("score")), F.asc("item_id")], k)
+    # Tails stay with their block of users while the neighbour lists, turned round to the item they lead to, stream past.
+    # A list of a much-linked item is spread over several rows.
+    tails = pull.groupBy("user_id").agg(F.collect_list("item_id").alias("terms"), F.collect_list("_pull").alias("weights"))
+    led_to = only_allowed(similarity.select(F.col("other_id").alias("item_id"), F.col("item_id").alias("_from"), "sim"), allowed)
+    spread = F.pmod(F.xxhash64("_from"), F.lit(LINK_ROWS))
+    links = cut_lineage(led_to.groupBy("item_id", spread.alias("_part")).agg(F.collect_list("_from").alias("terms"), F.collect_list("sim").alias("weights")))
+    best = linked_topk(tails, links.drop("_part"), seen, k)
     # The list, its length and its items are needed apart; score once.
     best = cut_lineage(best)
 

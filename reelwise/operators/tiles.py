@@ -25,7 +25,8 @@ ITEM_BLOCK = 4096
 DIGITS = 9
 USER, SEEN, ITEM = 0, 1, 2
 
-Score = Callable[[pa.Table, pa.Table], np.ndarray]
+Score = Callable[[pa.Table, pa.Table], tuple[np.ndarray, np.ndarray]]  # (item ids ascending, scores rows x items)
+PAIRS = 1 << 21  # products that a sparse join expands at once
 DATA = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType())])
 
 
@@ -134,8 +135,7 @@ def streamed(
             if people is None or not (kinds == ITEM).any():
                 continue  # no user, or no item, in this block
             catalog = table.filter(pa.array(kinds == ITEM)).combine_chunks()
-            item_ids = catalog.column("_a").to_numpy()
-            scores = score(people, catalog)
+            item_ids, scores = score(people, catalog)
             if k is None:
                 row, at = np.nonzero(scores > 0)
                 yield result(ids, row, item_ids[at], scores[row, at])
@@ -144,8 +144,9 @@ def streamed(
             if met.any():
                 who, what = (table.column(c).to_numpy(zero_copy_only=False)[met].astype(np.int64) for c in ("_a", "_b"))
                 row = np.minimum(np.searchsorted(ids, who), len(ids) - 1)
-                ours = ids[row] == who
-                scores[row[ours], np.searchsorted(item_ids, what[ours])] = -np.inf
+                at = np.minimum(np.searchsorted(item_ids, what), len(item_ids) - 1)
+                both = (ids[row] == who) & (item_ids[at] == what)
+                scores[row[both], at[both]] = -np.inf
             best.add(item_ids, scores)
         if best is not None:
             yield result(ids, best.row, best.item, best.score)
@@ -153,30 +154,58 @@ def streamed(
     return sorted_parts.mapInArrow(run, DATA)
 
 
-def dense_scores(people: pa.Table, catalog: pa.Table) -> np.ndarray:
+def dense_scores(people: pa.Table, catalog: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     def matrix(table: pa.Table) -> np.ndarray:
         column = table.column("vector").combine_chunks()
         return column.flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
 
-    return matrix(people) @ matrix(catalog).T
+    return catalog.column("_a").to_numpy(), matrix(people) @ matrix(catalog).T
 
 
-def sparse_scores(people: pa.Table, catalog: pa.Table) -> np.ndarray:
-    """Dot products of (terms, weights), in the space of the terms the item block uses."""
+def entries(table: pa.Table) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(row, term, weight) of the `terms` and `weights` arrays."""
+    terms, weights = (table.column(c).combine_chunks() for c in ("terms", "weights"))
+    return np.repeat(np.arange(table.num_rows), pc.list_value_length(terms).to_numpy()), terms.flatten(), weights.flatten().to_numpy()
 
-    def flat(table: pa.Table) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-        terms, weights = (table.column(c).combine_chunks() for c in ("terms", "weights"))
-        return np.repeat(np.arange(table.num_rows), pc.list_value_length(terms).to_numpy()), terms.flatten(), weights.flatten().to_numpy()
 
-    rows, terms, weights = flat(catalog)
+def sparse_scores(people: pa.Table, catalog: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Dot products of (terms, weights), in the space of the terms the item block uses."""
+    rows, terms, weights = entries(catalog)
     space = terms.unique()
     right = np.zeros((catalog.num_rows, len(space)))
     right[rows, pc.index_in(terms, value_set=space).to_numpy()] = weights
-    rows, terms, weights = flat(people)
+    rows, terms, weights = entries(people)
     at = pc.fill_null(pc.index_in(terms, value_set=space), -1).to_numpy()
     left = np.zeros((people.num_rows, len(space)))
     left[rows[at >= 0], at[at >= 0]] = weights[at >= 0]
-    return left @ right.T
+    return catalog.column("_a").to_numpy(), left @ right.T
+
+
+def linked_scores(people: pa.Table, catalog: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Dot products of (terms, weights) whose terms are whole numbers and whose products are few: a join on the term.
+
+    An item's terms may be spread over several rows. Pairs without a shared term do not count.
+    """
+    ids, column = np.unique(catalog.column("_a").to_numpy(), return_inverse=True)
+    rows, terms, weights = entries(catalog)
+    terms = terms.to_numpy()
+    order = np.argsort(terms, kind="stable")
+    terms, column, weights = terms[order], column[rows][order], weights[order]
+    who, wanted, pull = entries(people)
+    wanted = wanted.to_numpy()
+    low = np.searchsorted(terms, wanted)
+    sizes = np.searchsorted(terms, wanted, side="right") - low
+    total = np.zeros(people.num_rows * len(ids))
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    first = 0
+    while first < len(sizes):
+        last = max(first + 1, int(np.searchsorted(upto, upto[first] + PAIRS, side="right")) - 1)
+        n = sizes[first:last]
+        at = np.repeat(low[first:last] - (upto[first:last] - upto[first]), n) + np.arange(int(n.sum()))
+        cell = np.repeat(who[first:last], n) * len(ids) + column[at]
+        total += np.bincount(cell, weights=np.repeat(pull[first:last], n) * weights[at], minlength=len(total))
+        first = last
+    return ids, np.where(total > 0, total, -np.inf).reshape(people.num_rows, len(ids))
 
 
 def dense_topk(
@@ -199,3 +228,12 @@ def dense_topk(
 def sparse_products(users: DataFrame, items: DataFrame, user_block: int = 512, item_block: int = 1024) -> DataFrame:
     """(user_id, item_id, score): every positive dot product of (terms, weights) arrays."""
     return streamed(users, items, None, None, sparse_scores, user_block, item_block)
+
+
+def linked_topk(users: DataFrame, items: DataFrame, seen: DataFrame, k: int, user_block: int = 1024, item_block: int = ITEM_BLOCK) -> DataFrame:
+    """(user_id, item_id, score, rank): best `k` unseen items by the dot product of (terms, weights) with long terms.
+
+    Items may come in several rows. Only pairs with a shared term and a positive score count.
+    """
+    found = streamed(users, items, seen, k, linked_scores, user_block, item_block)
+    return top_n(found, ["user_id"], [F.desc(steady("score", DIGITS)), F.asc("item_id")], k)
