@@ -458,7 +458,9 @@ def paired_bootstrap(
     """Mean of b - a over shared users and the 95 % interval of `samples` resampled means.
 
     Each user gets a Poisson(1) weight per replicate, drawn where the row is and summed before the shuffle. Without
-    `poisson` users are drawn by position with replacement; that shuffles one row per user and replicate.
+    `poisson` users are drawn by position with replacement; that shuffles one row per user and replicate, to where the
+    drawn user is. The plan's size estimate does not see that every user is repeated `samples` times, so the join names
+    its strategy; else the draws could be broadcast.
     """
     mean = lambda df, name: df.groupBy("user_id").agg(F.avg(metric).alias(name))
     paired = mean(a, "_a").join(mean(b, "_b"), "user_id").select(
@@ -476,14 +478,9 @@ def paired_bootstrap(
         drawn = (
             users.select(F.col("pos").alias("slot"), n.alias("_n"), replicate)
             .withColumn("pos", F.pmod(hash32(seed, "b", "slot"), F.col("_n")))
-            .groupBy("b", "pos")
-            .agg(F.count("*").alias("times"))
-        )
-        means = (
-            drawn.join(users, "pos")
-            .groupBy("b")
-            .agg((F.sum(F.col("times") * F.col("diff")) / F.sum("times")).alias("m"))
+            .select("b", "pos")
         )
+        means = drawn.join(users.hint("shuffle_hash"), "pos").groupBy("b").agg(F.avg("diff").alias("m"))
     bounds = means.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     return paired.agg(
         F.count("*").alias("paired_users"), F.avg("diff").alias("mean_difference")
