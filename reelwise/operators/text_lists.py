@@ -34,6 +34,7 @@ class TextLists:
     k: int
     bonus: float
     block: int | None = None
+    products: DataFrame | None = None  # (user_id, text_id, score), where the texts are few
 
     def __post_init__(self):
         known, cold = list_quotas(self.k)
@@ -43,8 +44,8 @@ class TextLists:
         met = self.seen.join(self.users, "user_id", "left_semi").join(self.entries.select("item_id", *LIST), "item_id")
         self.met = cut_lineage(met.groupBy("user_id", *LIST).agg(F.count("*").alias("met")))
 
-    def exact(self) -> DataFrame:
-        """What `scored` gives for all lists that share a term, where the texts are few.
+    def near(self) -> DataFrame:
+        """(user_id, text_id, score): every profile's products with the texts that share a term, where the texts are few.
 
         Matrix products give the texts' products with each other, then every profile's products: a profile is a sum of
         texts with its shares.
@@ -58,9 +59,18 @@ class TextLists:
         alike = sparse_products(past.select(F.col("item_id").alias("user_id"), "terms", "weights"), ours)
         profiles = pack(self.shares.join(texts.select("text_id", F.col("item_id").cast("string").alias("term")), "text_id"), "user_id", "term", "share")
         sums = sparse_products(profiles, pack(alike, "item_id", F.col("user_id").cast("string"), "score"))
-        rows = sums.join(texts.select("item_id", "text_id"), "item_id").join(self.lists, "text_id").join(self.met, ["user_id", *LIST], "left")
+        return sums.join(texts.select("item_id", "text_id"), "item_id").select("user_id", "text_id", "score")
+
+    def exact(self) -> DataFrame:
+        """What `scored` gives for all lists that share a term, where the texts are few."""
+        rows = self.near().join(self.lists, "text_id").join(self.met, ["user_id", *LIST], "left")
         return rows.select("user_id", *LIST, "size", F.coalesce("met", F.lit(0)).alias("met"), "score")
 
+    def make_text_blocks(self) -> None:
+        """Every text is a block of its own, whose products with the profiles are known."""
+        self.products = cut_lineage(self.near())
+        self.lists = cut_lineage(self.lists.withColumn("block", F.xxhash64("text_id")))
+
     def make_blocks(self, texts: int) -> None:
         """Number the lists' blocks, list per block and term the weights and the largest one, and sum the profiles (user_id, term, p)."""
         per_block = self.block or max(1, -(-texts // BLOCKS))
@@ -80,9 +90,17 @@ class TextLists:
 
     def bounds(self) -> DataFrame:
         """(user_id, kind, block, bound, left): blocks that can score above 0, and their number of unseen items."""
-        text = self.profiles.join(self.postings.select(*KIND, "block", "term", "top"), "term")
-        bound = text.select("user_id", *KIND, "block", (F.col("p") * F.col("top")).alias("part"))
-        if self.bonus:
+        if self.products is not None:
+            places = self.lists.select(*KIND, "block", "text_id").distinct()
+            bound = self.products.join(places, "text_id").select("user_id", *KIND, "block", F.col("score").alias("part"))
+            if self.bonus:
+                # Any block may hold a liked category; which ones do is asked of the blocks that matter only.
+                liked = self.tastes.select("user_id").distinct().crossJoin(places.select(*KIND, "block").distinct())
+                bound = bound.unionByName(liked.withColumn("part", F.lit(float(self.bonus))))
+        else:
+            text = self.profiles.join(self.postings.select(*KIND, "block", "term", "top"), "term")
+            bound = text.select("user_id", *KIND, "block", (F.col("p") * F.col("top")).alias("part"))
+        if self.bonus and self.products is None:
             liked = self.lists.select(*KIND, "block", "category").distinct().join(self.tastes, "category")
             bound = bound.unionByName(liked.select("user_id", *KIND, "block", F.lit(float(self.bonus)).alias("part")).distinct())
         keys = ["user_id", *KIND, "block"]
@@ -100,14 +118,18 @@ class TextLists:
         """(user_id, list, size, met, score) of every list in the given (user_id, kind, block)."""
         keys = ["user_id", *KIND, "block"]
         pairs = pairs.select(*keys)
-        shared = (
-            self.profiles.join(self.postings.select(*KIND, "block", "term", "near"), "term")
-            .join(pairs, keys)
-            .select("user_id", *KIND, "p", F.inline("near"))
-            .groupBy("user_id", *KIND, "text_id")
-            .agg(F.sum(F.col("p") * F.col("weight")).alias("score"))
-        )
-        rows = pairs.join(self.lists, [*KIND, "block"]).join(shared, ["user_id", *KIND, "text_id"], "left")
+        rows = pairs.join(self.lists, [*KIND, "block"])
+        if self.products is not None:
+            rows = rows.join(self.products, ["user_id", "text_id"], "left")
+        else:
+            shared = (
+                self.profiles.join(self.postings.select(*KIND, "block", "term", "near"), "term")
+                .join(pairs, keys)
+                .select("user_id", *KIND, "p", F.inline("near"))
+                .groupBy("user_id", *KIND, "text_id")
+                .agg(F.sum(F.col("p") * F.col("weight")).alias("score"))
+            )
+            rows = rows.join(shared, ["user_id", *KIND, "text_id"], "left")
         score = F.coalesce("score", F.lit(0.0))
         if self.bonus:
             rows = rows.join(self.tastes.withColumn("_liked", F.lit(float(self.bonus))), ["user_id", "category"], "left")
@@ -121,9 +143,13 @@ class TextLists:
         person = ["user_id", *KIND]
         by_bound = W.partitionBy(*person).orderBy(F.desc("bound"), F.asc("block")).rowsBetween(W.unboundedPreceding, -1)
         texts = self.weights.select("text_id").distinct().count()
-        if texts <= BLOCKS and not self.bonus and self.block is None:
+        few = texts <= BLOCKS and self.block is None
+        if few and not self.bonus:
             return self.taken(cut_lineage(self.exact().withColumn("s", steady("score"))))
-        self.make_blocks(texts)
+        if few:
+            self.make_text_blocks()
+        else:
+            self.make_blocks(texts)
         plan = cut_lineage(self.bounds().withColumn("first", F.coalesce(F.sum("left").over(by_bound), F.lit(0)) < self.quota))
         early = cut_lineage(self.scored(plan.filter("first")))
         by_score = W.partitionBy(*person).orderBy(F.desc("s")).rangeBetween(W.unboundedPreceding, 0)
