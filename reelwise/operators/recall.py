@@ -23,7 +23,7 @@ from reelwise.operators.tiles import linked_topk
 from reelwise.session import cut_lineage
 
 POSITION_DECAY = 0.9  # fixed value: weight of each older history position
-LINK_ROWS = 8
+MUCH_HELD = 100_000  # tails holding an item that one task takes; an item in more is summed in parts first
 
 
 def popular_scores(
@@ -90,38 +90,44 @@ def itemcf_similarity(history: DataFrame, neighbors: int = 200, iuf: bool = True
     """Top neighbours (item_id, other_id, sim, rn) from co-occurrence in user tails.
 
     A user's tail has at most `history_length` distinct items, the operator's own parameter, so the
-    pairs per user are bounded. Each unordered pair is emitted once inside the user's row, summed map
-    side, and mirrored after the sums.
+    pairs per user are bounded. Counts join the tails, not the pairs, and a tail goes as a whole, with its two arrays, to
+    each of its items: pairs arise where they are summed and ranked, and are never shuffled. An item in more
+    than MUCH_HELD tails is summed in parts, whose sums per pair meet in a second round.
     """
+    counts = cf_counts(history)
     tails = (
         history.groupBy("user_id", "item_id")
         .agg(F.max("weight").alias("weight"))
+        .join(counts, "item_id", "left")
         .groupBy("user_id")
-        .agg(F.collect_list(F.struct("item_id", "weight")).alias("items"))
+        .agg(F.collect_list(F.struct("item_id", "weight", "cnt")).alias("items"))
     )
     user_weight = 1 / F.log1p(F.size("items") + 1) if iuf else F.lit(1.0)
-    pairs = (
-        tails.withColumns({"_u": user_weight, "a": F.explode("items")})
-        .withColumn("b", F.explode(F.filter("items", lambda other: other["item_id"] > F.col("a.item_id"))))
-        .groupBy(F.col("a.item_id").alias("item_id"), F.col("b.item_id").alias("other_id"))
-        .agg(F.sum(F.col("_u") * F.sqrt(F.col("a.weight") * F.col("b.weight"))).alias("co"))
-    )
-    counts = cf_counts(history)
-    scored = (
-        pairs.join(counts.withColumnRenamed("cnt", "_ci"), "item_id")
-        .join(counts.select(F.col("item_id").alias("other_id"), F.col("cnt").alias("_cj")), "other_id")
-        .withColumn("sim", F.col("co") / F.sqrt(F.col("_ci") * F.col("_cj")))
-    )
-    both = scored.select(
-        F.explode(
-            F.array(
-                F.struct(F.col("item_id").alias("i"), F.col("other_id").alias("j")),
-                F.struct(F.col("other_id").alias("i"), F.col("item_id").alias("j")),
-            )
-        ).alias("e"),
-        "sim",
-    ).select(F.col("e.i").alias("item_id"), F.col("e.j").alias("other_id"), "sim")
-    return top_n(both, ["item_id"], [F.desc(steady("sim")), F.asc("other_id")], neighbors, "rn")
+    share = F.transform("items", lambda x: F.sqrt(x["weight"] / x["cnt"]))
+    sent = tails.select(
+        user_weight.alias("_u"),
+        F.pmod(F.xxhash64("user_id"), F.lit(1 << 30)).alias("_hash"),
+        F.transform("items", lambda x: x["item_id"]).alias("ids"),
+        share.alias("shares"),
+        F.explode("items").alias("a"),
+    ).select(
+        F.col("a.item_id").alias("item_id"),
+        F.ceil(F.col("a.cnt") / F.lit(MUCH_HELD)).alias("_parts"),
+        "_hash",
+        (F.col("_u") * F.sqrt(F.col("a.weight") / F.col("a.cnt"))).alias("_pull"),
+        "ids",
+        "shares",
+    ).filter("item_id IS NOT NULL")
+
+    def sums(part: DataFrame, keys: list[str]) -> DataFrame:
+        pairs = part.select(*keys, "_pull", "shares", F.posexplode("ids").alias("_at", "other_id")).filter("other_id <> item_id")
+        return pairs.groupBy(*keys, "other_id").agg(F.sum(F.col("_pull") * F.col("shares")[F.col("_at")]).alias("sim"))
+
+    nearest = lambda df: top_n(df, ["item_id"], [F.desc(steady("sim")), F.asc("other_id")], neighbors, "rn")
+    few = sent.filter("_parts = 1").select("item_id", "_pull", "ids", "shares").repartition("item_id")
+    many = sent.filter("_parts > 1").withColumn("_part", F.pmod(F.col("_hash"), F.col("_parts"))).repartition("item_id", "_part")
+    rest = sums(many, ["item_id", "_part"]).groupBy("item_id", "other_id").agg(F.sum("sim").alias("sim"))
+    return nearest(sums(few, ["item_id"])).unionByName(nearest(rest))
 
 
 def itemcf_recommend(
@@ -139,13 +145,11 @@ def itemcf_recommend(
     fade = F.pow(F.lit(POSITION_DECAY), F.col("pos")) if decay else F.lit(1.0)
     # Collapse repeats first: one weight per (user, history item) before meeting the neighbours.
     pull = tail.groupBy("user_id", "item_id").agg(F.sum(fade * F.col("weight")).alias("_pull"))
-    # Tails stay with their block of users while the neighbour lists, turned round to the item they lead to, stream past.
-    # A list of a much-linked item is spread over several rows.
-    tails = pull.groupBy("user_id").agg(F.collect_list("item_id").alias("terms"), F.collect_list("_pull").alias("weights"))
+    # Every block of users gets its tails and, once each, the neighbour lists of the items in them.
+    tails = pull.filter("item_id IS NOT NULL").groupBy("user_id").agg(F.collect_list("item_id").alias("terms"), F.collect_list("_pull").alias("weights"))
     led_to = only_allowed(similarity.select(F.col("other_id").alias("item_id"), F.col("item_id").alias("_from"), "sim"), allowed)
-    spread = F.pmod(F.xxhash64("_from"), F.lit(LINK_ROWS))
-    links = cut_lineage(led_to.groupBy("item_id", spread.alias("_part")).agg(F.collect_list("_from").alias("terms"), F.collect_list("sim").alias("weights")))
-    best = linked_topk(tails, links.drop("_part"), seen, k)
+    lists = led_to.groupBy("_from").agg(F.collect_list("item_id").alias("terms"), F.collect_list("sim").alias("weights")).withColumnRenamed("_from", "item_id")
+    best = linked_topk(tails, lists, seen, k)
     # The list, its length and its items are needed apart; score once.
     best = cut_lineage(best)
 

@@ -26,17 +26,17 @@ DIGITS = 9
 USER, SEEN, ITEM = 0, 1, 2
 
 Score = Callable[[pa.Table, pa.Table], tuple[np.ndarray, np.ndarray]]  # (item ids ascending, scores rows x items)
-PAIRS = 1 << 21  # products that a sparse join expands at once
+PAIRS = 1 << 20  # products that a sparse join expands at once
 DATA = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType())])
 
 
-def block_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, int], pa.Table]]:
-    """((user block, chunk, item block), rows) of batches sorted by these columns."""
+def block_runs(batches: Iterator[pa.RecordBatch], by: tuple[str, ...] = ("_ub", "_ic", "_ib")) -> Iterator[tuple[tuple[int, ...], pa.Table]]:
+    """(values of `by`, rows) of batches sorted by these columns."""
     held, key = [], None
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = [batch.column(c).to_numpy() for c in ("_ub", "_ic", "_ib")]
+        columns = [batch.column(c).to_numpy() for c in by]
         cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
         edges = [0, *cuts.tolist(), batch.num_rows]
         for low, high in zip(edges, edges[1:]):
@@ -181,31 +181,83 @@ def sparse_scores(people: pa.Table, catalog: pa.Table) -> tuple[np.ndarray, np.n
     return catalog.column("_a").to_numpy(), left @ right.T
 
 
-def linked_scores(people: pa.Table, catalog: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Dot products of (terms, weights) whose terms are whole numbers and whose products are few: a join on the term.
+def linked_topk(users: DataFrame, lists: DataFrame, seen: DataFrame, k: int, user_block: int = 1024) -> DataFrame:
+    """(user_id, item_id, score, rank): best `k` unseen items by summed weight over the users' lists, ties by item.
 
-    An item's terms may be spread over several rows. Pairs without a shared term do not count.
+    `users` (user_id, terms, weights) names lists by id with a factor each; `lists` (item_id, terms, weights) holds item ids
+    and their weights, one row per list. A block of users gets each list it names once, so what is shuffled grows with
+    the tails, and a list that many users name is sent once per block. Only positive sums count. Whole users stay in one
+    task: ranks need no further shuffle.
     """
-    ids, column = np.unique(catalog.column("_a").to_numpy(), return_inverse=True)
-    rows, terms, weights = entries(catalog)
-    terms = terms.to_numpy()
-    order = np.argsort(terms, kind="stable")
-    terms, column, weights = terms[order], column[rows][order], weights[order]
-    who, wanted, pull = entries(people)
+    partitions = int(users.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = F.coalesce(users.agg(F.ceil(F.count("*") / F.lit(user_block))).scalar(), F.lit(1))
+    named = users.withColumn("_ub", F.pmod(F.xxhash64("user_id"), F.greatest(size, F.lit(partitions))).cast("int"))
+    wanted = named.select("_ub", F.explode("terms").alias("item_id")).distinct()
+    none = F.lit(None).cast("array<double>")
+
+    def part(df: DataFrame, kind: int, key: str, weights: Column) -> DataFrame:
+        return df.select("_ub", F.lit(kind).alias("_kind"), F.col(key).cast("long").alias("_a"), F.col("terms").cast("array<long>").alias("terms"), weights.cast("array<double>").alias("weights"))
+
+    met = seen.groupBy("user_id").agg(F.collect_set("item_id").alias("terms")).join(named.select("user_id", "_ub"), "user_id")
+    parts = part(named, USER, "user_id", F.col("weights")).unionByName(part(met, SEEN, "user_id", none))
+    parts = parts.unionByName(part(wanted.join(lists, "item_id"), ITEM, "item_id", F.col("weights")))
+    sorted_parts = parts.repartition("_ub").sortWithinPartitions("_ub", "_kind", "_a")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, table in block_runs(batches, ("_ub",)):
+            kinds = table.column("_kind").to_numpy()
+            cuts = np.searchsorted(kinds, [USER, SEEN, ITEM, ITEM + 1])
+            people, past, links = (table.slice(low, high - low) for low, high in zip(cuts, cuts[1:]))
+            if people.num_rows and links.num_rows:
+                yield from linked_best(people, past, links, k)
+
+    return sorted_parts.mapInArrow(run, T.StructType([*DATA.fields, T.StructField("rank", T.IntegerType())]))
+
+
+def linked_best(people: pa.Table, past: pa.Table, links: pa.Table, k: int) -> Iterator[pa.RecordBatch]:
+    """The ranked best items of one block of users; at most PAIRS products, or one user's, at a time."""
+    ids, sources = people.column("_a").to_numpy(), links.column("_a").to_numpy()
+    terms, weights = (links.column(c).combine_chunks() for c in ("terms", "weights"))
+    sizes = pc.list_value_length(terms).to_numpy().astype(np.int64)
+    starts = np.cumsum(sizes) - sizes
+    items, code = np.unique(terms.flatten().to_numpy(), return_inverse=True)
+    weights = weights.flatten().to_numpy()
+    met = past.column("terms").combine_chunks()
+    who = np.searchsorted(ids, np.repeat(past.column("_a").to_numpy(), pc.list_value_length(met).to_numpy()))
+    what = met.flatten().to_numpy()
+    at = np.minimum(np.searchsorted(items, what), len(items) - 1)
+    seen = np.unique((who * len(items) + at)[items[at] == what])
+    row, wanted, pull = entries(people)
     wanted = wanted.to_numpy()
-    low = np.searchsorted(terms, wanted)
-    sizes = np.searchsorted(terms, wanted, side="right") - low
-    total = np.zeros(people.num_rows * len(ids))
-    upto = np.concatenate([[0], np.cumsum(sizes)])
+    at = np.minimum(np.searchsorted(sources, wanted), len(sources) - 1)
+    hit = sources[at] == wanted
+    row, pull, at = row[hit], pull[hit], at[hit]
+    edges = np.searchsorted(row, np.arange(len(ids) + 1))
+    upto = np.append(0, np.cumsum(sizes[at]))[edges]  # products of the users before
     first = 0
-    while first < len(sizes):
+    while first < len(ids):
         last = max(first + 1, int(np.searchsorted(upto, upto[first] + PAIRS, side="right")) - 1)
-        n = sizes[first:last]
-        at = np.repeat(low[first:last] - (upto[first:last] - upto[first]), n) + np.arange(int(n.sum()))
-        cell = np.repeat(who[first:last], n) * len(ids) + column[at]
-        total += np.bincount(cell, weights=np.repeat(pull[first:last], n) * weights[at], minlength=len(total))
+        own = slice(edges[first], edges[last])
+        n = sizes[at[own]]
+        where = np.repeat(starts[at[own]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        key = np.repeat(row[own], n) * len(items) + code[where]
+        order = np.argsort(key, kind="stable")
+        key, value = key[order], (np.repeat(pull[own], n) * weights[where])[order]
+        heads = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else order
+        key, score = key[heads], np.add.reduceat(value, heads) if len(key) else value
+        keep = score > 0
+        if len(seen):
+            keep &= seen[np.minimum(np.searchsorted(seen, key), len(seen) - 1)] != key
+        key, score = key[keep], score[keep]
+        user = key // len(items)
+        order = np.lexsort((key, -np.round(score, DIGITS), user))
+        place = np.arange(len(order)) - np.searchsorted(user, user)
+        best = order[place < k]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids[user[best]]), pa.array(items[key[best] % len(items)]), pa.array(score[best]), pa.array((place[place < k] + 1).astype(np.int32))],
+            names=["user_id", "item_id", "score", "rank"],
+        )
         first = last
-    return ids, np.where(total > 0, total, -np.inf).reshape(people.num_rows, len(ids))
 
 
 def dense_topk(
@@ -228,12 +280,3 @@ def dense_topk(
 def sparse_products(users: DataFrame, items: DataFrame, user_block: int = 512, item_block: int = 1024) -> DataFrame:
     """(user_id, item_id, score): every positive dot product of (terms, weights) arrays."""
     return streamed(users, items, None, None, sparse_scores, user_block, item_block)
-
-
-def linked_topk(users: DataFrame, items: DataFrame, seen: DataFrame, k: int, user_block: int = 1024, item_block: int = ITEM_BLOCK) -> DataFrame:
-    """(user_id, item_id, score, rank): best `k` unseen items by the dot product of (terms, weights) with long terms.
-
-    Items may come in several rows. Only pairs with a shared term and a positive score count.
-    """
-    found = streamed(users, items, seen, k, linked_scores, user_block, item_block)
-    return top_n(found, ["user_id"], [F.desc(steady("score", DIGITS)), F.asc("item_id")], k)
