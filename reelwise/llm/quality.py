@@ -67,7 +67,7 @@ PAIR = f"CAST(pmod(xxhash64(x, get(_hash, i + 1)), {BUCKETS}) AS INT)"  # and of
 
 def weights(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """One row with the log ratio of every bucket; counts cover every document."""
-    flagged = docs.join(F.broadcast(trusted.select(F.col("doc_id").alias("_id"), F.lit(1).alias("_t"))), docs["_doc"] == F.col("_id"), "left")
+    flagged = docs.join(trusted.select(F.col("doc_id").alias("_id"), F.lit(1).alias("_t")), docs["_doc"] == F.col("_id"), "left")
     pairs = f"slice(transform(_hash, (x, i) -> {PAIR}), 1, greatest(size(_hash) - 1, 0))"
     grams = F.expr(f"concat(transform(_hash, x -> {WORD}), transform(_words, w -> {ENDING}), {pairs})")
     counts = with_words(flagged).select(F.explode(grams).alias("bucket"), "_t").groupBy("bucket").agg(F.count("*").alias("raw"), F.count("_t").alias("good"))
@@ -106,12 +106,12 @@ def threshold(labelled: DataFrame) -> DataFrame:
     return settle(rates.filter("gain IS NOT NULL").agg((F.min_by("bin", F.struct(-F.col("gain"), F.col("bin"))) / BIN).alias("least")))
 
 
-def quality_rules(df: DataFrame, labels: DataFrame, max_labelled: int = 20_000, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def quality_rules(df: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Add the base counts, `base_failed`, `score`, `held_out` and `kept`.
 
-    Labels are read from rows of `labels` (doc_id, quality) whose crc32 of the id as text, mod 5, is not 0, and of those
-    at most `max_labelled`, chosen by a hash of the id; this bounds the trusted sample (remainders 1 to 3) and the
-    threshold's sample (remainder 4), which are broadcast. Everything else covers all documents. A document fails the base rules if it has fewer than 20 words
+    Labels are read from all rows of `labels` (doc_id, quality) whose crc32 of the id as text, mod 5, is not 0: remainders
+    1 to 3 make the trusted multinomial, remainder 4 the threshold. Sizes decide how they meet the documents. Everything
+    else covers all documents. A document fails the base rules if it has fewer than 20 words
     or if over 30 % of its words lie in repeated 8-word windows. A null text has no words. Ids may repeat; every row
     stays. Without labels of both kinds every document that meets the base rules is kept. Scores that tie with the threshold
     pass; an empty table gives an empty one; columns with the added names are replaced.
@@ -120,17 +120,16 @@ def quality_rules(df: DataFrame, labels: DataFrame, max_labelled: int = 20_000,
     own = [f.name for f in df.schema.fields if f.name not in added]
     quoted = [F.col("`" + name.replace("`", "``") + "`") for name in own]
     docs = df.select(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(quoted)]).alias("_row"), F.col(doc).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    sample = settle(
+    known = settle(
         labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL")
         .groupBy("doc_id").agg(F.max("quality").alias("quality"))
         .filter(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0)
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     )
     # The threshold comes from rows that the trusted multinomial has not seen.
     share = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))
-    table = weights(docs, sample.filter((F.col("quality") == 1) & (share < 4)))
-    known = docs.join(F.broadcast(sample.filter(share == 4).select(F.col("doc_id").alias("_id"), "quality")), F.col("_doc") == F.col("_id"))
-    least = threshold(scored(with_words(known), table).select("score", "quality"))
+    table = weights(docs, known.filter((F.col("quality") == 1) & (share < 4)))
+    judged = docs.join(known.filter(share == 4).select(F.col("doc_id").alias("_id"), "quality"), F.col("_doc") == F.col("_id"))
+    least = threshold(scored(with_words(judged), table).select("score", "quality"))
     done = scored(base_counts(with_words(docs)), table).withColumn("_least", least.scalar())
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return done.withColumn("base_failed", failed).select(
