@@ -248,13 +248,24 @@ def codec(table: PieceTable, cache: int = CACHE) -> Codec:
     return _CODECS[table, cache]
 
 
+def forget() -> None:
+    """Drop this Python worker's codec and its caches."""
+    _CODECS.clear()
+
+
 def encode(
-    df: DataFrame, table: PieceTable, text: str = "text", ids: str = "ids", decoded: str = "decoded", cache: int = CACHE
+    df: DataFrame,
+    table: PieceTable,
+    text: str = "text",
+    ids: str = "ids",
+    decoded: str = "decoded",
+    cache: int = CACHE,
+    keep: bool = True,
 ) -> DataFrame:
     """Add the token ids of `text` and the text they decode to.
 
-    A Python worker remembers up to twice `cache` chunks (about 220 bytes each) until it ends; a smaller cache costs time
-    and changes no result.
+    A Python worker remembers up to twice `cache` chunks (about 220 bytes each) until it ends, or with `keep` off until
+    its task ends; a smaller cache costs time and changes no result.
 
     Null and empty texts have no ids and decode to "". Every row is kept as it is, repeated rows too;
     columns named `ids` or `decoded` are replaced. An empty table gives an empty table. A text of any
@@ -270,19 +281,23 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(sent.value, cache)
-        for batch in batches:
-            for rows, _, _ in slices(batch, text, 4 << 20):
-                done = [coder.encode(x) for x in rows.column(text).to_pylist()]
-                flat = np.frombuffer(b"".join(x[0] for x in done), np.int32)
-                ends = np.cumsum([0, *(len(x[0]) // 4 for x in done)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(rows.column(name) for name in names),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
-                        pa.array([x[1] for x in done], pa.string()),
-                    ],
-                    names=[*names, ids, decoded],
-                )
+        try:
+            for batch in batches:
+                for rows, _, _ in slices(batch, text, 4 << 20):
+                    done = [coder.encode(x) for x in rows.column(text).to_pylist()]
+                    flat = np.frombuffer(b"".join(x[0] for x in done), np.int32)
+                    ends = np.cumsum([0, *(len(x[0]) // 4 for x in done)]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            *(rows.column(name) for name in names),
+                            pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
+                            pa.array([x[1] for x in done], pa.string()),
+                        ],
+                        names=[*names, ids, decoded],
+                    )
+        finally:
+            if not keep:
+                forget()
 
     return df.select(*[_quoted(name) for name in names]).mapInArrow(run, schema)
 

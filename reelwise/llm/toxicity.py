@@ -32,6 +32,7 @@ COMMON = 16  # terms in more than one of so many examples are frequent: their li
 BLOCK = 128  # examples per block
 EARLY = 2  # blocks scored before the threshold is taken
 BATCH = 128  # texts scored together
+PART = 1 << 18  # postings prepared together
 SLACK = 1e-4  # more than the error of single precision
 NEIGHBOURS = 25
 PRIOR = 0.5  # similarity mass of the vote of an unmarked text
@@ -59,14 +60,13 @@ class Index:
     idf: np.ndarray
     starts: np.ndarray  # postings of term t: starts[t]:starts[t + 1], ascending by example
     examples: np.ndarray
-    weights: np.ndarray
     labels: np.ndarray
     ids: np.ndarray
     counts: np.ndarray
     unmarked: float  # share of toxic texts among those without a known term
 
     def __reduce__(self):
-        """Numbers and counts in few bytes are shipped; weights follow from them."""
+        """Numbers and counts in few bytes are shipped."""
         small = [x.astype(np.min_scalar_type(x.max(initial=0))) for x in (self.examples, self.counts)]
         return assemble, (self.ids, self.labels, self.terms, self.starts, *small)
 
@@ -85,6 +85,12 @@ class Index:
         norm = np.sqrt(np.bincount(row, weights=weight**2)) if len(row) else np.zeros(0)
         return row, term, weight / norm[row] if len(row) else weight
 
+    @property
+    def weights(self) -> np.ndarray:
+        """The postings' weights in unit vectors, until `prepare`."""
+        raw = (1 + np.log(self.counts.astype(float))) * np.repeat(self.idf, np.diff(self.starts))
+        return raw / self.norms(len(self.labels))[self.examples]
+
     @property
     def mask(self) -> np.ndarray:
         if not hasattr(self, "_mask"):
@@ -97,37 +103,49 @@ class Index:
         n, df = len(self.labels), np.diff(self.starts)
         common = df * COMMON > n
         owner = np.repeat(np.arange(len(df), dtype=np.int32), df)
-        weights = self.weights.astype(np.float32)
+        # Worked out a part of the postings at a time: several workers prepare at once beside the executor's heap.
+        parts = [slice(low, low + PART) for low in range(0, len(owner), PART)]
+        self._norms = self.norms(n)
+        weights = np.empty(len(owner), np.float32)
+        for p in parts:
+            weights[p] = (1 + np.log(self.counts[p].astype(float))) * self.idf[owner[p]] / self._norms[self.examples[p]]
         # Examples with the same heaviest frequent term stand together, so that blocks differ in their maxima.
-        listed = common[owner]
-        terms, examples, values = owner[listed], self.examples[listed], weights[listed]
-        heavy = np.full(n, -1, np.int32)
-        by_weight = np.argsort(values, kind="stable")
-        heavy[examples[by_weight]] = terms[by_weight]
-        del by_weight
+        most, heavy = np.zeros(n, np.float32), np.full(n, -1, np.int32)
+        for p in parts:
+            listed = common[owner[p]]
+            np.maximum.at(most, self.examples[p][listed], weights[p][listed])
+        for p in parts:
+            top = common[owner[p]] & (weights[p] == most[self.examples[p]])
+            heavy[self.examples[p][top]] = owner[p][top]
         self._number = np.argsort(heavy, kind="stable")  # example at each place
         place = np.empty(n, np.int32)
         place[self._number] = np.arange(n, dtype=np.int32)
         self._column = np.full(len(df), -1, np.int32)
         self._column[common] = np.arange(int(common.sum()))
         self._blocks = np.zeros((-(-n // BLOCK), int(common.sum()), BLOCK), np.float32)
-        at = place[examples]
-        self._blocks[at // BLOCK, self._column[terms], at % BLOCK] = values
-        del terms, examples, values, at
+        for p in parts:
+            listed = common[owner[p]]
+            at = place[self.examples[p][listed]]
+            self._blocks[at // BLOCK, self._column[owner[p][listed]], at % BLOCK] = weights[p][listed]
         self._maxima = np.ascontiguousarray(self._blocks.max(2).T)
-        self._rare = place[self.examples[~listed]], weights[~listed]
+        rare = ~common[owner]
+        self._rare = place[self.examples[rare]], weights[rare]
         self._rare_starts = np.concatenate([[0], np.cumsum(np.where(common, 0, df))])
-        del weights, listed
+        del weights, rare
         order = np.argsort(self.examples, kind="stable").astype(np.int32)
         self._terms, self._counts = owner[order], self.counts[order]
         self._cuts = np.concatenate([[0], np.cumsum(np.bincount(self.examples, minlength=n))])
-        self._norms = np.sqrt(np.bincount(self.examples, weights=self.raw_weights() ** 2, minlength=n))
         self._query = np.zeros(len(df))
         # Lists by term are not read any more.
-        self.examples = self.weights = self.counts = None
+        self.examples = self.counts = None
 
-    def raw_weights(self) -> np.ndarray:
-        return (1 + np.log(self.counts.astype(float))) * np.repeat(self.idf, np.diff(self.starts))
+    def norms(self, n: int) -> np.ndarray:
+        raw = self.counts.astype(float)
+        np.log(raw, out=raw)
+        raw += 1
+        raw *= np.repeat(self.idf, np.diff(self.starts))
+        np.square(raw, out=raw)
+        return np.sqrt(np.bincount(self.examples, weights=raw, minlength=n))
 
     def nearest_of(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each of the texts 0 to n - 1 with (row, term, weight) by row: the k most similar examples (ties to the
@@ -227,15 +245,9 @@ def assemble(ids: np.ndarray, labels: np.ndarray, terms: np.ndarray, starts: np.
     """The index of postings given by term; its sigmoid is still to be fitted."""
     n, df = len(labels), np.diff(starts)
     idf = np.log(1 + n / np.maximum(df, 1))
-    row = row.astype(np.int32)
-    weight = np.log(counts.astype(float))
-    weight += 1
-    weight *= np.repeat(idf, df)
-    norm = np.sqrt(np.bincount(row, weights=weight**2, minlength=n))
-    weight /= norm[row]
-    unmarked = norm == 0
+    unmarked = np.bincount(row, minlength=n) == 0
     share = (labels[unmarked].sum() + 0.5) / (unmarked.sum() + 5.0)
-    return Index(terms, idf, starts, row, weight, labels.astype(float), ids, counts, float(share))
+    return Index(terms, idf, starts, row.astype(np.int32), labels.astype(float), ids, counts, float(share))
 
 
 def learn(sampled: DataFrame) -> tuple[Broadcast, float, float]:
