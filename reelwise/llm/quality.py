@@ -65,9 +65,14 @@ ENDING = f"CAST(pmod(xxhash64(3, substring(w, -3)), {BUCKETS}) AS INT)"  # of th
 PAIR = f"CAST(pmod(xxhash64(x, get(_hash, i + 1)), {BUCKETS}) AS INT)"  # and of the words i and i + 1
 
 
-def weights(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """One row with the log ratio of every bucket; counts cover every document."""
-    flagged = docs.join(trusted.select(F.col("doc_id").alias("_id"), F.lit(1).alias("_t")), docs["_doc"] == F.col("_id"), "left")
+def weights(docs: DataFrame, trusted: DataFrame, may: Column) -> DataFrame:
+    """One row with the log ratio of every bucket; counts cover every document, of which those that meet `may` can be trusted."""
+    may = F.coalesce(may, F.lit(False))
+    flags = trusted.select(F.col("doc_id").alias("_id"), F.lit(1).alias("_t")).hint("shuffle_hash")
+    # Only texts that can be trusted are shuffled to their labels.
+    texts = docs.select("_doc", "_text")
+    met = texts.filter(may).join(flags, F.col("_doc") == F.col("_id"), "left").select("_text", "_t")
+    flagged = met.unionByName(texts.filter(~may).select("_text", F.lit(None).cast("int").alias("_t")))
     pairs = f"slice(transform(_hash, (x, i) -> {PAIR}), 1, greatest(size(_hash) - 1, 0))"
     grams = F.expr(f"concat(transform(_hash, x -> {WORD}), transform(_words, w -> {ENDING}), {pairs})")
     counts = with_words(flagged).select(F.explode(grams).alias("bucket"), "_t").groupBy("bucket").agg(F.count("*").alias("raw"), F.count("_t").alias("good"))
@@ -110,8 +115,8 @@ def quality_rules(df: DataFrame, labels: DataFrame, doc: str = "doc_id", text: s
     """Add the base counts, `base_failed`, `score`, `held_out` and `kept`.
 
     Labels are read from all rows of `labels` (doc_id, quality) whose crc32 of the id as text, mod 5, is not 0: remainders
-    1 to 3 make the trusted multinomial, remainder 4 the threshold. Sizes decide how they meet the documents. Everything
-    else covers all documents. A document fails the base rules if it has fewer than 20 words
+    1 to 3 make the trusted multinomial, remainder 4 the threshold. Only texts of these remainders are shuffled to meet
+    them, at any size. Everything else covers all documents. A document fails the base rules if it has fewer than 20 words
     or if over 30 % of its words lie in repeated 8-word windows. A null text has no words. Ids may repeat; every row
     stays. Without labels of both kinds every document that meets the base rules is kept. Scores that tie with the threshold
     pass; an empty table gives an empty one; columns with the added names are replaced.
@@ -126,9 +131,10 @@ def quality_rules(df: DataFrame, labels: DataFrame, doc: str = "doc_id", text: s
         .filter(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0)
     )
     # The threshold comes from rows that the trusted multinomial has not seen.
-    share = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))
-    table = weights(docs, known.filter((F.col("quality") == 1) & (share < 4)))
-    judged = docs.join(known.filter(share == 4).select(F.col("doc_id").alias("_id"), "quality"), F.col("_doc") == F.col("_id"))
+    share, own_share = (F.pmod(F.crc32(F.col(c).cast("string")), F.lit(5)) for c in ("doc_id", "_doc"))
+    table = weights(docs, known.filter((F.col("quality") == 1) & (share < 4)), own_share.between(1, 3))
+    facts = known.filter(share == 4).select(F.col("doc_id").alias("_id"), "quality").hint("shuffle_hash")
+    judged = docs.select("_doc", "_text").filter(own_share == 4).join(facts, F.col("_doc") == F.col("_id"))
     least = threshold(scored(with_words(judged), table).select("score", "quality"))
     done = scored(base_counts(with_words(docs)), table).withColumn("_least", least.scalar())
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
