@@ -164,14 +164,17 @@ def dedup_lines(df: DataFrame, min_chars: int = 40, min_docs: int = 5, doc: str
     """
     added = ["keep", "n_lines", "n_dropped", "kept"]
     own = [f for f in df.schema.fields if f.name not in added]
+    # The text goes once through the shuffle, inside `own` where it is one of the kept columns.
+    place = next((i for i, f in enumerate(own) if f.name.lower() == text.lower()), None)
     base = df.select(
         F.struct(*[F.col("`" + f.name.replace("`", "``") + "`").alias(f"c{i}") for i, f in enumerate(own)]).alias("own"),
         F.coalesce(F.col(doc).cast("long"), F.lit(-(2**63))).alias("doc"),
         F.xxhash64(F.col(text)).alias("row"),
-        F.col(text).alias("text"),
+        *([F.col(text).alias("text")] if place is None else []),
     )
-    found = keep_bitmaps(df, min_chars, min_docs, doc, text)
-    joined = base.join(found, ["doc", "row"], "left").select("own", "text", "keep")
+    found = keep_bitmaps(df, min_chars, min_docs, doc, text).hint("shuffle_hash")
+    read = F.col("text") if place is None else F.col(f"own.c{place}")
+    joined = base.join(found, ["doc", "row"], "left").select("own", read.alias("text"), "keep")
     schema = T.StructType(
         [
             joined.schema["own"],
