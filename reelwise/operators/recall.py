@@ -228,7 +228,8 @@ def category_recall(
     )
     sizes = lists.groupBy("list_id", "first_category", "is_known").agg(F.count("*").alias("_size"))
     asked = seen.join(users.select("user_id"), "user_id", "left_semi")
-    gaps = unseen_gaps(lists, asked, "list_id")
+    # Counted for the demand and walked for the answer: the joins and totals behind it run once.
+    gaps = cut_lineage(unseen_gaps(lists, asked, "list_id").select("user_id", "list_id", "gap"))
     keys = ["user_id", "list_id"]
     taken = gaps.groupBy(*keys).agg(F.count("*").alias("_seen"))
     earlier = W.partitionBy("user_id", "is_known").orderBy("cat_rank").rowsBetween(W.unboundedPreceding, -1)

@@ -136,7 +136,7 @@ def rounded4(df, names):
     ),
 )
 def candidate_merge(spark, folder):
-    w = World(spark, folder)
+    w = World(spark, folder, prepared=True)
     return C.merge_channels(w.truth, channel_lists(w), w.items, TOP, WEIGHTS)
 
 
@@ -145,14 +145,14 @@ def candidate_merge(spark, folder):
     query(["cand"], f"SELECT user_id, date, item_id, label, {', '.join(S.LABELS)}, {f4(*S.FEATURES)} FROM cand"),
 )
 def candidate_features(spark, folder):
-    frame, _ = candidate_frame(World(spark, folder))
+    frame, _ = candidate_frame(World(spark, folder, prepared=True))
     return rounded4(frame.select("user_id", "date", "item_id", "label", *S.LABELS, *S.FEATURES), S.FEATURES)
 
 
 @register("candidate_features_capped")
 def candidate_features_capped(spark, folder):
     """Training form: negatives capped so that a group holds at most four rows beyond its positives."""
-    frame, _ = candidate_frame(World(spark, folder), max_per_group=4, seed=7)
+    frame, _ = candidate_frame(World(spark, folder, prepared=True), max_per_group=4, seed=7)
     return frame.groupBy("user_id", "date").agg(
         F.count("*").alias("rows"), F.sum(F.col("label").cast("int")).alias("positives")
     )
@@ -200,7 +200,7 @@ def eligible_catalog(spark, folder):
 )
 def encode_candidates(spark, folder):
     """Encoder fitted on the earlier candidate days, applied to the later ones."""
-    frame, _ = candidate_frame(World(spark, folder))
+    frame, _ = candidate_frame(World(spark, folder, prepared=True))
     fit, apply = C.selection_split(frame, 20240128)
     vocab, stats = C.fit_encoder(fit, SPARSE, DENSE)
     out = C.encode(apply, vocab, stats, SPARSE, DENSE)
@@ -218,7 +218,7 @@ def encode_candidates(spark, folder):
 )
 def source_mask(spark, folder):
     """Channel bit masks of the candidates left by the no-tower ablation."""
-    w = World(spark, folder)
+    w = World(spark, folder, prepared=True)
     kept = C.without_tower_only(C.merge_channels(w.truth, channel_lists(w), w.items, TOP, WEIGHTS))
     return kept.groupBy(C.source_mask().alias("mask")).agg(F.count("*").alias("rows"))
 

@@ -124,7 +124,7 @@ FROM (
 )
 def cold_recall(spark, folder):
     """Category lists on a short training window: positives of items unseen in training."""
-    w = World(spark, folder, "early")
+    w = World(spark, folder, "early", prepared=True)
     ranked = category_recall(w.train, w.items, w.users, w.seen, K, LENGTH)
     daily = E.available_on_date(ranked, w.truth, w.items, 20)
     return E.cold_recall(daily, w.truth, w.train.select("item_id").distinct(), 20)
@@ -193,7 +193,7 @@ def panel_evaluation(w: World):
     query(["panel_users"], f"SELECT user_id, recommended_count, {r6(*[f'{m}_at_5' for m in PANEL_METRICS])} FROM panel_users"),
 )
 def dense_panel_users(spark, folder):
-    return panel_evaluation(World(spark, folder))[1]
+    return panel_evaluation(World(spark, folder, prepared=True))[1]
 
 
 @register(
@@ -212,7 +212,7 @@ FROM panel_users""",
     ),
 )
 def dense_panel_eval(spark, folder):
-    return panel_evaluation(World(spark, folder))[0]
+    return panel_evaluation(World(spark, folder, prepared=True))[0]
 
 
 def replay_sql(policy: str, source: str, k: int) -> str:
@@ -235,7 +235,7 @@ FROM (
 
 @register("sparse_replay", query(["sample_uniform", "emb_list", "panel"], replay_sql("uniform", "emb_list", 10)))
 def sparse_replay(spark, folder):
-    w = World(spark, folder)
+    w = World(spark, folder, prepared=True)
     size = dense_panel(w).agg(F.countDistinct("item_id")).scalar()
     return E.sparse_replay(cut_lineage(embedding_lists(w)), cut_lineage(sampled_panel(w, "uniform")), size, 10)
 
@@ -312,7 +312,7 @@ FROM (
     ),
 )
 def rank_consistency(spark, folder):
-    return E.rank_consistency(cut_lineage(exposure_summary(World(spark, folder))), 10)
+    return E.rank_consistency(cut_lineage(exposure_summary(World(spark, folder, prepared=True))), 10)
 
 
 # --- scored rows --------------------------------------------------------------------------------
@@ -439,7 +439,7 @@ def fused_frame(w: World):
 
 @register("rrf_fusion", query(["rrf_rows"], f"SELECT user_id, date, item_id, {rx('score', 'rrf_score')} FROM rrf_rows"))
 def rrf_fusion(spark, folder):
-    rows, _ = fused_frame(World(spark, folder))
+    rows, _ = fused_frame(World(spark, folder, prepared=True))
     return rows.select("user_id", "date", "item_id", F.col("score").alias("rrf_score"))
 
 
@@ -453,7 +453,7 @@ SELECT grid_id, user_id, date, item_id, {rx('wa / (k + ra) + wb / (k + rb)', 'sc
     ),
 )
 def rank_sweep(spark, folder):
-    frame, _ = candidate_frame(World(spark, folder))
+    frame, _ = candidate_frame(World(spark, folder, prepared=True))
     grid = spark.createDataFrame(
         [(1, 0.5, 0.5, 60.0), (2, 0.7, 0.3, 60.0), (3, 0.6, 0.4, 20.0)],
         "grid_id int, w_first double, w_second double, rrf_k double",
@@ -493,7 +493,7 @@ def recursive(needs: list[str], tail: str) -> str:
 
 @register("mmr_rerank", recursive(["rrf_rows"], mmr_sql("rrf_rows", 0.9)))
 def mmr_rerank(spark, folder):
-    rows, _ = fused_frame(World(spark, folder))
+    rows, _ = fused_frame(World(spark, folder, prepared=True))
     out = RR.mmr_rerank(rows, "score", "mmr", 0.9)
     return out.select("user_id", "date", "item_id", "mmr_rank")
 
@@ -551,7 +551,7 @@ def _cut_sql(k: int) -> str:
     ),
 )
 def multi_k_eval(spark, folder):
-    w = World(spark, folder)
+    w = World(spark, folder, prepared=True)
     rows, truth = fused_frame(w)
     size = catalog_size(w.items, w.log, "test").scalar()
     known = w.train.select("item_id").distinct()
@@ -576,7 +576,7 @@ def multi_k_eval(spark, folder):
     ),
 )
 def channel_rates(spark, folder):
-    rows, _ = fused_frame(World(spark, folder))
+    rows, _ = fused_frame(World(spark, folder, prepared=True))
     return E.channel_rates(rows, CUTS)
 
 
@@ -607,7 +607,7 @@ FROM (
     ),
 )
 def channel_overlap(spark, folder):
-    w = World(spark, folder)
+    w = World(spark, folder, prepared=True)
     lists = channel_lists(w)
     return E.channel_overlap([lists["itemcf"], lists["content"]], lists["tower"], w.truth, w.items, 10)
 
@@ -627,7 +627,7 @@ FROM (
     ),
 )
 def oov_metrics(spark, folder):
-    rows, truth = fused_frame(World(spark, folder))
+    rows, truth = fused_frame(World(spark, folder, prepared=True))
     rows = cut_lineage(rows)
     early, late = rows.filter("date < 20240127"), rows.filter("date >= 20240127")
     ranked = E.rank_within(late, "score", 10)
@@ -668,7 +668,7 @@ FROM paired""",
 )
 def paired_bootstrap(spark, folder):
     """Item CF against popularity on Recall@10, 200 resamples."""
-    a, b = compared(World(spark, folder))
+    a, b = compared(World(spark, folder, prepared=True))
     return E.paired_bootstrap(a, b, "recall_at_10", 200, poisson=False)
 
 
@@ -695,7 +695,7 @@ FROM paired""",
     ),
 )
 def paired_bootstrap_poisson(spark, folder):
-    a, b = compared(World(spark, folder))
+    a, b = compared(World(spark, folder, prepared=True))
     return E.paired_bootstrap(a, b, "recall_at_10", 200, poisson=True)
 
 
@@ -733,7 +733,7 @@ SELECT '{name}' AS experiment_id, (SELECT avg(recall_at_10) FROM {groups}) AS re
 )
 def challenger_gate(spark, folder):
     """Item CF and embeddings against popularity, on the intervals of their paired bootstraps."""
-    w = World(spark, folder)
+    w = World(spark, folder, prepared=True)
     base = cut_lineage(E.recall_by_group(popular_daily(w), w.truth, 10))
     rows = None
     for name, lists in (("itemcf", itemcf(w, K)), ("embedding", embedding_lists(w))):
@@ -779,7 +779,7 @@ FROM {name}_gate c, itemcf_gate b"""
 )
 def quota_gate(spark, folder):
     """The other channels against item CF: recall, catalog coverage and what they add to its oracle recall."""
-    w = World(spark, folder)
+    w = World(spark, folder, prepared=True)
     lists = channel_lists(w)
     size = catalog_size(w.items, w.log, "test").scalar()
     facts = {}

@@ -175,7 +175,7 @@ def candidate_frames(w: World):
 @register("pairwise_ranker")
 def pairwise_ranker(spark, folder):
     """Linear pairwise ranker over the candidates of each user and day."""
-    valid, test, columns = candidate_frames(World(spark, folder))
+    valid, test, columns = candidate_frames(World(spark, folder, prepared=True))
     coefficients = R.fit_pairwise(valid, columns, n_neg=2)
     return R.score_linear(test, coefficients).select("user_id", "date", "item_id", "score")
 
@@ -236,7 +236,7 @@ SELECT feature, {rx('w / s', 'coefficient')} FROM (
 )
 def lambda_steps(spark, folder):
     """Coefficients after the first steps of the group-wise ranker."""
-    w = World(spark, folder)
+    w = World(spark, folder, prepared=True)
     coefficients, _ = fit_lambda_rank(candidate_frame(w)[0], LAMBDA_COLUMNS, k=LAMBDA_K, steps=LAMBDA_STEPS, rate=LAMBDA_RATE)
     return spark.createDataFrame(list(coefficients.items()), "feature string, coefficient double")
 
@@ -244,7 +244,7 @@ def lambda_steps(spark, folder):
 @register("lambda_ranker")
 def lambda_ranker(spark, folder):
     """Group-wise ranker over the candidates of each user and day: learned on the validation days, scored on the test days."""
-    valid, test, columns = candidate_frames(World(spark, folder))
+    valid, test, columns = candidate_frames(World(spark, folder, prepared=True))
     coefficients, _ = fit_lambda_rank(valid, columns, steps=5)
     return R.score_linear(test, coefficients).select("user_id", "date", "item_id", "score")
 
@@ -252,7 +252,7 @@ def lambda_ranker(spark, folder):
 @register("ablation_sources")
 def ablation_sources(spark, folder):
     """The candidate ranker with all channels and features, without what only the tower found, and without each feature group."""
-    valid, test, columns = candidate_frames(World(spark, folder))
+    valid, test, columns = candidate_frames(World(spark, folder, prepared=True))
     keep = lambda df: df
     runs = [("all", keep, columns), ("no_tower", C.without_tower_only, S.features(prefix="tower_"))]
     runs += [(f"no_{group}", keep, S.features(without=[group])) for group in S.FEATURE_GROUPS]

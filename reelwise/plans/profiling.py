@@ -324,7 +324,7 @@ FROM (
 )
 def baseline_compare(spark, folder):
     """The tower channel against the item CF channel on the dense panel."""
-    rows = cut_lineage(exposure_summary(World(spark, folder)).filter("evaluation = 'full_exposure'"))
+    rows = cut_lineage(exposure_summary(World(spark, folder, prepared=True)).filter("evaluation = 'full_exposure'"))
     metrics = ["recall_at_10", "ndcg_at_10", "coverage_at_10"]
     base = rows.filter("experiment_id = 'itemcf'").select(
         F.explode(
@@ -360,7 +360,7 @@ def daily_stability(spark, folder):
     """Mean of the group metrics by experiment and date."""
     from reelwise.operators.evaluate import available_on_date, recall_by_group
 
-    w = World(spark, folder)
+    w = World(spark, folder, prepared=True)
     rows = None
     for name, ranked in channel_lists(w).items():
         groups = recall_by_group(available_on_date(ranked, w.truth, w.items, 10), w.truth, 10)
