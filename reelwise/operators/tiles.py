@@ -1,9 +1,10 @@
 """Top-K of user vectors against item vectors: item blocks stream past blocks of users.
 
 Users and items are hashed into blocks of bounded size. A task holds one block of users and their best rows so far; the
-item blocks pass through it one after another, each scored with one matrix product and merged into the best rows. What
+item blocks pass through it one after another, each scored by strips of users and merged into the best rows. What
 leaves a task is at most k rows per user, however many items there are. Where there are fewer user blocks than tasks, the
-item blocks are dealt to several chunks, whose lists are merged afterwards.
+item blocks are dealt to several chunks, whose lists are merged afterwards. Every item is sent once to each user block and
+every user once to each chunk, so blocks and chunks are chosen to send about equally many rows of both kinds.
 """
 
 from __future__ import annotations
@@ -20,8 +21,11 @@ from pyspark.sql import types as T
 from reelwise.functions.columns import steady
 from reelwise.functions.ordering import top_n
 
-USER_BLOCK = 2048
+USER_BLOCK = 32768
+USER_STRIP = 128
 ITEM_BLOCK = 4096
+MEANS_BLOCK = 2048
+MEANS_ENTRIES = 1 << 15  # vectors that a mean gathers at once
 DIGITS = 9
 USER, SEEN, ITEM = 0, 1, 2
 
@@ -60,11 +64,15 @@ class Best:
 
     def add(self, items: np.ndarray, scores: np.ndarray) -> None:
         """Merge a block's scores (rows x items); -inf marks pairs that do not count."""
-        shown = np.round(scores, DIGITS)
-        floor = self.least
-        if scores.shape[1] > self.k:
-            floor = np.maximum(floor, np.partition(shown, scores.shape[1] - self.k, axis=1)[:, scores.shape[1] - self.k])
-        row, at = np.nonzero((shown >= floor[:, None]) & (shown > -np.inf))
+        # What rounds to at least the floor lies above a slightly lower one; scores are rounded only once they pass it.
+        under = lambda floor: np.maximum(floor - 2 * 10.0**-DIGITS - 1e-14 * np.abs(floor), np.finfo(float).min)
+        hit = scores >= under(self.least)[:, None]
+        busy = np.flatnonzero(hit.sum(1) > 4 * self.k)
+        if len(busy) and scores.shape[1] > self.k:
+            part = scores[busy]
+            floor = np.maximum(self.least[busy], np.partition(part, scores.shape[1] - self.k, axis=1)[:, scores.shape[1] - self.k])
+            hit[busy] = part >= under(floor)[:, None]
+        row, at = np.nonzero(hit)
         row = np.concatenate([self.row, row])
         item = np.concatenate([self.item, items[at]])
         score = np.concatenate([self.score, scores[row[len(self.row) :], at]])
@@ -85,26 +93,28 @@ def streamed(
     score: Score,
     user_block: int,
     item_block: int,
+    strip: int = USER_STRIP,
 ) -> DataFrame:
     """(user_id, item_id, score): at most `k` unseen items per user and chunk; with `k` None every pair that scores above 0.
 
-    Both tables carry their vector in the same columns after the id.
+    Both tables carry their vector in the same columns after the id; the types may differ.
     """
     spark = users.sparkSession
-    vector = [f for f in users.schema.fields if f.name != "user_id"]
-
-    def blocks(df: DataFrame, size: int) -> Column:
-        return F.greatest(F.coalesce(df.agg(F.ceil(F.count("*") / F.lit(size))).scalar(), F.lit(1)), F.lit(1)).cast("int")
-
+    vector = {USER: [f for f in users.schema.fields if f.name != "user_id"], ITEM: [f for f in items.schema.fields if f.name != "item_id"]}
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sizes = {"_nu": blocks(users, user_block), "_ni": blocks(items, item_block)}
+    rows_of = lambda df: F.greatest(F.coalesce(df.agg(F.count("*")).scalar(), F.lit(1)), F.lit(1))
+    sizes = {"_nu": rows_of(users), "_ni": rows_of(items)}
+    # Sent are nu * items rows, and partitions / nu * users rows that cost about four times as much with the lists coming back:
+    # least at this nu, unless a block would hold too many users.
+    even = F.least(F.lit(float(partitions)), F.sqrt(F.lit(4 * partitions) * F.col("_nu") / F.col("_ni")), F.col("_nu") / F.lit(strip))
+    blocks = {"_nu": F.greatest(F.ceil(F.col("_nu") / F.lit(user_block)), F.ceil(even)).cast("int"), "_ni": F.ceil(F.col("_ni") / F.lit(item_block)).cast("int")}
     chunks = {"_nc": F.least(F.col("_ni"), F.ceil(F.lit(partitions) / F.col("_nu")).cast("int"))}
     of = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
     def rows(df: DataFrame, kind: int, ub: Column, ic: Column, ib: Column, a: str, b: str | None) -> DataFrame:
-        data = [F.col(f.name) if kind != SEEN else F.lit(None).cast(f.dataType).alias(f.name) for f in vector]
-        first = df.withColumns(sizes).withColumns(chunks).withColumn("_ub", ub).withColumn("_ib", ib).withColumn("_ic", ic)
+        data = [(F.col(f.name) if kind == own else F.lit(None).cast(f.dataType)).alias(f"_{own}_{f.name}") for own, fields in vector.items() for f in fields]
+        first = df.withColumns(sizes).withColumns(blocks).withColumns(chunks).withColumn("_ub", ub).withColumn("_ib", ib).withColumn("_ic", ic)
         second = F.col(b) if b else F.lit(None).cast("long")
         return first.select("_ub", "_ic", "_ib", F.lit(kind).alias("_kind"), F.col(a).cast("long").alias("_a"), second.cast("long").alias("_b"), *data)
 
@@ -116,40 +126,44 @@ def streamed(
         parts = parts.unionByName(rows(near, SEEN, of("user_id", "_nu"), block, of("item_id", "_ni"), "user_id", "item_id"))
     sorted_parts = parts.repartition(partitions, "_ub", "_ic").sortWithinPartitions("_ub", "_ic", "_ib", "_kind", "_a")
 
+    def own(table: pa.Table, kind: int) -> pa.Table:
+        return table.select(["_a", *[f"_{kind}_{f.name}" for f in vector[kind]]]).rename_columns(["_a", *[f.name for f in vector[kind]]]).combine_chunks()
+
     def result(user_ids: np.ndarray, row: np.ndarray, item: np.ndarray, found: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(user_ids[row]), pa.array(item), pa.array(found)], names=["user_id", "item_id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group = people = ids = best = None
+        group, people, ids, best = None, None, None, []
         for (ub, ic, ib), table in block_runs(batches):
             if (ub, ic) != group:
-                if best is not None:
-                    yield result(ids, best.row, best.item, best.score)
-                group, people, best = (ub, ic), None, None
+                for n, part in enumerate(best):
+                    yield result(ids, part.row + n * strip, part.item, part.score)
+                group, people, best = (ub, ic), None, []
             kinds = table.column("_kind").to_numpy()
             if ib < 0:
-                people = table.combine_chunks()
+                people = own(table, USER)
                 ids = people.column("_a").to_numpy()
-                best = Best(len(ids), k) if k is not None else None
+                best = [Best(min(strip, len(ids) - low), k) for low in range(0, len(ids), strip)] if k is not None else []
                 continue
             if people is None or not (kinds == ITEM).any():
                 continue  # no user, or no item, in this block
-            catalog = table.filter(pa.array(kinds == ITEM)).combine_chunks()
-            item_ids, scores = score(people, catalog)
-            if k is None:
-                row, at = np.nonzero(scores > 0)
-                yield result(ids, row, item_ids[at], scores[row, at])
-                continue
+            catalog = own(table.filter(pa.array(kinds == ITEM)), ITEM)
             met = kinds == SEEN
-            if met.any():
-                who, what = (table.column(c).to_numpy(zero_copy_only=False)[met].astype(np.int64) for c in ("_a", "_b"))
-                row = np.minimum(np.searchsorted(ids, who), len(ids) - 1)
-                at = np.minimum(np.searchsorted(item_ids, what), len(item_ids) - 1)
-                both = (ids[row] == who) & (item_ids[at] == what)
-                scores[row[both], at[both]] = -np.inf
-            best.add(item_ids, scores)
-        if best is not None:
-            yield result(ids, best.row, best.item, best.score)
+            who, what = (table.column(c).to_numpy(zero_copy_only=False)[met].astype(np.int64) for c in ("_a", "_b"))
+            row = np.minimum(np.searchsorted(ids, who), len(ids) - 1)
+            for low in range(0, len(ids), strip):
+                item_ids, scores = score(people.slice(low, strip), catalog)
+                if k is None:
+                    hit, at = np.nonzero(scores > 0)
+                    yield result(ids, hit + low, item_ids[at], scores[hit, at])
+                    continue
+                here = slice(*np.searchsorted(row, [low, low + strip]))  # users ascend in both
+                at = np.minimum(np.searchsorted(item_ids, what[here]), len(item_ids) - 1)
+                both = (ids[row[here]] == who[here]) & (item_ids[at] == what[here])
+                scores[row[here][both] - low, at[both]] = -np.inf
+                best[low // strip].add(item_ids, scores)
+        for n, part in enumerate(best):
+            yield result(ids, part.row + n * strip, part.item, part.score)
 
     return sorted_parts.mapInArrow(run, DATA)
 
@@ -157,7 +171,7 @@ def streamed(
 def dense_scores(people: pa.Table, catalog: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     def matrix(table: pa.Table) -> np.ndarray:
         column = table.column("vector").combine_chunks()
-        return column.flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1).astype(np.float64, copy=False)
 
     return catalog.column("_a").to_numpy(), matrix(people) @ matrix(catalog).T
 
@@ -220,13 +234,10 @@ def linked_best(people: pa.Table, past: pa.Table, links: pa.Table, k: int) -> It
     terms, weights = (links.column(c).combine_chunks() for c in ("terms", "weights"))
     sizes = pc.list_value_length(terms).to_numpy().astype(np.int64)
     starts = np.cumsum(sizes) - sizes
-    items, code = np.unique(terms.flatten().to_numpy(), return_inverse=True)
-    weights = weights.flatten().to_numpy()
+    linked, weights = terms.flatten().to_numpy(), weights.flatten().to_numpy()
     met = past.column("terms").combine_chunks()
     who = np.searchsorted(ids, np.repeat(past.column("_a").to_numpy(), pc.list_value_length(met).to_numpy()))
     what = met.flatten().to_numpy()
-    at = np.minimum(np.searchsorted(items, what), len(items) - 1)
-    seen = np.unique((who * len(items) + at)[items[at] == what])
     row, wanted, pull = entries(people)
     wanted = wanted.to_numpy()
     at = np.minimum(np.searchsorted(sources, wanted), len(sources) - 1)
@@ -240,7 +251,14 @@ def linked_best(people: pa.Table, past: pa.Table, links: pa.Table, k: int) -> It
         own = slice(edges[first], edges[last])
         n = sizes[at[own]]
         where = np.repeat(starts[at[own]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        key = np.repeat(row[own], n) * len(items) + code[where]
+        # Items get codes, and seen pairs their keys, for the users at hand only.
+        items, code = np.unique(linked[where], return_inverse=True)
+        past_own = slice(*np.searchsorted(who, [first, last]))
+        seen = np.zeros(0, np.int64)
+        if len(items):
+            at_seen = np.minimum(np.searchsorted(items, what[past_own]), len(items) - 1)
+            seen = np.unique((who[past_own] * len(items) + at_seen)[items[at_seen] == what[past_own]])
+        key = np.repeat(row[own], n) * len(items) + code
         order = np.argsort(key, kind="stable")
         key, value = key[order], (np.repeat(pull[own], n) * weights[where])[order]
         heads = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else order
@@ -249,17 +267,69 @@ def linked_best(people: pa.Table, past: pa.Table, links: pa.Table, k: int) -> It
         if len(seen):
             keep &= seen[np.minimum(np.searchsorted(seen, key), len(seen) - 1)] != key
         key, score = key[keep], score[keep]
-        user = key // len(items)
+        user = key // max(len(items), 1)
         order = np.lexsort((key, -np.round(score, DIGITS), user))
         place = np.arange(len(order)) - np.searchsorted(user, user)
         best = order[place < k]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids[user[best]]), pa.array(items[key[best] % len(items)]), pa.array(score[best]), pa.array((place[place < k] + 1).astype(np.int32))],
+            [pa.array(ids[user[best]]), pa.array(items[key[best] % max(len(items), 1)]), pa.array(score[best]), pa.array((place[place < k] + 1).astype(np.int32))],
             names=["user_id", "item_id", "score", "rank"],
         )
         first = last
 
 
+def linked_means(users: DataFrame, items: DataFrame) -> DataFrame:
+    """(user_id, vector): mean `vector` over the items a user names in `terms`, repeats counted, in doubles.
+
+    A block of users gets the vector of each item it names once, so vectors are never multiplied by the users naming them.
+    Items without a vector do not count; a user with none gets no row. `users` is read several times.
+    """
+    partitions = int(users.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = F.coalesce(users.agg(F.ceil(F.count("*") / F.lit(MEANS_BLOCK))).scalar(), F.lit(1))
+    named = users.withColumn("_ub", F.pmod(F.xxhash64("user_id"), F.greatest(size, F.lit(partitions))).cast("int"))
+    wanted = named.select("_ub", F.explode("terms").alias("item_id")).distinct()
+    kind = items.schema["vector"].dataType
+
+    def part(df: DataFrame, kind_no: int, key: str, terms: Column, vector: Column) -> DataFrame:
+        return df.select("_ub", F.lit(kind_no).alias("_kind"), F.col(key).cast("long").alias("_a"), terms.cast("array<long>").alias("terms"), vector.cast(kind).alias("vector"))
+
+    known = items.select("item_id", "vector").filter("vector IS NOT NULL")
+    parts = part(named, USER, "user_id", F.col("terms"), F.lit(None)).unionByName(part(wanted.join(known, "item_id"), ITEM, "item_id", F.lit(None), F.col("vector")))
+    sorted_parts = parts.repartition("_ub").sortWithinPartitions("_ub", "_kind", "_a")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, table in block_runs(batches, ("_ub",)):
+            people_rows = int(np.searchsorted(table.column("_kind").to_numpy(), ITEM))
+            if 0 < people_rows < table.num_rows:
+                yield from block_means(table.slice(0, people_rows), table.slice(people_rows))
+
+    return sorted_parts.mapInArrow(run, T.StructType([T.StructField("user_id", T.LongType()), T.StructField("vector", T.ArrayType(T.DoubleType()))]))
+
+
+def block_means(people: pa.Table, links: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The mean vectors of one block of users; at most MEANS_ENTRIES vectors, or one user's, are gathered at a time."""
+    ids, sources = people.column("_a").combine_chunks(), links.column("_a").to_numpy()
+    vectors = links.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(sources), -1)
+    terms = people.column("terms").combine_chunks()
+    row, wanted = np.repeat(np.arange(len(ids)), pc.list_value_length(terms).to_numpy()), terms.flatten().to_numpy()
+    # An item with several vectors counts with each.
+    at, until = np.searchsorted(sources, wanted), np.searchsorted(sources, wanted, side="right")
+    times = until - at
+    row, at = np.repeat(row, times), np.repeat(at - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+    edges = np.searchsorted(row, np.arange(len(ids) + 1))
+    first = 0
+    while first < len(ids):
+        last = max(first + 1, int(np.searchsorted(edges, edges[first] + MEANS_ENTRIES, side="right")) - 1)
+        n = np.diff(edges[first : last + 1])
+        found = first + np.flatnonzero(n)
+        if len(found):
+            gathered = vectors[at[edges[first] : edges[last]]].astype(np.float64)
+            means = np.add.reduceat(gathered, edges[found] - edges[first], axis=0) / n[n > 0][:, None]
+            offsets = pa.array(np.arange(len(found) + 1, dtype=np.int32) * means.shape[1])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(found)), pa.ListArray.from_arrays(offsets, pa.array(means.ravel()))], names=["user_id", "vector"])
+        first = last
+
+
 def dense_topk(
     users: DataFrame,
     items: DataFrame,
@@ -272,11 +342,11 @@ def dense_topk(
 
     Users and items with a NULL vector get no rows.
     """
-    known = lambda df, key: df.select(key, F.col("vector").cast("array<double>").alias("vector")).filter("vector IS NOT NULL")
+    known = lambda df, key: df.select(key, "vector").filter("vector IS NOT NULL")
     found = streamed(known(users, "user_id"), known(items, "item_id"), seen, k, dense_scores, user_block, item_block)
     return top_n(found, ["user_id"], [F.desc(steady("score", DIGITS)), F.asc("item_id")], k)
 
 
 def sparse_products(users: DataFrame, items: DataFrame, user_block: int = 512, item_block: int = 1024) -> DataFrame:
     """(user_id, item_id, score): every positive dot product of (terms, weights) arrays."""
-    return streamed(users, items, None, None, sparse_scores, user_block, item_block)
+    return streamed(users, items, None, None, sparse_scores, user_block, item_block, user_block)

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.recommendation import ALS
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelwise.functions.ordering import ordinal
 from reelwise.operators.ranked import only_allowed, positive_tail
 from reelwise.operators.text import content_vectors, text_postings, unit_vector, with_content
-from reelwise.operators.tiles import dense_topk
+from reelwise.operators.tiles import dense_topk, linked_means
 from reelwise.session import cut_lineage
 
 # Numeric profile columns and hash width of the feature recall.
@@ -35,10 +33,13 @@ def embedding_topk(
 
 
 def mean_vectors(pairs: DataFrame, items: DataFrame) -> DataFrame:
-    """Mean item vector per user over `pairs` (user_id, item_id), repeats counted."""
-    times = pairs.groupBy("user_id", "item_id").agg(F.count("*").cast("double").alias("_n"))
-    placed = times.join(items.select("item_id", array_to_vector("vector").alias("_v")), "item_id")
-    return placed.groupBy("user_id").agg(vector_to_array(Summarizer.mean(F.col("_v"), F.col("_n"))).alias("vector"))
+    """Mean item vector per user over `pairs` (user_id, item_id), repeats counted; written once.
+
+    A user's items form one row, as history tails do; see tiles.linked_means.
+    """
+    tails = pairs.groupBy("user_id").agg(F.collect_list("item_id").alias("terms"))
+    # Counted, named and met by the vectors apart; the means are counted and placed.
+    return cut_lineage(linked_means(cut_lineage(tails), items))
 
 
 def als_recall(
