@@ -1,16 +1,17 @@
-"""Learned rankers: logistic regression by Newton steps, trees and factorisation on `pyspark.ml`, linear pairwise."""
+"""Learned rankers: logistic regression by Newton steps, trees on `pyspark.ml`, factorisation, linear pairwise."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import FMClassifier, GBTClassifier, LogisticRegression
-from pyspark.ml.feature import MinMaxScaler, SQLTransformer, StandardScaler, VectorAssembler
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelwise.operators.factorization import Factorization, fit_factors
 from reelwise.operators.newton import Logistic, fit_newton
 from reelwise.operators.sampling import pairwise_samples
 
@@ -58,31 +59,14 @@ def fit_boosted(
 
 def fit_factorization(
     train: DataFrame, columns: Sequence[str], label: str = "label_complete", factors: int = 8, seed: int = 2026
-) -> PipelineModel:
-    """Second-order feature interactions."""
-    columns = list(columns)
-    data = _doubles(train, columns).withColumn("_label", F.col(label).cast("double"))
-    stages = [
-        VectorAssembler(inputCols=columns, outputCol="_raw"),
-        MinMaxScaler(inputCol="_raw", outputCol="_features"),
-        FMClassifier(
-            featuresCol="_features",
-            labelCol="_label",
-            factorSize=factors,
-            stepSize=0.01,
-            maxIter=30,
-            seed=seed,
-            probabilityCol="_prob",
-            rawPredictionCol="_margin",
-            predictionCol="_class",
-        ),
-    ]
-    return Pipeline(stages=stages).fit(data)
+) -> Factorization:
+    """Second-order feature interactions; see factorization.fit_factors."""
+    return fit_factors(train, columns, label, factors, steps=30, rate=0.01, seed=seed)
 
 
-def predict(model: PipelineModel | Logistic, df: DataFrame, columns: Sequence[str], out: str = "score") -> DataFrame:
+def predict(model: PipelineModel | Logistic | Factorization, df: DataFrame, columns: Sequence[str], out: str = "score") -> DataFrame:
     """`df` plus the positive-class probability."""
-    if isinstance(model, Logistic):
+    if isinstance(model, Logistic | Factorization):
         return df.withColumn(out, model.probability())
     scored = model.transform(_doubles(df, columns))
     return scored.select(*df.columns, vector_to_array("_prob")[1].alias(out))

@@ -132,7 +132,7 @@ def gbt_scores(spark, folder):
 
 @register("fm_scores")
 def fm_scores(spark, folder):
-    train, test, columns = pointwise(World(spark, folder))
+    train, test, columns = pointwise(World(spark, folder, prepared=True))
     # Factorisation has no notion of a gap.
     model = R.fit_factorization(train.na.fill(0.0, columns), columns)
     out = R.predict(model, test.na.fill(0.0, columns), columns)
