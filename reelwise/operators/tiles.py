@@ -4,12 +4,14 @@ Users and items are hashed into blocks of bounded size. A task holds one block o
 item blocks pass through it one after another, each scored by strips of users and merged into the best rows. What
 leaves a task is at most k rows per user, however many items there are. Where there are fewer user blocks than tasks, the
 item blocks are dealt to several chunks, whose lists are merged afterwards. Every item is sent once to each user block and
-every user once to each chunk, so blocks and chunks are chosen to send about equally many rows of both kinds.
+every user once to each chunk, so blocks and chunks are chosen to send about equally many rows of both kinds. Before they
+are sent, the rows of a block are packed: a pack is one binary value, however many numbers its vectors hold.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,17 +25,33 @@ from reelwise.functions.ordering import top_n
 
 USER_BLOCK = 32768
 USER_STRIP = 128
-ITEM_BLOCK = 4096
+ITEM_BLOCK = 8192
+PACK_BYTES = 1 << 20
 MEANS_BLOCK = 2048
 MEANS_ENTRIES = 1 << 15  # vectors that a mean gathers at once
 DIGITS = 9
 USER, SEEN, ITEM = 0, 1, 2
 
-Score = Callable[[pa.Table, pa.Table], tuple[np.ndarray, np.ndarray]]  # (item ids ascending, scores rows x items)
+RESCORED = 1 << 14  # pairs whose vectors are gathered at once
 PAIRS = 1 << 20  # products that a sparse join expands at once
 DATA = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType())])
 
 
+class Scores(NamedTuple):
+    """Scores of a strip of users against an item block: rows x items, the item ids ascending.
+
+    With `exact` the scores are rough: within `slack` (one number a row) of the doubles that `exact(rows, places)` gives.
+    """
+
+    items: np.ndarray
+    scores: np.ndarray
+    slack: np.ndarray | None = None
+    exact: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
+
+
+Score = Callable[[pa.Table, pa.Table], Scores]
+
+
 def block_runs(batches: Iterator[pa.RecordBatch], by: tuple[str, ...] = ("_ub", "_ic", "_ib")) -> Iterator[tuple[tuple[int, ...], pa.Table]]:
     """(values of `by`, rows) of batches sorted by these columns."""
     held, key = [], None
@@ -54,6 +72,14 @@ def block_runs(batches: Iterator[pa.RecordBatch], by: tuple[str, ...] = ("_ub",
         yield key, pa.Table.from_batches(held)
 
 
+def set_places(hit: np.ndarray) -> np.ndarray:
+    """Flat places of the set entries of a contiguous mask, of which most eights hold none."""
+    flat = hit.ravel()
+    whole = len(flat) // 8 * 8
+    at = (8 * np.flatnonzero(flat[:whole].view(np.uint64))[:, None] + np.arange(8)).ravel()
+    return np.concatenate([at[flat[at]], whole + np.flatnonzero(flat[whole:])])
+
+
 class Best:
     """The best `k` (row, item) pairs of each row so far: by rounded score, ties to the lower item."""
 
@@ -62,27 +88,62 @@ class Best:
         self.row, self.item = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.score, self.least = np.zeros(0), np.full(rows, -np.inf)
 
-    def add(self, items: np.ndarray, scores: np.ndarray) -> None:
-        """Merge a block's scores (rows x items); -inf marks pairs that do not count."""
-        # What rounds to at least the floor lies above a slightly lower one; scores are rounded only once they pass it.
-        under = lambda floor: np.maximum(floor - 2 * 10.0**-DIGITS - 1e-14 * np.abs(floor), np.finfo(float).min)
-        hit = scores >= under(self.least)[:, None]
-        busy = np.flatnonzero(hit.sum(1) > 4 * self.k)
-        if len(busy) and scores.shape[1] > self.k:
+    def add(self, items: np.ndarray, scores: np.ndarray, slack: np.ndarray | None = None, exact: Callable | None = None) -> None:
+        """Merge a block's scores (rows x items); -inf marks pairs that do not count. See Scores for rough ones."""
+        kind, slack = scores.dtype.type, np.zeros(len(scores)) if slack is None else slack
+
+        def under(floor: np.ndarray, slack: np.ndarray) -> np.ndarray:
+            # What rounds to at least the floor lies above a slightly lower one; scores are rounded only once they pass it.
+            low = floor - slack - 2 * 10.0**-DIGITS - 1e-14 * np.abs(floor)
+            return np.nextafter(np.maximum(low, np.finfo(kind).min / 2).astype(kind), kind(-np.inf))[:, None]
+
+        hit = scores >= under(self.least, slack)
+        if scores.shape[1] > self.k and np.count_nonzero(hit) > 4 * self.k * len(scores):
+            busy = np.flatnonzero(np.count_nonzero(hit, axis=1) > 4 * self.k)
             part = scores[busy]
-            floor = np.maximum(self.least[busy], np.partition(part, scores.shape[1] - self.k, axis=1)[:, scores.shape[1] - self.k])
-            hit[busy] = part >= under(floor)[:, None]
-        row, at = np.nonzero(hit)
-        row = np.concatenate([self.row, row])
-        item = np.concatenate([self.item, items[at]])
-        score = np.concatenate([self.score, scores[row[len(self.row) :], at]])
+            kth = np.partition(part, scores.shape[1] - self.k, axis=1)[:, scores.shape[1] - self.k]
+            hit[busy] = part >= under(np.maximum(self.least[busy], kth - slack[busy]), slack[busy])
+        row, at = np.divmod(set_places(hit), scores.shape[1])
+        if not len(row):
+            return
+        found = scores[row, at] if exact is None else exact(row, at)
+        # Rows without a hit stay as they are.
+        met = np.zeros(len(scores), bool)
+        met[row] = True
+        old = met[self.row]
+        item = np.concatenate([self.item[old], items[at]])
+        score = np.concatenate([self.score[old], found])
+        row = np.concatenate([self.row[old], row])
         order = np.lexsort((item, -np.round(score, DIGITS), row))
         row, item, score = row[order], item[order], score[order]
         place = np.arange(len(row)) - np.searchsorted(row, row)
         keep = place < self.k
-        self.row, self.item, self.score = row[keep], item[keep], score[keep]
-        full = place[keep] == self.k - 1
-        self.least[self.row[full]] = np.round(self.score[full], DIGITS)
+        full = keep & (place == self.k - 1)
+        self.least[row[full]] = np.round(score[full], DIGITS)
+        self.row, self.item, self.score = (np.concatenate([x[~old], y[keep]]) for x, y in ((self.row, row), (self.item, item), (self.score, score)))
+
+
+def pack(table: pa.Table) -> bytes:
+    """Rows as one value, in Arrow's stream format."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def unpack(packs: pa.ChunkedArray) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(value.as_buffer()).read_all() for value in packs]).combine_chunks()
+
+
+def packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_block, _a, _pack): the rows of each block, in packs of about PACK_BYTES named by their first id."""
+    for (block,), table in block_runs(batches, ("_block",)):
+        table = table.drop_columns(["_block"])
+        step = max(1, PACK_BYTES * table.num_rows // max(table.nbytes, 1))
+        for low in range(0, table.num_rows, step):
+            piece = table.slice(low, step).combine_chunks()
+            data = [pa.array([block], pa.int32()), piece.column("_a").chunk(0).slice(0, 1), pa.array([pack(piece)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(data, names=["_block", "_a", "_pack"])
 
 
 def streamed(
@@ -100,7 +161,6 @@ def streamed(
     Both tables carry their vector in the same columns after the id; the types may differ.
     """
     spark = users.sparkSession
-    vector = {USER: [f for f in users.schema.fields if f.name != "user_id"], ITEM: [f for f in items.schema.fields if f.name != "item_id"]}
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows_of = lambda df: F.greatest(F.coalesce(df.agg(F.count("*")).scalar(), F.lit(1)), F.lit(1))
     sizes = {"_nu": rows_of(users), "_ni": rows_of(items)}
@@ -111,69 +171,85 @@ def streamed(
     chunks = {"_nc": F.least(F.col("_ni"), F.ceil(F.lit(partitions) / F.col("_nu")).cast("int"))}
     of = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    sized = lambda df: df.withColumns(sizes).withColumns(blocks).withColumns(chunks)
 
-    def rows(df: DataFrame, kind: int, ub: Column, ic: Column, ib: Column, a: str, b: str | None) -> DataFrame:
-        data = [(F.col(f.name) if kind == own else F.lit(None).cast(f.dataType)).alias(f"_{own}_{f.name}") for own, fields in vector.items() for f in fields]
-        first = df.withColumns(sizes).withColumns(blocks).withColumns(chunks).withColumn("_ub", ub).withColumn("_ib", ib).withColumn("_ic", ic)
-        second = F.col(b) if b else F.lit(None).cast("long")
-        return first.select("_ub", "_ic", "_ib", F.lit(kind).alias("_kind"), F.col(a).cast("long").alias("_a"), second.cast("long").alias("_b"), *data)
+    def packed(df: DataFrame, key: str, n: str) -> DataFrame:
+        vector = [name for name in df.columns if name != key]
+        placed = sized(df).select(of(key, n).alias("_block"), F.col(key).cast("long").alias("_a"), *vector)
+        return placed.repartition(partitions, "_block").sortWithinPartitions("_block", "_a").mapInArrow(packs, "_block int, _a long, _pack binary")
 
-    block = F.pmod(F.col("_ib"), F.col("_nc")).cast("int")
-    parts = rows(users, USER, of("user_id", "_nu"), each("_nc"), F.lit(-1), "user_id", None)
-    parts = parts.unionByName(rows(items, ITEM, each("_nu"), block, of("item_id", "_ni"), "item_id", None))
+    def rows(df: DataFrame, kind: int, ub: Column, ic: Column, ib: Column, b: Column, data: Column) -> DataFrame:
+        first = sized(df).withColumn("_ub", ub).withColumn("_ib", ib).withColumn("_ic", ic)
+        return first.select("_ub", "_ic", "_ib", F.lit(kind).alias("_kind"), "_a", b.cast("long").alias("_b"), data.cast("binary").alias("_pack"))
+
+    block, none, held = F.pmod(F.col("_ib"), F.col("_nc")).cast("int"), F.lit(None), F.col("_pack")
+    parts = rows(packed(users, "user_id", "_nu"), USER, F.col("_block"), each("_nc"), F.lit(-1), none, held)
+    parts = parts.unionByName(rows(packed(items, "item_id", "_ni"), ITEM, each("_nu"), block, F.col("_block"), none, held))
     if seen is not None:
-        near = seen.select("user_id", "item_id").join(items.select("item_id"), "item_id", "left_semi")
-        parts = parts.unionByName(rows(near, SEEN, of("user_id", "_nu"), block, of("item_id", "_ni"), "user_id", "item_id"))
+        near = seen.select("user_id", "item_id").join(items.select("item_id"), "item_id", "left_semi").filter("user_id IS NOT NULL")
+        parts = parts.unionByName(rows(near.withColumn("_a", F.col("user_id").cast("long")), SEEN, of("user_id", "_nu"), block, of("item_id", "_ni"), F.col("item_id"), none))
     sorted_parts = parts.repartition(partitions, "_ub", "_ic").sortWithinPartitions("_ub", "_ic", "_ib", "_kind", "_a")
 
-    def own(table: pa.Table, kind: int) -> pa.Table:
-        return table.select(["_a", *[f"_{kind}_{f.name}" for f in vector[kind]]]).rename_columns(["_a", *[f.name for f in vector[kind]]]).combine_chunks()
-
-    def result(user_ids: np.ndarray, row: np.ndarray, item: np.ndarray, found: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(user_ids[row]), pa.array(item), pa.array(found)], names=["user_id", "item_id", "score"])
+    def result(user_ids: pa.Array, row: np.ndarray, item: np.ndarray, found: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([user_ids.take(pa.array(row)), pa.array(item), pa.array(found)], names=["user_id", "item_id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, people, ids, best = None, None, None, []
+        group, people, named, ids, best = None, None, None, None, []
         for (ub, ic, ib), table in block_runs(batches):
             if (ub, ic) != group:
                 for n, part in enumerate(best):
-                    yield result(ids, part.row + n * strip, part.item, part.score)
+                    yield result(named, part.row + n * strip, part.item, part.score)
                 group, people, best = (ub, ic), None, []
-            kinds = table.column("_kind").to_numpy()
             if ib < 0:
-                people = own(table, USER)
-                ids = people.column("_a").to_numpy()
+                people = unpack(table.column("_pack"))
+                named = people.column("_a").combine_chunks()
+                ids = pc.fill_null(named, np.iinfo(np.int64).min).to_numpy()  # a user without id comes first
                 best = [Best(min(strip, len(ids) - low), k) for low in range(0, len(ids), strip)] if k is not None else []
                 continue
-            if people is None or not (kinds == ITEM).any():
+            first = int(np.searchsorted(table.column("_kind").to_numpy(), ITEM))
+            if people is None or first == table.num_rows:
                 continue  # no user, or no item, in this block
-            catalog = own(table.filter(pa.array(kinds == ITEM)), ITEM)
-            met = kinds == SEEN
-            who, what = (table.column(c).to_numpy(zero_copy_only=False)[met].astype(np.int64) for c in ("_a", "_b"))
+            catalog = unpack(table.column("_pack").slice(first))
+            who, what = (table.column(c).slice(0, first).to_numpy() for c in ("_a", "_b"))
             row = np.minimum(np.searchsorted(ids, who), len(ids) - 1)
             for low in range(0, len(ids), strip):
-                item_ids, scores = score(people.slice(low, strip), catalog)
+                item_ids, scores, slack, exact = score(people.slice(low, strip), catalog)
                 if k is None:
                     hit, at = np.nonzero(scores > 0)
-                    yield result(ids, hit + low, item_ids[at], scores[hit, at])
+                    yield result(named, hit + low, item_ids[at], scores[hit, at])
                     continue
                 here = slice(*np.searchsorted(row, [low, low + strip]))  # users ascend in both
                 at = np.minimum(np.searchsorted(item_ids, what[here]), len(item_ids) - 1)
                 both = (ids[row[here]] == who[here]) & (item_ids[at] == what[here])
                 scores[row[here][both] - low, at[both]] = -np.inf
-                best[low // strip].add(item_ids, scores)
+                best[low // strip].add(item_ids, scores, slack, exact)
         for n, part in enumerate(best):
-            yield result(ids, part.row + n * strip, part.item, part.score)
+            yield result(named, part.row + n * strip, part.item, part.score)
 
     return sorted_parts.mapInArrow(run, DATA)
 
 
-def dense_scores(people: pa.Table, catalog: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def dense_scores(people: pa.Table, catalog: pa.Table) -> Scores:
+    """Dot products of `vector`. The product of all pairs is taken in floats; doubles are left to the pairs that may count."""
+
     def matrix(table: pa.Table) -> np.ndarray:
         column = table.column("vector").combine_chunks()
-        return column.flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1).astype(np.float64, copy=False)
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+
+    def exact(row: np.ndarray, at: np.ndarray) -> np.ndarray:
+        cuts = range(0, len(row), RESCORED)
+        both = ((left[row[n : n + RESCORED]].astype(np.float64), right[at[n : n + RESCORED]].astype(np.float64)) for n in cuts)
+        return np.concatenate([np.einsum("ij,ij->i", a, b) for a, b in both])
 
-    return catalog.column("_a").to_numpy(), matrix(people) @ matrix(catalog).T
+    left, right = matrix(people), matrix(catalog)
+    ids, width = catalog.column("_a").to_numpy(), right.shape[1]
+    longest = np.sqrt(np.square(left, dtype=np.float64).sum(1))
+    widest = np.sqrt(width) * max(float(right.max()), -float(right.min())) if width else 0.0
+    if not (longest.max() < 1e15 and widest < 1e15):  # beyond, or not numbers: floats could overflow
+        return Scores(ids, left.astype(np.float64) @ right.astype(np.float64).T)
+    # Rounding both factors and each of the sums: at most this share of the product of the lengths.
+    share = (width + 8) * 2.0**-24
+    return Scores(ids, left.astype(np.float32) @ right.astype(np.float32, copy=False).T, 1.01 * share * longest * widest, exact)
 
 
 def entries(table: pa.Table) -> tuple[np.ndarray, pa.Array, np.ndarray]:
@@ -182,7 +258,7 @@ def entries(table: pa.Table) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return np.repeat(np.arange(table.num_rows), pc.list_value_length(terms).to_numpy()), terms.flatten(), weights.flatten().to_numpy()
 
 
-def sparse_scores(people: pa.Table, catalog: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def sparse_scores(people: pa.Table, catalog: pa.Table) -> Scores:
     """Dot products of (terms, weights), in the space of the terms the item block uses."""
     rows, terms, weights = entries(catalog)
     space = terms.unique()
@@ -192,7 +268,7 @@ def sparse_scores(people: pa.Table, catalog: pa.Table) -> tuple[np.ndarray, np.n
     at = pc.fill_null(pc.index_in(terms, value_set=space), -1).to_numpy()
     left = np.zeros((people.num_rows, len(space)))
     left[rows[at >= 0], at[at >= 0]] = weights[at >= 0]
-    return catalog.column("_a").to_numpy(), left @ right.T
+    return Scores(catalog.column("_a").to_numpy(), left @ right.T)
 
 
 def linked_topk(users: DataFrame, lists: DataFrame, seen: DataFrame, k: int, user_block: int = 1024) -> DataFrame:
