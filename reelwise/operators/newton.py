@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelwise.functions.columns import unit_hash
+from reelwise.functions.ordering import running_totals
 from reelwise.session import cut_lineage
 
 STEPS, CLOSE = 25, 1e-10
@@ -39,13 +39,23 @@ class Logistic:
         return 1 / (1 + F.exp(-self.margin()))
 
 
-def medians_of(df: DataFrame, columns: Sequence[str], rows: int, keys: Sequence[str]) -> np.ndarray:
-    """Exact medians of the non-null values of all rows, or of about `rows` rows drawn by a hash of `keys`."""
-    n = df.count()
-    if n > rows:
-        df = df.filter(unit_hash(7, *keys) < rows / n)
-    middle = df.agg(*[F.expr(f"percentile(CAST(`{c}` AS DOUBLE), 0.5)").alias(c) for c in columns]).first()
-    return np.array([middle[c] if middle[c] is not None else 0.0 for c in columns], float)
+def medians_of(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
+    """Exact medians of the non-null values over all rows, 0 without any.
+
+    Equal values of a column are counted first; the running counts then tell which values sit in the middle, so no task
+    holds a whole column.
+    """
+    each = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)])
+    counts = df.select(F.inline(each)).filter("v IS NOT NULL").groupBy("i", "v").agg(F.count("*").alias("c"))
+    upto = running_totals(counts, ["i"], ["v"], {"hi": F.col("c")})
+    sizes = upto.groupBy("i").agg(F.max("hi").alias("n"))
+    low, high = F.expr("(n - 1) div 2"), F.expr("n div 2")
+    # One row, or the two on both sides of an even middle.
+    middle = upto.join(sizes, "i").filter((F.col("hi") > low) & (F.col("hi") - F.col("c") <= high)).groupBy("i").agg(F.min("v").alias("a"), F.max("v").alias("b"))
+    out = np.zeros(len(columns))
+    for r in middle.collect():
+        out[r.i] = r.a if r.a == r.b else 0.5 * r.a + 0.5 * r.b
+    return out
 
 
 def fit_newton(
@@ -53,20 +63,17 @@ def fit_newton(
     columns: Sequence[str],
     label: str = "label_complete",
     ridge: float = 1.0,
-    median_rows: int = 1_000_000,
-    keys: Sequence[str] | None = None,
 ) -> Logistic:
     """Median imputation, standardisation, and the minimum of ridge / 2 * |w|^2 + class-balanced log loss.
 
     Each step is one pass in which every task sums gradient and Hessian over its rows; Spark adds the tasks' sums and the
-    driver solves a system of one row per feature. The result depends on the rows only, not on their partitioning
-    (`median_rows` bounds the rows medians are taken from). A label with one class gives a constant score.
+    driver solves a system of one row per feature. The result depends on the rows only, not on their number or partitioning.
+    A label with one class gives a constant score.
     """
     columns = list(columns)
-    data = cut_lineage(train.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)], F.col(label).cast("double").alias("y"),
-                                    F.concat_ws(":", *[F.col(k).cast("string") for k in (keys or columns)]).alias("_key")).filter("y IS NOT NULL"))
+    data = cut_lineage(train.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)], F.col(label).cast("double").alias("y")).filter("y IS NOT NULL"))
     names = [f"x{i}" for i in range(len(columns))]
-    medians = medians_of(data, names, median_rows, ["_key"])
+    medians = medians_of(data, names)
     filled = [F.coalesce(F.col(c), F.lit(float(m))) for c, m in zip(names, medians)]
     facts = data.agg(
         F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0.0)).alias("p"),
