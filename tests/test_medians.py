@@ -1,9 +1,10 @@
+import inspect
 import math
 
 import numpy as np
 
 from reelwise.functions import ordering
-from reelwise.operators import newton
+from reelwise.operators import newton, rankers
 
 
 def test_medians_of_all_rows(spark, monkeypatch):
@@ -15,3 +16,9 @@ def test_medians_of_all_rows(spark, monkeypatch):
         monkeypatch.setattr(ordering, "BUCKET_ROWS", held)
         assert np.allclose(newton.medians_of(df.repartition(3), list("abcd")), want, rtol=0, atol=1e-15)
         assert newton.medians_of(df.filter("a > 1e9"), ["a", "b"]).tolist() == [0.0, 0.0]
+
+def test_fits_know_no_size_at_which_rows_are_drawn(spark):
+    assert set(inspect.signature(newton.fit_newton).parameters) == {"train", "columns", "label", "ridge"}
+    # Over a million rows: the median of a draw would be off the exact one, 524288.
+    df = spark.range(1_048_577).selectExpr("CAST(id AS DOUBLE) a", "CAST(id % 2 AS INT) label_complete")
+    assert rankers.fit_logistic(df, ["a"]).medians.tolist() == [524288.0]
