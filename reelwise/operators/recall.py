@@ -102,6 +102,7 @@ def itemcf_similarity(history: DataFrame, neighbors: int = 200, iuf: bool = True
         .groupBy("user_id")
         .agg(F.collect_list(F.struct("item_id", "weight", "cnt")).alias("items"))
     )
+    tails = cut_lineage(tails)  # so that what was shuffled for them goes before they are sent
     user_weight = 1 / F.log1p(F.size("items") + 1) if iuf else F.lit(1.0)
     share = F.transform("items", lambda x: F.sqrt(x["weight"] / x["cnt"]))
     sent = tails.select(
@@ -150,8 +151,6 @@ def itemcf_recommend(
     led_to = only_allowed(similarity.select(F.col("other_id").alias("item_id"), F.col("item_id").alias("_from"), "sim"), allowed)
     lists = led_to.groupBy("_from").agg(F.collect_list("item_id").alias("terms"), F.collect_list("sim").alias("weights")).withColumnRenamed("_from", "item_id")
     best = linked_topk(tails, lists, seen, k)
-    # The list, its length and its items are needed apart; score once.
-    best = cut_lineage(best)
 
     counts = only_allowed(cf_counts(history), allowed)
     lists = rank_lists(
@@ -171,6 +170,7 @@ def itemcf_recommend(
         )
         .filter(F.col("want") > 0)
     )
+    demand = cut_lineage(demand)  # mostly few: its size decides whether the pairs below are shuffled
     short = demand.select("user_id")
     blocked = (
         seen.union(best.select("user_id", "item_id")).join(short, "user_id", "left_semi")

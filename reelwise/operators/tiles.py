@@ -22,12 +22,14 @@ from pyspark.sql import types as T
 
 from reelwise.functions.columns import steady
 from reelwise.functions.ordering import top_n
+from reelwise.session import cut_lineage
 
 USER_BLOCK = 32768
 USER_STRIP = 128
 ITEM_BLOCK = 8192
 PACK_BYTES = 1 << 20
 MEANS_BLOCK = 2048
+ROUND_ENTRIES = 1 << 26  # entries of lists that may be shuffled at a time in any case
 MEANS_ENTRIES = 1 << 15  # vectors that a mean gathers at once
 DIGITS = 9
 USER, SEEN, ITEM = 0, 1, 2
@@ -272,27 +274,27 @@ def sparse_scores(people: pa.Table, catalog: pa.Table) -> Scores:
 
 
 def linked_topk(users: DataFrame, lists: DataFrame, seen: DataFrame, k: int, user_block: int = 1024) -> DataFrame:
-    """(user_id, item_id, score, rank): best `k` unseen items by summed weight over the users' lists, ties by item.
+    """(user_id, item_id, score, rank): best `k` unseen items by summed weight over the users' lists, ties by item; written.
 
     `users` (user_id, terms, weights) names lists by id with a factor each; `lists` (item_id, terms, weights) holds item ids
     and their weights, one row per list. A block of users gets each list it names once, so what is shuffled grows with
     the tails, and a list that many users name is sent once per block. Only positive sums count. Whole users stay in one
-    task: ranks need no further shuffle.
+    task: ranks need no further shuffle. Lists are written beside the blocks that name them, and many blocks take their turn in
+    rounds: what is shuffled at a time is about twice the lists, or ROUND_ENTRIES if that is more, however many blocks name them.
     """
     partitions = int(users.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = F.coalesce(users.agg(F.ceil(F.count("*") / F.lit(user_block))).scalar(), F.lit(1))
-    named = users.withColumn("_ub", F.pmod(F.xxhash64("user_id"), F.greatest(size, F.lit(partitions))).cast("int"))
-    wanted = named.select("_ub", F.explode("terms").alias("item_id")).distinct()
+    named = cut_lineage(users.withColumn("_ub", F.pmod(F.xxhash64("user_id"), F.greatest(size, F.lit(partitions))).cast("int")))
+    wanted = named.select("_ub", F.explode("terms").alias("item_id")).distinct().groupBy("item_id").agg(F.collect_list("_ub").alias("_blocks"))
+    sent = cut_lineage(wanted.join(lists, "item_id"))
+    held = sent.agg(F.sum(F.size("terms").cast("long")).alias("own"), F.sum(F.size("terms").cast("long") * F.size("_blocks")).alias("all")).first()
+    rounds = max(1, -(-(held["all"] or 0) // max(2 * (held["own"] or 0), ROUND_ENTRIES)))
+    met = cut_lineage(seen.groupBy("user_id").agg(F.collect_set("item_id").alias("terms")).join(named.select("user_id", "_ub"), "user_id"))
     none = F.lit(None).cast("array<double>")
 
     def part(df: DataFrame, kind: int, key: str, weights: Column) -> DataFrame:
         return df.select("_ub", F.lit(kind).alias("_kind"), F.col(key).cast("long").alias("_a"), F.col("terms").cast("array<long>").alias("terms"), weights.cast("array<double>").alias("weights"))
 
-    met = seen.groupBy("user_id").agg(F.collect_set("item_id").alias("terms")).join(named.select("user_id", "_ub"), "user_id")
-    parts = part(named, USER, "user_id", F.col("weights")).unionByName(part(met, SEEN, "user_id", none))
-    parts = parts.unionByName(part(wanted.join(lists, "item_id"), ITEM, "item_id", F.col("weights")))
-    sorted_parts = parts.repartition("_ub").sortWithinPartitions("_ub", "_kind", "_a")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, table in block_runs(batches, ("_ub",)):
             kinds = table.column("_kind").to_numpy()
@@ -301,7 +303,16 @@ def linked_topk(users: DataFrame, lists: DataFrame, seen: DataFrame, k: int, use
             if people.num_rows and links.num_rows:
                 yield from linked_best(people, past, links, k)
 
-    return sorted_parts.mapInArrow(run, T.StructType([*DATA.fields, T.StructField("rank", T.IntegerType())]))
+    best = None
+    for turn in range(rounds):
+        now = F.pmod("_ub", F.lit(rounds)) == turn
+        blocks = F.explode(F.filter("_blocks", lambda b: F.pmod(b, F.lit(rounds)) == turn))
+        parts = part(named.filter(now), USER, "user_id", F.col("weights")).unionByName(part(met.filter(now), SEEN, "user_id", none))
+        parts = parts.unionByName(part(sent.select("item_id", "terms", "weights", blocks.alias("_ub")), ITEM, "item_id", F.col("weights")))
+        sorted_parts = parts.repartition("_ub").sortWithinPartitions("_ub", "_kind", "_a")
+        found = cut_lineage(sorted_parts.mapInArrow(run, T.StructType([*DATA.fields, T.StructField("rank", T.IntegerType())])))
+        best = found if best is None else best.unionByName(found)
+    return best
 
 
 def linked_best(people: pa.Table, past: pa.Table, links: pa.Table, k: int) -> Iterator[pa.RecordBatch]:
@@ -327,28 +338,43 @@ def linked_best(people: pa.Table, past: pa.Table, links: pa.Table, k: int) -> It
         own = slice(edges[first], edges[last])
         n = sizes[at[own]]
         where = np.repeat(starts[at[own]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        # Items get codes, and seen pairs their keys, for the users at hand only.
-        items, code = np.unique(linked[where], return_inverse=True)
+        here, value = linked[where], np.repeat(pull[own], n) * weights[where]
         past_own = slice(*np.searchsorted(who, [first, last]))
-        seen = np.zeros(0, np.int64)
-        if len(items):
-            at_seen = np.minimum(np.searchsorted(items, what[past_own]), len(items) - 1)
-            seen = np.unique((who[past_own] * len(items) + at_seen)[items[at_seen] == what[past_own]])
-        key = np.repeat(row[own], n) * len(items) + code
-        order = np.argsort(key, kind="stable")
-        key, value = key[order], (np.repeat(pull[own], n) * weights[where])[order]
-        heads = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else order
+        # Pairs get keys, for the users at hand only; with their places below them one sort brings equal ones together.
+        bits, many = len(here).bit_length(), last - first
+        lowest, highest = (int(here.min()), int(here.max())) if len(here) else (0, 0)
+        span, items = highest - lowest + 1, None
+        if (many * span) << bits < 1 << 62:
+            code, past_code = here - lowest, what[past_own] - lowest
+            known = (what[past_own] >= lowest) & (what[past_own] <= highest)
+        else:  # ids far apart
+            items, code = np.unique(here, return_inverse=True)
+            span = len(items)
+            past_code = np.minimum(np.searchsorted(items, what[past_own]), span - 1)
+            known = items[past_code] == what[past_own]
+        seen = np.unique(((who[past_own] - first) * span + past_code)[known])
+        key = np.sort(((np.repeat(row[own] - first, n) * span + code) << bits) | np.arange(len(here)))
+        value = value[key & ((1 << bits) - 1)]
+        key >>= bits
+        heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))[: len(key)]
         key, score = key[heads], np.add.reduceat(value, heads) if len(key) else value
         keep = score > 0
         if len(seen):
             keep &= seen[np.minimum(np.searchsorted(seen, key), len(seen) - 1)] != key
         key, score = key[keep], score[keep]
-        user = key // max(len(items), 1)
-        order = np.lexsort((key, -np.round(score, DIGITS), user))
+        user, steady_score = key // span, np.round(score, DIGITS)
+        # Only what reaches a user's k-th score is put in order.
+        cuts, hit = np.searchsorted(user, np.arange(many + 1)), np.ones(len(key), bool)
+        for u in np.flatnonzero(np.diff(cuts) > k):
+            part = steady_score[cuts[u] : cuts[u + 1]]
+            hit[cuts[u] : cuts[u + 1]] = part >= np.partition(part, len(part) - k)[len(part) - k]
+        key, score, user, steady_score = key[hit], score[hit], user[hit], steady_score[hit]
+        order = np.lexsort((key, -steady_score, user))
         place = np.arange(len(order)) - np.searchsorted(user, user)
         best = order[place < k]
+        named = key[best] % span
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids[user[best]]), pa.array(items[key[best] % max(len(items), 1)]), pa.array(score[best]), pa.array((place[place < k] + 1).astype(np.int32))],
+            [pa.array(ids[user[best] + first]), pa.array(named + lowest if items is None else items[named]), pa.array(score[best]), pa.array((place[place < k] + 1).astype(np.int32))],
             names=["user_id", "item_id", "score", "rank"],
         )
         first = last
