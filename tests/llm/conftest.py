@@ -3,6 +3,13 @@ import random
 import pytest
 
 
+@pytest.fixture(autouse=True)
+def own_workers(request, spark, monkeypatch):
+    """Tests of what workers hold get workers that no other test has used: another environment starts others."""
+    if request.module.__name__.endswith("test_worker_memory"):
+        monkeypatch.setitem(spark.sparkContext.environment, "REELWISE_TEST", request.node.name)
+
+
 @pytest.fixture(scope="session")
 def copies():
     """Texts with exact copies, near copies, shared passages and lines, short, blank, null and long ones."""
